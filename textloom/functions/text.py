@@ -5,7 +5,7 @@ All stay in the JVM as built-in expressions.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -77,26 +77,25 @@ def sent_text(tokens: Column | str) -> Column:
     return F.array_join(_col(tokens), " ")
 
 
+def _spans(toks: Column) -> Column:
+    """``(start, end)`` of each token, folded in one pass."""
+    acc0 = F.struct(
+        F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out")
+    )
+
+    def step(acc: Column, t: Column) -> Column:
+        end = (acc["at"] + F.length(t)).cast("int")
+        span = F.struct(acc["at"].alias("start"), end.alias("end"))
+        return F.struct((end + 1).alias("at"), F.array_append(acc["out"], span).alias("out"))
+
+    return F.aggregate(toks, acc0, step, lambda acc: acc["out"])
+
+
 def encode_spans(tokens: Column | str) -> Column:
     """``(start, end)`` of each token in the space-joined text; NULL for fewer
     than two tokens."""
     toks = _col(tokens)
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-    start = lambda acc: F.when(F.size(acc) == 0, 0).otherwise(
-        F.try_element_at(acc, F.lit(-1))["end"] + 1
-    )
-    folded = F.aggregate(
-        toks,
-        empty,
-        lambda acc, t: F.array_append(
-            acc,
-            F.struct(
-                start(acc).cast("int").alias("start"),
-                (start(acc) + F.length(t)).cast("int").alias("end"),
-            ),
-        ),
-    )
-    return F.when(F.size(toks) > 1, folded)
+    return F.when(F.size(toks) > 1, _spans(toks))
 
 
 def decode_spans(text: Column | str, spans: Column | str) -> Column:
@@ -144,14 +143,11 @@ def toklen_of_spans(spans_text: Column | str) -> Column:
 def token_index(tokens: Column | str) -> Column:
     """Token position, character offset, position in sentence and form."""
     toks = _col(tokens)
-    spans = encode_spans(toks)
+    pairs = F.arrays_zip(toks.alias("norm"), _spans(toks).alias("span"))
     return F.transform(
-        toks,
-        lambda t, i: F.struct(
-            i.cast("int").alias("i"),
-            F.when(F.size(toks) > 1, F.get(spans, i)["start"]).otherwise(0).cast("int").alias("idx"),
-            i.cast("int").alias("i_sent"),
-            t.alias("norm"),
+        pairs,
+        lambda p, i: F.struct(
+            i.alias("i"), p["span"]["start"].alias("idx"), i.alias("i_sent"), p["norm"].alias("norm")
         ),
     )
 
@@ -182,24 +178,28 @@ def vote_lang(
         F.lower(_col(sent)), F.lit(f"(?<![^ ])(?:{'|'.join(words)})(?![^ ])"), F.lit(0)
     )
 
-    def hits_in(ws: Sequence[str]) -> Column:
-        return F.size(F.filter(hits, lambda w: w.isin(*ws)))
-
-    counts = {lang: hits_in(ws) for lang, ws in stop_words.items()}
-    if len(counts) == 1:
-        lang, n = next(iter(counts.items()))
-        return F.when(n > 0, F.lit(lang))
-    # A struct compares by its fields: more hits first, then the earlier code.
-    codes = sorted(counts)
-    ranked = F.array_max(
-        F.array(
+    codes = sorted(stop_words)
+
+    def votes(found: Column) -> Column:
+        # A struct compares by its fields: more hits first, then the earlier code.
+        return F.array(
             *[
-                F.struct(counts[c].alias("n"), F.lit(-i).alias("o"), F.lit(c).alias("lang"))
+                F.struct(hits_in(found, stop_words[c]).alias("n"), F.lit(-i).alias("o"), F.lit(c).alias("lang"))
                 for i, c in enumerate(codes)
             ]
         )
-    )
-    return F.when(ranked["n"] > 0, ranked["lang"])
+
+    best = once(hits, lambda h: F.array_max(F.filter(votes(h), lambda v: v["n"] > 0)))
+    return best["lang"]
+
+
+def hits_in(found: Column, words: Sequence[str]) -> Column:
+    return F.size(F.filter(found, lambda w: w.isin(*words)))
+
+
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with the value computed once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def strip_digits(col: Column | str) -> Column:

@@ -133,13 +133,15 @@ def encode_tokens(
     )
 
 
-def _chunks(col: str, size: int) -> Column:
-    n = F.floor(F.size(col) / size).cast("int")
-    cut = F.transform(
-        F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
-        lambda i: F.slice(F.col(col), i * size + 1, F.lit(size)),
-    )
-    return F.when(n > 0, cut)
+def _chunks(ids: Column, size: int) -> Column:
+    """Full chunks of an array; none if it is shorter than one."""
+
+    def cut(a: Column) -> Column:
+        n = F.floor(F.size(a) / size).cast("int")
+        starts = F.when(n > 0, F.sequence(F.lit(0), n - 1))
+        return F.transform(starts, lambda i: F.slice(a, i * size + 1, F.lit(size)))
+
+    return fx.once(ids, cut)
 
 
 def pack_sequences(enc: DataFrame, chunk_size: int = 16, batch: int = 1000) -> DataFrame:
@@ -152,16 +154,11 @@ def pack_sequences(enc: DataFrame, chunk_size: int = 16, batch: int = 1000) -> D
     batches = rows.groupBy(F.floor(F.col("idx") / batch).alias("batch_id")).agg(
         F.array_sort(F.collect_list(F.struct("idx", "input_ids", "word_ids"))).alias("_r")
     )
-    flat = batches.select(
-        "batch_id",
-        F.flatten("_r.input_ids").alias("_ids"),
-        F.flatten("_r.word_ids").alias("_words"),
-    )
-    cut = flat.select(
+    cut = batches.select(
         "batch_id",
         F.arrays_zip(
-            _chunks("_ids", chunk_size).alias("input_ids"),
-            _chunks("_words", chunk_size).alias("word_ids"),
+            _chunks(F.flatten("_r.input_ids"), chunk_size).alias("input_ids"),
+            _chunks(F.flatten("_r.word_ids"), chunk_size).alias("word_ids"),
         ).alias("_z"),
     )
     return cut.select("batch_id", F.posexplode("_z").alias("chunk_no", "_c")).select(

@@ -16,6 +16,7 @@ from textloom.operators import langstats as ls
 from textloom.operators import ordering as od
 from textloom.operators import reports as rp
 from textloom.operators import vocab as vo
+from textloom.session import staged
 from textloom.plans.tables import TARGET, Inputs, strip_html
 
 # Bounds that keep part of the test documents; the reference values are the
@@ -89,12 +90,12 @@ def sent_text(t: Inputs) -> DataFrame:
 
 @query
 def encode_spans(t: Inputs) -> DataFrame:
-    return flat_sent(t.sent.select("doc_id", "six", "spans"))
+    return flat_sent(t.plain.select("doc_id", "six", "spans"))
 
 
 @query
 def decode_spans(t: Inputs) -> DataFrame:
-    return t.sent.select("doc_id", "six", fx.decode_spans("sent", "spans").alias("tokens")).select(
+    return t.plain.select("doc_id", "six", fx.decode_spans("sent", "spans").alias("tokens")).select(
         "doc_id", "six", joined("tokens")
     )
 
@@ -106,7 +107,7 @@ def check_roundtrip(t: Inputs) -> DataFrame:
 
 @query
 def toklen(t: Inputs) -> DataFrame:
-    return t.sent.select(
+    return t.plain.select(
         "doc_id", "six", "toklen",
         fx.toklen_of_spans(fx.spans_to_text("spans")).alias("toklen_of_spans"),
     )
@@ -119,17 +120,17 @@ def split_path(t: Inputs) -> DataFrame:
 
 @query
 def detect_lang(t: Inputs) -> DataFrame:
-    return fl.detect_lang(t.sent.select("doc_id", "six", "sent")).select("doc_id", "six", "lang")
+    return fl.detect_lang(t.plain.select("doc_id", "six", "sent")).select("doc_id", "six", "lang")
 
 
 @query
 def strip_digits(t: Inputs) -> DataFrame:
-    return t.sent.select("doc_id", "six", fx.strip_digits("sent").alias("sent"))
+    return t.plain.select("doc_id", "six", fx.strip_digits("sent").alias("sent"))
 
 
 @query
 def trim_chain(t: Inputs) -> DataFrame:
-    return t.sent.select("doc_id", "six", fx.trim_chain("sent").alias("sent"))
+    return t.plain.select("doc_id", "six", fx.trim_chain("sent").alias("sent"))
 
 
 @query
@@ -143,7 +144,7 @@ def trim_token(t: Inputs) -> DataFrame:
 def fn_scalars(t: Inputs) -> DataFrame:
     """The scalar functions the curation statements use, side by side."""
     s = F.col("sent")
-    return t.sent.select(
+    return t.plain.select(
         "doc_id",
         "six",
         F.length(s).alias("len"),
@@ -213,7 +214,7 @@ def filter_lang(t: Inputs) -> DataFrame:
 
 @query
 def filter_len(t: Inputs) -> DataFrame:
-    return fl.filter_len(t.sent, 50, 120).select("doc_id", "six", "sent")
+    return fl.filter_len(t.plain, 50, 120).select("doc_id", "six", "sent")
 
 
 @query
@@ -223,19 +224,19 @@ def filter_null_lang(t: Inputs) -> DataFrame:
 
 @query
 def filter_like(t: Inputs) -> DataFrame:
-    return fl.filter_like(t.sent, "sent", "the %").select("doc_id", "six", "sent")
+    return fl.filter_like(t.plain, "sent", "the %").select("doc_id", "six", "sent")
 
 
 @query
 def filter_garbage(t: Inputs) -> DataFrame:
-    return fl.filter_garbage(t.sent, (*fl.GARBAGE_PATTERNS, "and %", "%.")).select(
+    return fl.filter_garbage(t.plain, (*fl.GARBAGE_PATTERNS, "and %", "%.")).select(
         "doc_id", "six", "sent"
     )
 
 
 @query
 def filter_toklen(t: Inputs) -> DataFrame:
-    return fl.filter_toklen(t.sent).select("doc_id", "six", "toklen")
+    return fl.filter_toklen(t.plain).select("doc_id", "six", "toklen")
 
 
 @query
@@ -267,7 +268,7 @@ def get_sent(t: Inputs) -> DataFrame:
 
 @query
 def sents_of_doc(t: Inputs) -> DataFrame:
-    return flat_sent(fl.sents_of_doc(t.sent, 3))
+    return flat_sent(fl.sents_of_doc(t.plain, 3))
 
 
 @query
@@ -276,7 +277,7 @@ def vocab_filter(t: Inputs) -> DataFrame:
 
 
 def words_as_tokens(t: Inputs) -> DataFrame:
-    return vo.split_words(t.sent).select(F.col("value").alias("token"))
+    return vo.split_words(t.plain).select(F.col("value").alias("token"))
 
 
 @query
@@ -316,7 +317,7 @@ def delete_where(t: Inputs) -> DataFrame:
 @query
 def update_col(t: Inputs) -> DataFrame:
     return fl.update_col(
-        t.sent, "sent", F.substring("sent", 2, 1 << 30), F.col("sent").rlike("^[0-9]")
+        t.plain, "sent", F.substring("sent", 2, 1 << 30), F.col("sent").rlike("^[0-9]")
     ).select("doc_id", "six", "sent")
 
 
@@ -340,12 +341,12 @@ def join_source_url(t: Inputs) -> DataFrame:
 
 @query
 def join_source_by_sid(t: Inputs) -> DataFrame:
-    return jn.join_source_by_sid(t.corp_doc, t.corp_src_sid, t.sent, "src3")
+    return jn.join_source_by_sid(t.corp_doc, t.corp_src_sid, t.plain, "src3")
 
 
 @query
 def join_star4(t: Inputs) -> DataFrame:
-    return jn.join_star4(t.corp_src, t.corp_doc, t.doc, t.sent, "src3")
+    return jn.join_star4(t.corp_src, t.corp_doc, t.doc, t.plain, "src3")
 
 
 @query
@@ -359,7 +360,7 @@ def ls_target(t: Inputs) -> DataFrame:
 
 @query
 def join_doc_counts(t: Inputs) -> DataFrame:
-    return jn.join_doc_counts(t.doc, t.corp_doc, ls.doc_counts(t.doc, t.sent))
+    return jn.join_doc_counts(t.doc, t.corp_doc, ls.doc_counts(t.doc, t.plain))
 
 
 @query
@@ -385,7 +386,7 @@ def semi_kept_docs(t: Inputs) -> DataFrame:
 
 @query
 def anti_topn(t: Inputs) -> DataFrame:
-    return jn.anti_topn(t.sent, 500).select("doc_id", "six", "sent")
+    return jn.anti_topn(t.plain, 500).select("doc_id", "six", "sent")
 
 
 @query
@@ -410,7 +411,7 @@ def join_sent_keep(t: Inputs) -> DataFrame:
 
 @query
 def count_rows(t: Inputs) -> DataFrame:
-    return ls.count_rows(t.sent)
+    return ls.count_rows(t.plain)
 
 
 @query
@@ -434,7 +435,7 @@ def single_doc_corpora(t: Inputs) -> DataFrame:
 
 @query
 def doc_counts(t: Inputs) -> DataFrame:
-    return ls.doc_counts(t.doc, t.sent)
+    return ls.doc_counts(t.doc, t.plain)
 
 
 @query
@@ -481,7 +482,7 @@ def corpus_avg_prop(t: Inputs) -> DataFrame:
 
 @query
 def sent_stats_by_doc(t: Inputs) -> DataFrame:
-    return r6(ls.sent_stats_by_doc(t.sent), "avg")
+    return r6(ls.sent_stats_by_doc(t.plain), "avg")
 
 
 @query
@@ -496,7 +497,7 @@ def having_foreign_gt(t: Inputs) -> DataFrame:
 
 @query
 def doc_total(t: Inputs) -> DataFrame:
-    return ls.doc_total(t.doc, t.sent, 3)
+    return ls.doc_total(t.doc, t.plain, 3)
 
 
 @query
@@ -511,12 +512,12 @@ def lang_dist_low_prop(t: Inputs) -> DataFrame:
 
 @query
 def dup_report(t: Inputs) -> DataFrame:
-    return ls.dup_report(t.sent)
+    return ls.dup_report(t.plain)
 
 
 @query
 def dedup_exact(t: Inputs) -> DataFrame:
-    return cu.dedup_exact(t.sent.select("doc_id", "six", "sent", "toklen"))
+    return cu.dedup_exact(t.plain.select("doc_id", "six", "sent", "toklen"))
 
 
 @query
@@ -526,7 +527,7 @@ def distinct_values(t: Inputs) -> DataFrame:
 
 @query
 def sum_tokens_chars(t: Inputs) -> DataFrame:
-    return ls.sum_tokens_chars(t.sent)
+    return ls.sum_tokens_chars(t.plain)
 
 
 @query
@@ -536,12 +537,12 @@ def max_cast(t: Inputs) -> DataFrame:
 
 @query
 def corpus_stats(t: Inputs) -> DataFrame:
-    return rp.corpus_stats(t.corp_doc, t.doc, t.sent)
+    return rp.corpus_stats(t.corp_doc, t.doc, t.plain)
 
 
 @query
 def corpus_sources(t: Inputs) -> DataFrame:
-    return rp.corpus_sources(t.corp_src, t.corp_doc, t.doc, t.sent)
+    return rp.corpus_sources(t.corp_src, t.corp_doc, t.doc, t.plain)
 
 
 @query
@@ -554,7 +555,7 @@ def cohen_kappa(t: Inputs) -> DataFrame:
 
 @query
 def toklen_histogram(t: Inputs) -> DataFrame:
-    return r6(rp.toklen_histogram(t.sent), "lo", "hi")
+    return r6(rp.toklen_histogram(t.plain), "lo", "hi")
 
 
 @query
@@ -583,22 +584,22 @@ def token_index(t: Inputs) -> DataFrame:
 
 @query
 def dedup_rank(t: Inputs) -> DataFrame:
-    return cu.dedup_rank(t.sent.select("doc_id", "six", "sent", "toklen"))
+    return cu.dedup_rank(t.plain.select("doc_id", "six", "sent", "toklen"))
 
 
 @query
 def ordered_export(t: Inputs) -> DataFrame:
-    return od.ordered_export(t.sent.select("doc_id", "six", "sent"), 5000)
+    return od.ordered_export(t.plain.select("doc_id", "six", "sent"), 5000)
 
 
 @query
 def bottom_k_docs(t: Inputs) -> DataFrame:
-    return ls.bottom_k_docs(t.sent.select("doc_id", "six", "sent"), lang_prop(t))
+    return ls.bottom_k_docs(t.plain.select("doc_id", "six", "sent"), lang_prop(t))
 
 
 @query
 def sorted_peek(t: Inputs) -> DataFrame:
-    return od.sorted_peek(t.sent.select("doc_id", "six", "sent"))
+    return od.sorted_peek(t.plain.select("doc_id", "six", "sent"))
 
 
 @query
@@ -609,7 +610,7 @@ def sample_limit(t: Inputs) -> DataFrame:
 @query
 def shuffle_docs(t: Inputs) -> DataFrame:
     """The shuffled order, as positions of the documents in it."""
-    first = od.shuffle_docs(t.sent.select("doc_id", "six", "sent"), SEED)
+    first = od.shuffle_docs(t.plain.select("doc_id", "six", "sent"), SEED)
     return first.withColumn("doc_hash", od.seeded_hash(SEED, "doc_id"))
 
 
@@ -621,7 +622,7 @@ def insert_select(t: Inputs) -> DataFrame:
 
 @query
 def split_words(t: Inputs) -> DataFrame:
-    return vo.split_words(t.sent)
+    return vo.split_words(t.plain)
 
 
 # --- curation, vocabulary --------------------------------------------------
@@ -629,7 +630,7 @@ def split_words(t: Inputs) -> DataFrame:
 
 @query
 def final_sent(t: Inputs) -> DataFrame:
-    return flat_sent(cu.final_sent(t.sent))
+    return flat_sent(cu.final_sent(t.plain))
 
 
 @query
@@ -647,7 +648,7 @@ def build_vocab(t: Inputs) -> DataFrame:
 
 @query
 def train_test_split(t: Inputs) -> DataFrame:
-    return ds.train_test_split(t.sent.select("doc_id", "six", "sent"), ["doc_id", "six"], 0.25, SEED)
+    return ds.train_test_split(t.plain.select("doc_id", "six", "sent"), ["doc_id", "six"], 0.25, SEED)
 
 
 @query
@@ -657,7 +658,7 @@ def stratified_split(t: Inputs) -> DataFrame:
 
 @query
 def text_batches(t: Inputs) -> DataFrame:
-    return ds.text_batches(t.sent, 1000).select("batch_id", joined("texts", "\n"))
+    return ds.text_batches(t.plain, 1000).select("batch_id", joined("texts", "\n"))
 
 
 @query
@@ -667,17 +668,19 @@ def vocab_target(t: Inputs) -> DataFrame:
 
 @query
 def word_freq(t: Inputs) -> DataFrame:
-    return ds.word_freq(t.sent)
+    return ds.word_freq(t.plain)
 
 
 @query
 def pair_freq(t: Inputs) -> DataFrame:
-    return ds.pair_freq(ds.word_freq(t.sent))
+    return ds.pair_freq(ds.word_freq(t.plain))
 
 
 def encoded(t: Inputs) -> DataFrame:
-    ids = vo.vocab_ids(vo.build_vocab(t.sent), ds.FIRST_TOKEN_ID)
-    return ds.encode_tokens(t.sent, ids)
+    """Sentences and vocabulary are tables of their own, built once."""
+    sent = staged(t.plain.select("doc_id", "six", "sent"), "sent")
+    ids = vo.vocab_ids(vo.build_vocab(sent), ds.FIRST_TOKEN_ID)
+    return ds.encode_tokens(sent, staged(ids, "vocab"))
 
 
 @query
@@ -711,7 +714,7 @@ def mask_tokens(t: Inputs) -> DataFrame:
 
 @query
 def steps_per_epoch(t: Inputs) -> DataFrame:
-    return ds.steps_per_epoch(t.sent)
+    return ds.steps_per_epoch(t.plain)
 
 
 @query

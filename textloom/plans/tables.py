@@ -15,35 +15,47 @@ from pyspark.sql import functions as F
 
 from textloom.functions import markup
 from textloom.functions import text as fx
+from textloom.schemas import SENT_COLUMNS
 from textloom.session import spread
 
 TARGET = "en"
 
 
-def sentences_of(docs: DataFrame, text: str = "text", lang: str | None = None) -> DataFrame:
-    """(doc_id, …, text) rows to sentences with tokens."""
+def sentences_of(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, …, text) rows to (doc_id, six, sid, tokens)."""
     raw = docs.select("doc_id", F.posexplode(fx.text_sentences(text)).alias("six", "raw"))
-    return sentence_columns(
-        raw.select("doc_id", "six", F.col("six").cast("string").alias("sid"), fx.tokenize("raw").alias("tokens")),
-        lang,
+    return computed(raw, tokens=fx.tokenize("raw")).select(
+        "doc_id", "six", F.col("six").cast("string").alias("sid"), "tokens"
     )
 
 
-def sentence_columns(tokens: DataFrame, lang: str | None = None) -> DataFrame:
-    """Completes (doc_id, six, sid, tokens) rows; unused columns are pruned."""
+def computed(df: DataFrame, **exprs: F.Column) -> DataFrame:
+    """Adds costly columns that are worked out once per row.
+
+    A generator yields them, because filters on an ordinary projected column
+    move below the projection and repeat its expression.
+    """
+    one = F.array(F.struct(*[e.alias(n) for n, e in exprs.items()]))
+    return df.select("*", F.inline(one))
+
+
+def sentence_columns(tokens: DataFrame) -> DataFrame:
+    """(doc_id, six, sid, tokens) rows with text, spans and length; the
+    columns a query does not use are pruned."""
     s = tokens.withColumn("sent", fx.sent_text("tokens"))
     return s.select(
-        "doc_id",
-        "six",
-        "sid",
-        fx.vote_lang("sent", default=lang).alias("lang"),
-        "sent",
-        fx.encode_spans("tokens").alias("spans"),
-        fx.toklen("tokens").alias("toklen"),
-        "tokens",
+        "doc_id", "six", "sid", "sent",
+        fx.encode_spans("tokens").alias("spans"), fx.toklen("tokens").alias("toklen"), "tokens",
     )
 
 
+def with_lang(sent: DataFrame, lang: str | None = None) -> DataFrame:
+    """Adds the configured or the detected language."""
+    if lang is not None:
+        return sent.withColumn("lang", F.lit(lang))
+    return computed(sent, lang=fx.vote_lang("sent"))
+
+
 @dataclass
 class Corpus:
     """The four corpus tables."""
@@ -99,15 +111,16 @@ class Inputs:
 
     @cached_property
     def tokens(self) -> DataFrame:
-        return self.sent_tokens.select("doc_id", "six", "sid", "tokens")
+        return sentences_of(spread(self.documents.select("doc_id", "text"), "doc_id"))
 
     @cached_property
-    def sent_tokens(self) -> DataFrame:
-        return sentences_of(spread(self.documents.select("doc_id", "text"), "doc_id"))
+    def plain(self) -> DataFrame:
+        """Sentences without their language."""
+        return sentence_columns(self.tokens).drop("tokens")
 
     @cached_property
     def sent(self) -> DataFrame:
-        return self.sent_tokens.drop("tokens")
+        return with_lang(self.plain).select(*SENT_COLUMNS)
 
     @cached_property
     def paragraphs(self) -> DataFrame:

@@ -49,6 +49,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame, name: str = "staged") -> DataFrame:
+    """The rows written once to the shared folder and read back.
+
+    For a frame with several uses: it is computed once, survives lost
+    executors, and gives the next plan a short lineage and real sizes.
+    """
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Use all cores on inputs with too few splits.
 
