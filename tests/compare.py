@@ -52,7 +52,10 @@ def main(names: list[str]) -> int:
     spark.sparkContext.setLogLevel("ERROR")
     con, queries, oracle = connect(path), entry.queries(), entry.oracle_sql()
     bad = 0
-    for name in names or list(queries):
+    done = list(queries)
+    if names and names[0] == "--after":
+        done, names = done[done.index(names[1]):], []
+    for name in names or done:
         t = time.time()
         try:
             df = queries[name](spark, path)

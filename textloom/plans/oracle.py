@@ -531,3 +531,100 @@ ORACLE["propagate_labels"] = """SELECT sent, topic, emotion, label FROM (
   SELECT trim(unnest(regexp_extract_all(text, '[^.!?]*[.!?]|[^.!?]+$', 0))) AS sent, source AS topic, lang AS emotion,
     'n' AS label FROM documents)
 WHERE sent <> ''"""
+
+
+# --- readers ---
+_toks = "SELECT doc_id || ':' || six AS sid, sent AS tokens FROM sent"
+o("read_tok_xml", _toks)
+o("read_sent_xml", _toks)
+_plain = "text"
+for _e, _c in markup.ENTITIES:
+    _plain = f"replace({_plain}, {quote(_e)}, {quote(_c)})"
+o(
+    "read_wiki",
+    f"""SELECT doc_id, six, CAST(six AS VARCHAR) AS sid, array_to_string(regexp_extract_all(s, {TOKEN}, 0), ' ') AS tokens
+FROM (SELECT doc_id, CAST(generate_subscripts(ss, 1) - 1 AS INTEGER) AS six, unnest(ss) AS s FROM (
+  SELECT doc_id, flatten(list_transform(string_split(
+    source || ' ' || source || '. ' || source || '!' || chr(10) || {_plain}, chr(10)),
+    lambda p: regexp_extract_all(p, '[^.!?]*[.!?]', 0))) AS ss
+  FROM documents WHERE strlen(text) > 70))""",
+)
+ORACLE["strip_markup"] = "SELECT doc_id, source || chr(10) || lang || ' v' AS text FROM documents"
+_crawl = """WITH crawl AS (
+  SELECT *, CASE doc_id % 4 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 1 ELSE 0 END AS n_warnings,
+    string_split(text, chr(10)) AS lines FROM documents),
+lines AS (
+  SELECT doc_id, lang, CAST(generate_subscripts(lines, 1) - 1 AS INTEGER) AS line_no, unnest(lines) AS text
+  FROM crawl)"""
+ORACLE["read_crawl_jsonl"] = (
+    f"{_crawl} SELECT text AS content, n_warnings, CAST(len(lines) AS INTEGER) AS n_lines FROM crawl"
+)
+ORACLE["read_tolerant"] = "SELECT text AS content, true AS ok FROM documents"
+ORACLE["filter_quality_warnings"] = f"{_crawl} SELECT text AS content FROM crawl WHERE doc_id % 4 <> 3"
+ORACLE["filter_lang_prob"] = (
+    f"{_crawl} SELECT line_no, text FROM lines WHERE lang = 'en' AND line_no % 5 > 1"
+)
+ORACLE["read_crawl"] = (
+    f"{_crawl} SELECT array_to_string(regexp_extract_all(text, {TOKEN}, 0), ' ') AS tokens "
+    "FROM lines WHERE lang = 'en' AND line_no % 5 > 1 AND doc_id % 4 <> 3"
+)
+o("read_sources", "SELECT id, name, url FROM corp_src")
+ORACLE["read_reviews"] = """SELECT text, CASE doc_id % 3 WHEN 0 THEN '+' WHEN 1 THEN '-' ELSE 'n' END AS label,
+  CASE WHEN doc_id % 7 <> 0 THEN source END AS topic, 'joy' AS emotion FROM documents WHERE lang = 'en'"""
+ORACLE["read_annotations"] = """SELECT source AS a1_topic, source AS a2_topic, lang AS a1_emotion,
+  CASE WHEN l.doc_id % 2 = 0 THEN lang ELSE 'en' END AS a2_emotion, quality AS a1_label, toxic AS a2_label
+FROM labels l JOIN documents d ON d.doc_id = l.doc_id WHERE l.doc_id % 9 <> 0"""
+_split = ORACLE["stratified_split"]
+ORACLE["read_split_ids"] = f"SELECT CAST(doc_id AS INTEGER) AS row_id, split FROM ({_split})"
+ORACLE["apply_split_ids"] = (
+    f"SELECT d.doc_id, d.lang, s.split FROM documents d JOIN ({_split}) s ON s.doc_id = d.doc_id"
+)
+o("named_query", _sources)
+o("read_dataset", "SELECT sent AS text FROM sent ORDER BY doc_id, six LIMIT 2000")
+o("stage_docs", "SELECT doc_id, six, CAST(six AS VARCHAR) AS sid, sent AS tokens FROM sent")
+
+# --- writers ---
+o(
+    "create_schema",
+    """SELECT 'doc' AS name, count(*) AS cnt FROM doc UNION ALL SELECT 'sent', 0 UNION ALL SELECT 'corp_doc', 0
+UNION ALL SELECT 'corp_src', 0""",
+)
+o(
+    "append_docs",
+    """SELECT n + rn AS doc_id, CAST(n + rn AS VARCHAR) AS dir_id, file FROM (
+  SELECT file, row_number() OVER (ORDER BY file) - 1 AS rn, count(*) OVER () AS n FROM doc)""",
+)
+o(
+    "append_sents",
+    """SELECT s.doc_id, s.six, s.sid, s.lang, s.sent, p.spans, s.toklen FROM sent s
+JOIN span p ON p.doc_id = s.doc_id AND p.six = s.six""",
+)
+o(
+    "assign_dir_id",
+    """SELECT doc_id, file, CAST(m + row_number() OVER (ORDER BY file) AS VARCHAR) AS dir_id
+FROM (SELECT *, max(CAST(dir_id AS BIGINT)) OVER () AS m FROM doc)""",
+)
+o("recreate_or_append", "SELECT 2 * count(*) AS appended, count(*) AS cnt FROM corp_doc")
+o("load_if_empty", "SELECT doc_id, dir_id, file, true AS first, false AS second FROM doc")
+o("refresh_corp_doc", "SELECT * FROM corp_doc")
+o("refresh_corp_src", "SELECT id, name, url FROM corp_src")
+o(
+    "insert_source",
+    "SELECT id, name, url FROM corp_src UNION ALL SELECT 'extra', 'Extra', 'https://example.org/extra'",
+)
+o("ctas", "SELECT * FROM corp_doc")
+o("dump_csv", "SELECT doc_id AS did, doc_id || '-' || six AS sid, sent AS text FROM sent")
+o("write_dataset", f"SELECT sent AS text, idx FROM ({_indexed.format('sent')})")
+o("write_report", _stats.format("sent"))
+ORACLE["write_metrics"] = ORACLE["classification_metrics"]
+
+# --- jobs ---
+o(
+    "build_corpus",
+    """SELECT s.doc_id || ':' || s.six AS sid, s.lang, s.sent, p.spans, s.toklen FROM sent s
+JOIN span p ON p.doc_id = s.doc_id AND p.six = s.six""",
+)
+o("print_stats", _stats.format("sent"))
+o("write_stats", _sources)
+o("dump_corpus", "SELECT doc_id AS did, doc_id || '-' || six AS sid, sent AS text FROM curated", CURATED)
+o("ingest_stream", "SELECT doc_id, six, sid, lang, sent, toklen FROM sent")
