@@ -135,10 +135,9 @@ def read_tolerant(spark: SparkSession, path: str, fmt: str) -> tuple[DataFrame,
             .json(path)
             .select("*", F.col("_metadata.file_path").alias("file"))
         )
-        bad = rows.select("file", corrupt_reason("content").alias("reason")).filter(
-            "reason IS NOT NULL"
-        )
-        return rows.filter("_corrupt IS NULL").drop("_corrupt"), bad
+        rows = rows.withColumn("reason", corrupt_reason("content")).drop("_corrupt")
+        bad = rows.filter("reason IS NOT NULL").select("file", "reason")
+        return rows.filter("reason IS NULL").drop("reason"), bad
     ddl, tokens = {
         "tok_xml": (schemas.TOK_XML, F.col("w")),
         "sent_xml": (schemas.SENT_XML, fx.split_whitespace("_VALUE")),
