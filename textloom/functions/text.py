@@ -167,34 +167,32 @@ def vote_lang(
 ) -> Column:
     """The language whose stop words occur most in a space-joined sentence.
 
-    Ties go to the first language code, no hit gives NULL. One regular
-    expression finds the hits, so only those few words reach the counting.
-    ``default`` overrides the vote, as a configured language does.
+    Ties go to the first language code, no hit gives NULL. Only the words that
+    are in some list reach the counting. ``default`` overrides the vote, as a
+    configured language does.
     """
     if default is not None:
         return F.lit(default)
-    words = sorted({w for ws in stop_words.values() for w in ws}, key=lambda w: (-len(w), w))
-    hits = F.regexp_extract_all(
-        F.lower(_col(sent)), F.lit(f"(?<![^ ])(?:{'|'.join(words)})(?![^ ])"), F.lit(0)
-    )
-
     codes = sorted(stop_words)
+    words = sorted({w for ws in stop_words.values() for w in ws})
+    names = F.array(*[F.lit(c) for c in codes])
+
+    def winner(counts: Column) -> Column:
+        return F.get(names, (F.array_position(counts, F.array_max(counts)) - 1).cast("int"))
+
+    def vote(found: Column) -> Column:
+        counts = F.array(*[hits_in(found, stop_words[c]) for c in codes])
+        return F.when(F.size(found) > 0, once(counts, winner))
+
+    return once(hits_among(F.split(F.lower(_col(sent)), " "), words), vote)
 
-    def votes(found: Column) -> Column:
-        # A struct compares by its fields: more hits first, then the earlier code.
-        return F.array(
-            *[
-                F.struct(hits_in(found, stop_words[c]).alias("n"), F.lit(-i).alias("o"), F.lit(c).alias("lang"))
-                for i, c in enumerate(codes)
-            ]
-        )
 
-    best = once(hits, lambda h: F.array_max(F.filter(votes(h), lambda v: v["n"] > 0)))
-    return best["lang"]
+def hits_among(found: Column, words: Sequence[str]) -> Column:
+    return F.filter(found, lambda w: w.isin(*words))
 
 
 def hits_in(found: Column, words: Sequence[str]) -> Column:
-    return F.size(F.filter(found, lambda w: w.isin(*words)))
+    return F.size(hits_among(found, words))
 
 
 def once(value: Column, f: Callable[[Column], Column]) -> Column:

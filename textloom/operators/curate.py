@@ -13,6 +13,7 @@ from textloom.functions import text as fx
 from textloom.operators import filters as fl
 from textloom.operators.joins import anti_topn, join_sent_keep
 from textloom.operators.langstats import doc_profile
+from textloom.session import staged
 
 
 @dataclass(frozen=True)
@@ -66,7 +67,9 @@ def clean_sents(sent_keep: DataFrame, params: CurateParams) -> DataFrame:
     """
     s = fl.filter_toklen(sent_keep, params.lo_tokens, params.hi_tokens)
     s = clean_text(fl.filter_garbage(s), params.safe_tags)
-    s = anti_topn(s, params.drop_first)
+    if params.drop_first > 0:
+        # Read twice: for the last row to drop, and for the rows behind it.
+        s = anti_topn(staged(s, "cleaned"), params.drop_first)
     return s.filter(F.length("sent") >= params.min_chars)
 
 

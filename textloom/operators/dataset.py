@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.functions import text as fx
-from textloom.operators.ordering import hash_rank, indexed_table
+from textloom.operators.ordering import indexed_table, seeded_hash
 from textloom.operators.vocab import split_words
-from textloom.session import broadcast_if_small
+from textloom.session import broadcast_if_small, staged
 
 # Special token ids, and the label that training ignores.
 SPECIAL_IDS = {"cls": 0, "pad": 1, "sep": 2, "unk": 3, "mask": 4}
@@ -26,14 +27,61 @@ EMOTIONS = ("surprise", "joy", "sadness", "neutral", "fear", "love", "anger")
 LABELS = ("+", "-", "n")
 
 
+def _quota_split(
+    df: DataFrame, keys: Sequence[str], seed: int, group: Column,
+    quotas: Callable[[Column], Sequence[tuple[str, Column]]], rest: str,
+) -> DataFrame:
+    """Rows of each group divided at exact counts of their seeded order.
+
+    ``quotas`` gives each split's cumulative count for a group size. The rows
+    themselves never shuffle: counts of digest slices locate the slice in
+    which a quota ends, ranks within that slice give the last row before the
+    cut, and every row is compared with its group's cuts.
+    """
+    d = df.withColumns({"_g": group, "_h": seeded_hash(seed, *keys)})
+    place = F.struct("_h", *keys)
+    upto = W.partitionBy("_g").orderBy("_b")
+    slices = (
+        d.groupBy("_g", F.substring("_h", 1, 5).alias("_b"))
+        .agg(F.count("*").alias("_c"))
+        .withColumn("_cum", F.sum("_c").over(upto))
+        .withColumn("_n", F.sum("_c").over(W.partitionBy("_g")))
+    )
+    names = [n for n, _ in quotas(F.lit(0))]
+    wanted = F.array(
+        *[
+            F.struct(F.lit(n).alias("_split"), q.cast("bigint").alias("_quota"))
+            for n, q in quotas(F.col("_n"))
+        ]
+    )
+    ends = (
+        slices.select("*", F.inline(wanted))
+        .filter(F.col("_quota").between(F.col("_cum") - F.col("_c") + 1, F.col("_cum")))
+        .select("_g", "_b", "_split", (F.col("_quota") - F.col("_cum") + F.col("_c")).alias("_need"))
+    )
+    ends = broadcast_if_small(staged(ends, "ends"))
+    ranked = (
+        d.select("_g", F.substring("_h", 1, 5).alias("_b"), place.alias("_at"))
+        .join(ends, ["_g", "_b"])
+        .withColumn("_rn", F.row_number().over(W.partitionBy("_g", "_split").orderBy("_at")))
+    )
+    cuts = ranked.filter("_rn = _need").groupBy("_g").agg(
+        *[F.max(F.when(F.col("_split") == n, F.col("_at"))).alias(f"_{n}") for n in names]
+    )
+    out = d.join(broadcast_if_small(staged(cuts, "cuts")), "_g", "left")
+    split = F.lit(rest)
+    for n in reversed(names):
+        split = F.when(place <= F.col(f"_{n}"), n).otherwise(split)
+    return out.withColumn("split", split).select(*df.columns, "split")
+
+
 def train_test_split(
     df: DataFrame, key: Sequence[str], test_size: float = 0.25, seed: int = 0
 ) -> DataFrame:
     """Exactly ``ceil(test_size * rows)`` rows held out, in seeded order."""
-    n = df.agg(F.count("*").alias("n")).scalar()
-    ranked = hash_rank(df.withColumn("_all", F.lit(0)), key, seed, ["_all"], "_rank")
-    test = F.col("_rank") < F.ceil(n * F.lit(test_size))
-    return ranked.withColumn("split", F.when(test, "test").otherwise("train")).drop("_all", "_rank")
+    return _quota_split(
+        df, key, seed, F.lit(0), lambda n: [("test", F.ceil(n * F.lit(test_size)))], "train"
+    )
 
 
 def stratified_split(
@@ -50,16 +98,18 @@ def stratified_split(
     """
     # The shares of the splits.
     fractions = fractions or {"train": 0.8, "test": 0.1, "validation": 0.1}
-    d = df.withColumn("_grp", F.coalesce(F.col(label).cast("string"), F.lit("\u0000")))
-    sizes = d.groupBy("_grp").agg(F.count("*").alias("_n"))
-    ranked = hash_rank(d, key, seed, ["_grp"], "_rank").join(broadcast_if_small(sizes), "_grp")
-    names, total, expr = list(fractions), 0.0, None
-    for name in names[:-1]:
-        total += fractions[name]
-        cut = F.col("_rank") < F.floor(F.col("_n") * F.lit(round(total, 9)) + F.lit(0.5))
-        expr = F.when(cut, name) if expr is None else expr.when(cut, name)
-    split = F.lit(names[-1]) if expr is None else expr.otherwise(names[-1])
-    return ranked.withColumn("split", split).drop("_grp", "_n", "_rank")
+    *names, rest = fractions
+
+    def quotas(n: Column) -> list[tuple[str, Column]]:
+        total, out = 0.0, []
+        for name in names:
+            total += fractions[name]
+            out.append((name, F.floor(n * F.lit(round(total, 9)) + F.lit(0.5))))
+        return out
+
+    # NULL labels are a group of their own.
+    group = F.coalesce(F.col(label).cast("string"), F.lit("\u0000"))
+    return _quota_split(df, key, seed, group, quotas, rest)
 
 
 def text_batches(sent: DataFrame, n: int = 1000) -> DataFrame:

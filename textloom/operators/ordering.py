@@ -106,9 +106,9 @@ def read_indexed(spark: SparkSession, path: str, name: str = "idx") -> DataFrame
     cols = rows.columns
     files = rows.select(*file_position()).groupBy("_part", "_split").agg(F.count("*").alias("_n"))
     before = W.orderBy("_part", "_split").rowsBetween(W.unboundedPreceding, -1)
-    # One row per written file.
-    starts = files.select(
-        "_part", "_split", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
+    # One row per written file, so the size is that of a file listing.
+    starts = F.broadcast(
+        files.select("_part", "_split", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     )
     return (
         rows.select("*", *file_position(), F.col("_metadata.row_index").alias("_row"))

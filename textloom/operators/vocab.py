@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import text as fx
-from textloom.operators.ordering import dense_ids
+from textloom.operators.ordering import indexed_table
 
 
 def split_words(sent: DataFrame) -> DataFrame:
@@ -48,6 +48,6 @@ def build_vocab(sent: DataFrame) -> DataFrame:
 
 
 def vocab_ids(vocab: DataFrame, first_id: int) -> DataFrame:
-    """(token, id) with dense ids from ``first_id`` on, in digest order."""
-    ids = dense_ids(vocab, "token", "_id")
+    """(token, id) with dense ids from ``first_id`` on, in token order."""
+    ids = indexed_table(vocab.select("token"), ["token"], "_id")
     return ids.select("token", (F.col("_id") + first_id).cast("int").alias("id"))

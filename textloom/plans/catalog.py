@@ -46,16 +46,21 @@ def r6(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def lang_prop(t: Inputs) -> DataFrame:
+    """Proportions over the stored sentences, for queries that read those too."""
+    return ls.lang_prop_by_doc(t.stored, TARGET)
+
+
+def lang_prop_once(t: Inputs) -> DataFrame:
     return ls.lang_prop_by_doc(t.sent, TARGET)
 
 
 def sent_keep(t: Inputs) -> DataFrame:
-    keep = cu.doc_keep(t.doc, t.corp_doc, t.sent, TARGET, PARAMS)
-    return jn.join_sent_keep(t.sent, keep, TARGET)
+    keep = cu.doc_keep(t.doc, t.corp_doc, t.stored, TARGET, PARAMS)
+    return jn.join_sent_keep(t.stored, keep, TARGET)
 
 
 def curated(t: Inputs) -> DataFrame:
-    return cu.curate(t.doc, t.corp_doc, t.sent, TARGET, PARAMS)
+    return cu.curate(t.doc, t.corp_doc, t.stored, TARGET, PARAMS)
 
 
 def flat_sent(df: DataFrame) -> DataFrame:
@@ -246,14 +251,14 @@ def filter_sources(t: Inputs) -> DataFrame:
 
 @query
 def filter_doc_quality(t: Inputs) -> DataFrame:
-    stats = lang_prop(t).join(ls.sent_stats_by_doc(t.sent), "doc_id")
+    stats = lang_prop(t).join(ls.sent_stats_by_doc(t.stored), "doc_id")
     kept = fl.filter_doc_quality(stats, 10, 0.3, 30)
     return r6(kept, "sq_prop", "avg").select("doc_id", "sq_cnt", "sq_prop", "avg", "min")
 
 
 @query
 def filter_low_prop(t: Inputs) -> DataFrame:
-    return r6(fl.filter_low_prop(lang_prop(t), t.corp_doc), "sq_prop")
+    return r6(fl.filter_low_prop(lang_prop_once(t), t.corp_doc), "sq_prop")
 
 
 @query
@@ -292,7 +297,7 @@ def vocab_charset_filter(t: Inputs) -> DataFrame:
 
 @query
 def project_bool(t: Inputs) -> DataFrame:
-    d = lang_prop(t).select("doc_id", "sq_cnt", "tot_cnt")
+    d = lang_prop_once(t).select("doc_id", "sq_cnt", "tot_cnt")
     return fl.project_bool(d, "sq_cnt", "tot_cnt", "mixed")
 
 
@@ -365,28 +370,28 @@ def join_doc_counts(t: Inputs) -> DataFrame:
 
 @query
 def theta_lang_mix(t: Inputs) -> DataFrame:
-    return jn.theta_lang_mix(t.doc, t.sent, ls.lang_dist_by_doc(t.sent), TARGET)
+    return jn.theta_lang_mix(t.doc, t.stored, ls.lang_dist_by_doc(t.stored), TARGET)
 
 
 @query
 def lang_mismatch_sample(t: Inputs) -> DataFrame:
-    return jn.lang_mismatch_sample(t.doc, t.sent, ls.lang_dist_by_doc(t.sent), TARGET)
+    return jn.lang_mismatch_sample(t.doc, t.stored, ls.lang_dist_by_doc(t.stored), TARGET)
 
 
 @query
 def anti_no_target(t: Inputs) -> DataFrame:
-    return jn.anti_no_target(t.doc, lang_prop(t), t.sent)
+    return jn.anti_no_target(t.doc, lang_prop(t), t.stored)
 
 
 @query
 def semi_kept_docs(t: Inputs) -> DataFrame:
-    keep = cu.doc_keep(t.doc, t.corp_doc, t.sent, TARGET, PARAMS)
-    return jn.semi_kept_docs(t.sent, keep).select("doc_id", "six")
+    keep = cu.doc_keep(t.doc, t.corp_doc, t.stored, TARGET, PARAMS)
+    return jn.semi_kept_docs(t.stored, keep).select("doc_id", "six")
 
 
 @query
 def anti_topn(t: Inputs) -> DataFrame:
-    return jn.anti_topn(t.plain, 500).select("doc_id", "six", "sent")
+    return jn.anti_topn(t.stored, 500).select("doc_id", "six", "sent")
 
 
 @query
@@ -396,7 +401,7 @@ def scalar_subquery_counts(t: Inputs) -> DataFrame:
 
 @query
 def join_doc_keep(t: Inputs) -> DataFrame:
-    keep = jn.join_doc_keep(t.doc, t.corp_doc, lang_prop(t), ls.sent_stats_by_doc(t.sent))
+    keep = jn.join_doc_keep(t.doc, t.corp_doc, lang_prop(t), ls.sent_stats_by_doc(t.stored))
     kept = fl.filter_doc_quality(fl.filter_sources(keep, PARAMS.exclude_sources), 10, 0.3, 30)
     return r6(kept, "sq_prop", "avg")
 
@@ -455,17 +460,17 @@ def lang_report(t: Inputs) -> DataFrame:
 
 @query
 def lang_prop_by_doc(t: Inputs) -> DataFrame:
-    return r6(lang_prop(t), "sq_prop")
+    return r6(lang_prop_once(t), "sq_prop")
 
 
 @query
 def lang_prop_report(t: Inputs) -> DataFrame:
-    return r6(ls.lang_prop_report(t.doc, t.corp_doc, lang_prop(t), t.sent), "sq_prop")
+    return r6(ls.lang_prop_report(t.doc, t.corp_doc, lang_prop(t), t.stored), "sq_prop")
 
 
 @query
 def low_count_report(t: Inputs) -> DataFrame:
-    return r6(ls.low_count_report(t.doc, t.corp_doc, lang_prop(t)), "sq_prop")
+    return r6(ls.low_count_report(t.doc, t.corp_doc, lang_prop_once(t)), "sq_prop")
 
 
 @query
@@ -477,7 +482,7 @@ def corpus_totals(t: Inputs) -> DataFrame:
 
 @query
 def corpus_avg_prop(t: Inputs) -> DataFrame:
-    return r6(ls.corpus_avg_prop(t.corp_doc, t.corp_src, lang_prop(t)), "sq_prop_ave")
+    return r6(ls.corpus_avg_prop(t.corp_doc, t.corp_src, lang_prop_once(t)), "sq_prop_ave")
 
 
 @query
@@ -507,7 +512,7 @@ def lang_dist_one_doc(t: Inputs) -> DataFrame:
 
 @query
 def lang_dist_low_prop(t: Inputs) -> DataFrame:
-    return ls.lang_dist_low_prop(t.sent, lang_prop(t))
+    return ls.lang_dist_low_prop(t.stored, lang_prop(t))
 
 
 @query
@@ -594,7 +599,7 @@ def ordered_export(t: Inputs) -> DataFrame:
 
 @query
 def bottom_k_docs(t: Inputs) -> DataFrame:
-    return ls.bottom_k_docs(t.plain.select("doc_id", "six", "sent"), lang_prop(t))
+    return ls.bottom_k_docs(t.stored.select("doc_id", "six", "sent"), lang_prop(t))
 
 
 @query
@@ -617,7 +622,7 @@ def shuffle_docs(t: Inputs) -> DataFrame:
 @query
 def insert_select(t: Inputs) -> DataFrame:
     keep = sent_keep(t).select("doc_id", "six", "sent", "toklen")
-    return cu.insert_select(keep, t.sent, t.corp_doc, "src3", TARGET)
+    return cu.insert_select(keep, t.stored, t.corp_doc, "src3", TARGET)
 
 
 @query
@@ -648,7 +653,8 @@ def build_vocab(t: Inputs) -> DataFrame:
 
 @query
 def train_test_split(t: Inputs) -> DataFrame:
-    return ds.train_test_split(t.plain.select("doc_id", "six", "sent"), ["doc_id", "six"], 0.25, SEED)
+    sent = staged(t.plain.select("doc_id", "six", "sent"), "sent")
+    return ds.train_test_split(sent, ["doc_id", "six"], 0.25, SEED)
 
 
 @query
@@ -680,7 +686,7 @@ def encoded(t: Inputs) -> DataFrame:
     """Sentences and vocabulary are tables of their own, built once."""
     sent = staged(t.plain.select("doc_id", "six", "sent"), "sent")
     ids = vo.vocab_ids(vo.build_vocab(sent), ds.FIRST_TOKEN_ID)
-    return ds.encode_tokens(sent, staged(ids, "vocab"))
+    return ds.encode_tokens(sent, ids)
 
 
 @query

@@ -137,7 +137,7 @@ def build_dataset(
     Splits are packed apart, so no chunk mixes them. ``mask`` is ``token`` or
     ``word``.
     """
-    ids = staged(vo.vocab_ids(vocab, ds.FIRST_TOKEN_ID), "vocab")
+    ids = vo.vocab_ids(vocab, ds.FIRST_TOKEN_ID)
     split = staged(
         ds.train_test_split(sent.select("doc_id", "six", "sent"), ["doc_id", "six"], test_size, seed),
         "split",

@@ -484,7 +484,7 @@ GROUP BY 1, 2""",
 )
 ENCODED = f""",
 vocab AS (
-  SELECT token, CAST(row_number() OVER (ORDER BY md5('0:' || token), token) + 4 AS INTEGER) AS id
+  SELECT token, CAST(row_number() OVER (ORDER BY token) + 4 AS INTEGER) AS id
   FROM ({_vocab.replace('{}', 'sent')})),
 toks AS (
   SELECT doc_id, six, generate_subscripts(string_split(sent, ' '), 1) - 1 AS pos, unnest(string_split(sent, ' ')) AS token

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from textloom.functions import markup
 from textloom.functions import text as fx
 from textloom.schemas import SENT_COLUMNS
-from textloom.session import spread
+from textloom.session import spread, staged
 
 TARGET = "en"
 
@@ -122,6 +122,15 @@ class Inputs:
     def sent(self) -> DataFrame:
         return with_lang(self.plain).select(*SENT_COLUMNS)
 
+    @cached_property
+    def stored(self) -> DataFrame:
+        """The sentences as a written table, for queries that use them more
+        than once. Spans follow from the text and are filled in on reading."""
+        cols = ["doc_id", "six", "sid", "lang", "sent", "toklen"]
+        table = staged(self.sent.select(*cols), "sent")
+        spans = fx.encode_spans(F.split("sent", " "))
+        return table.withColumn("spans", spans).select(*SENT_COLUMNS)
+
     @cached_property
     def paragraphs(self) -> DataFrame:
         return spread(self.documents.select("doc_id", "text"), "doc_id").select(
