@@ -94,25 +94,21 @@ def indexed_table(df: DataFrame, order: Sequence[str], name: str = "idx") -> Dat
     return read_indexed(spark, path, name)
 
 
-def file_position() -> list[Column]:
-    """Order of the part files of one sorted write."""
-    part = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("int")
-    split = F.regexp_extract("_metadata.file_name", r"-c(\d+)", 1).cast("int")
-    return [part.alias("_part"), split.alias("_split")]
-
-
 def read_indexed(spark: SparkSession, path: str, name: str = "idx") -> DataFrame:
+    """A sorted write with each row's position over all its part files."""
     rows = spark.read.parquet(path)
     cols = rows.columns
-    files = rows.select(*file_position()).groupBy("_part", "_split").agg(F.count("*").alias("_n"))
+    file = F.col("_metadata.file_name").alias("_file")
+    part = F.regexp_extract("_file", r"^part-(\d+)", 1).cast("int")
+    split = F.regexp_extract("_file", r"-c(\d+)", 1).cast("int")
     before = W.orderBy("_part", "_split").rowsBetween(W.unboundedPreceding, -1)
-    # One row per written file, so the size is that of a file listing.
-    starts = F.broadcast(
-        files.select("_part", "_split", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    )
+    files = rows.select(file).groupBy("_file").agg(F.count("*").alias("_n"))
+    start = F.coalesce(F.sum("_n").over(before), F.lit(0))
+    starts = files.withColumns({"_part": part, "_split": split}).select("_file", start.alias("_start"))
+    # One row per written file: the size of a file listing.
     return (
-        rows.select("*", *file_position(), F.col("_metadata.row_index").alias("_row"))
-        .join(starts, ["_part", "_split"])
+        rows.select("*", file, F.col("_metadata.row_index").alias("_row"))
+        .join(F.broadcast(starts), "_file")
         .select(*cols, (F.col("_start") + F.col("_row")).alias(name))
     )
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as fx
 from textloom.operators.ordering import indexed_table
+from textloom.session import computed
 
 
 def split_words(sent: DataFrame) -> DataFrame:
@@ -39,12 +40,14 @@ def vocab_charset_filter(vocab: DataFrame, max_codepoint: int = 255) -> DataFram
 def build_vocab(sent: DataFrame) -> DataFrame:
     """Distinct cleaned tokens.
 
-    Trimming and filtering come before the distinct: each token is judged on
-    its own, and fewer of them shuffle.
+    Only the cheap length bound is checked for every occurrence of a word; the
+    patterns are matched once per distinct word. The words have no blanks to
+    trim, so trimming cannot make two of them equal.
     """
-    words = split_words(sent).select(fx.trim_token("value").alias("token"))
-    kept = vocab_charset_filter(vocab_case_filter(vocab_filter(words)))
-    return kept.distinct()
+    value = F.col("value")
+    words = split_words(sent).select("value").filter(F.length(value).between(2, 20)).distinct()
+    tokens = computed(words, token=fx.trim_token(value)).select("token")
+    return vocab_charset_filter(vocab_case_filter(vocab_filter(tokens)))
 
 
 def vocab_ids(vocab: DataFrame, first_id: int) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from textloom.functions import markup
 from textloom.functions import text as fx
 from textloom.schemas import SENT_COLUMNS
-from textloom.session import spread, staged
+from textloom.session import computed, spread, staged
 
 TARGET = "en"
 
@@ -29,16 +29,6 @@ def sentences_of(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def computed(df: DataFrame, **exprs: F.Column) -> DataFrame:
-    """Adds costly columns that are worked out once per row.
-
-    A generator yields them, because filters on an ordinary projected column
-    move below the projection and repeat its expression.
-    """
-    one = F.array(F.struct(*[e.alias(n) for n, e in exprs.items()]))
-    return df.select("*", F.inline(one))
-
-
 def sentence_columns(tokens: DataFrame) -> DataFrame:
     """(doc_id, six, sid, tokens) rows with text, spans and length; the
     columns a query does not use are pruned."""

@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _local_dirs: dict[str, str] = {}
 
@@ -49,6 +50,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def computed(df: DataFrame, **exprs: Column) -> DataFrame:
+    """Adds costly columns that are worked out once per row.
+
+    A generator yields them, because filters on an ordinary projected column
+    move below the projection and repeat its expression.
+    """
+    one = F.array(F.struct(*[e.alias(n) for n, e in exprs.items()]))
+    return df.select("*", F.inline(one))
+
+
 def staged(df: DataFrame, name: str = "staged") -> DataFrame:
     """The rows written once to the shared folder and read back.
 
@@ -72,12 +83,24 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df
 
 
+def _row_bytes(df: DataFrame) -> Column:
+    total = F.lit(0)
+    for f in df.schema.fields:
+        if isinstance(f.dataType, T.StringType):
+            total = total + F.coalesce(F.octet_length(f.name), F.lit(0)) + 16
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            total = total + F.coalesce(F.length(F.to_json(F.struct(f.name))), F.lit(0))
+        else:
+            total = total + 8
+    return total
+
+
 def broadcast_if_small(df: DataFrame, max_bytes: int = 64 << 20, max_rows: int = 1_000_000) -> DataFrame:
     """Broadcast hint behind a measured size; a larger side keeps its shuffle
     join, where adaptive execution splits skewed partitions."""
-    probe = df.limit(max_rows + 1).select(
-        F.length(F.to_json(F.struct(*df.columns))).alias("b")
-    ).agg(F.count("*").alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()
+    probe = df.agg(
+        F.count("*").alias("n"), F.coalesce(F.sum(_row_bytes(df)), F.lit(0)).alias("b")
+    ).first()
     if probe["n"] <= max_rows and probe["b"] <= max_bytes:
         return F.broadcast(df)
     return df

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from textloom import schemas
 from textloom.functions import markup
 from textloom.functions import text as fx
-from textloom.operators.ordering import dense_ids, file_position, first_n, running_sum
+from textloom.operators.ordering import dense_ids, read_indexed, running_sum
 
 SIZE_LIMIT = 10**9
 WIKI_MIN_BYTES = 70
@@ -281,8 +281,8 @@ def read_dataset(spark: SparkSession, path: str, read_limit: int | None = None)
     df = spark.read.schema(schemas.DATASET).parquet(path)
     if read_limit is None:
         return df
-    placed = df.select("text", *file_position(), F.col("_metadata.row_index").alias("_row"))
-    return first_n(placed, read_limit, ["_part", "_split", "_row"]).select("text")
+    placed = read_indexed(spark, path, "_idx")
+    return placed.filter(F.col("_idx") < read_limit).select("text")
 
 
 # Parser plug-ins: format name to reader of (spark, path).
