@@ -32,7 +32,9 @@ def rows(columns, data):
 
 
 def differences(df, con, sql: str) -> str | None:
+    start = time.time()
     got = rows(df.columns, [tuple(r) for r in df.collect()])
+    differences.spark = time.time() - start
     res = con.execute(sql)
     want = rows([d[0] for d in res.description], res.fetchall())
     if got == want:
@@ -61,7 +63,7 @@ def main(names: list[str]) -> int:
             df = queries[name](spark, path)
             if name in oracle:
                 diff = differences(df, con, oracle[name])
-                status = "ok" if diff is None else f"DIFF {diff}"
+                status = f"ok spark {differences.spark:.1f}s" if diff is None else f"DIFF {diff}"
             else:
                 status = f"rows {df.count()}"
         except Exception as e:  # noqa: BLE001

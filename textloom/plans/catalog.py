@@ -365,7 +365,7 @@ def ls_target(t: Inputs) -> DataFrame:
 
 @query
 def join_doc_counts(t: Inputs) -> DataFrame:
-    return jn.join_doc_counts(t.doc, t.corp_doc, ls.doc_counts(t.doc, t.plain))
+    return jn.join_doc_counts(t.doc, t.corp_doc, ls.doc_counts(t.doc, t.places))
 
 
 @query
@@ -416,7 +416,7 @@ def join_sent_keep(t: Inputs) -> DataFrame:
 
 @query
 def count_rows(t: Inputs) -> DataFrame:
-    return ls.count_rows(t.plain)
+    return ls.count_rows(t.places)
 
 
 @query
@@ -440,7 +440,7 @@ def single_doc_corpora(t: Inputs) -> DataFrame:
 
 @query
 def doc_counts(t: Inputs) -> DataFrame:
-    return ls.doc_counts(t.doc, t.plain)
+    return ls.doc_counts(t.doc, t.places)
 
 
 @query
@@ -502,7 +502,7 @@ def having_foreign_gt(t: Inputs) -> DataFrame:
 
 @query
 def doc_total(t: Inputs) -> DataFrame:
-    return ls.doc_total(t.doc, t.plain, 3)
+    return ls.doc_total(t.doc, t.places, 3)
 
 
 @query
@@ -547,7 +547,7 @@ def corpus_stats(t: Inputs) -> DataFrame:
 
 @query
 def corpus_sources(t: Inputs) -> DataFrame:
-    return rp.corpus_sources(t.corp_src, t.corp_doc, t.doc, t.plain)
+    return rp.corpus_sources(t.corp_src, t.corp_doc, t.doc, t.places)
 
 
 @query
@@ -720,7 +720,7 @@ def mask_tokens(t: Inputs) -> DataFrame:
 
 @query
 def steps_per_epoch(t: Inputs) -> DataFrame:
-    return ds.steps_per_epoch(t.plain)
+    return ds.steps_per_epoch(t.places)
 
 
 @query

@@ -21,10 +21,14 @@ from textloom.session import computed, spread, staged
 TARGET = "en"
 
 
+def raw_sentences(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, six, raw) before tokenisation: enough to count sentences."""
+    return docs.select("doc_id", F.posexplode(fx.text_sentences(text)).alias("six", "raw"))
+
+
 def sentences_of(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, …, text) rows to (doc_id, six, sid, tokens)."""
-    raw = docs.select("doc_id", F.posexplode(fx.text_sentences(text)).alias("six", "raw"))
-    return computed(raw, tokens=fx.tokenize("raw")).select(
+    return computed(raw_sentences(docs, text), tokens=fx.tokenize("raw")).select(
         "doc_id", "six", F.col("six").cast("string").alias("sid"), "tokens"
     )
 
@@ -99,9 +103,18 @@ class Inputs:
         sid = F.regexp_extract("id", r"(\d+)$", 1).cast("int")
         return self.corp_src.withColumn("sid", sid)
 
+    @cached_property
+    def texts(self) -> DataFrame:
+        return spread(self.documents.select("doc_id", "text"), "doc_id")
+
+    @cached_property
+    def places(self) -> DataFrame:
+        """Keys of the sentences, for counts."""
+        return raw_sentences(self.texts).select("doc_id", "six")
+
     @cached_property
     def tokens(self) -> DataFrame:
-        return sentences_of(spread(self.documents.select("doc_id", "text"), "doc_id"))
+        return sentences_of(self.texts)
 
     @cached_property
     def plain(self) -> DataFrame:
@@ -123,7 +136,7 @@ class Inputs:
 
     @cached_property
     def paragraphs(self) -> DataFrame:
-        return spread(self.documents.select("doc_id", "text"), "doc_id").select(
+        return self.texts.select(
             "doc_id", F.posexplode(fx.split_paragraphs("text")).alias("para_no", "para")
         )
 

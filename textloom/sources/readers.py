@@ -282,7 +282,7 @@ def read_dataset(spark: SparkSession, path: str, read_limit: int | None = None)
     if read_limit is None:
         return df
     placed = read_indexed(spark, path, "_idx")
-    return placed.filter(F.col("_idx") < read_limit).select("text")
+    return placed.filter(F.col("_idx") < read_limit).orderBy("_idx").select("text")
 
 
 # Parser plug-ins: format name to reader of (spark, path).
