@@ -18,7 +18,7 @@ from textloom.operators import ml
 from textloom.operators import reports as rp
 from textloom.operators import vocab as vo
 from textloom.plans import jobs
-from textloom.plans.catalog import PARAMS, SEED, curated, flat_sent, joined, query
+from textloom.plans.catalog import SEED, curated, flat_sent, joined, query
 from textloom.plans.tables import TARGET, Inputs
 from textloom.session import new_path, spread, staged
 from textloom.sources import named, readers, writers
