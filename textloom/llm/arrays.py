@@ -25,6 +25,21 @@ def with_row_hash(docs: DataFrame, name: str = "_row") -> DataFrame:
     return docs.withColumn(name, F.xxhash64(F.coalesce("text", F.lit(""))))
 
 
+def nested(docs: DataFrame) -> DataFrame:
+    """The rows as one column ``doc``, beside doc_id and ``_row``: no column of
+    ``docs`` can clash with a name that is used on the way."""
+    return docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("_row"),
+    )
+
+
+def same_row(named: DataFrame) -> Column:
+    """Whether a row of ``nested`` is that of ``_id`` and ``_same``."""
+    return named["doc_id"].eqNullSafe(F.col("_id")) & (named["_row"] == F.col("_same"))
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z and nothing else; null counts as empty."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -239,9 +239,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
         .select(F.col("doc_id").alias("_id"), F.col("_row").alias("_same"))
         .distinct()
     )
-    keyed = ar.with_row_hash(docs)
-    same = keyed["doc_id"].eqNullSafe(F.col("_id")) & (keyed["_row"] == F.col("_same"))
-    return keyed.join(bad, same, "left_anti").select(docs.columns)
+    keyed = ar.nested(docs)
+    return keyed.join(bad, ar.same_row(keyed), "left_anti").select("doc.*")
 
 
 def oracle_sql() -> str:

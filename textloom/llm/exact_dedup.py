@@ -24,7 +24,7 @@ def sha256(text: Column) -> Column:
 
 def _keyed(docs: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
     """doc_id, normalised text, digest, and where the row's content lies."""
-    meta = F.col("_metadata")
+    meta = docs.metadataColumn("_metadata")
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         lower_ascii(F.col("text")).alias("norm"),

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.arrays import with_row_hash
+from textloom.llm.arrays import nested, same_row
 from textloom.session import staged
 
 WINDOW = 3
@@ -63,23 +63,19 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     an empty text, a null text stays null with 0 lines. Rows equal in doc_id and
     text are one document. Other columns pass through.
     """
-    keyed = with_row_hash(docs)
-    covered = repeated_lines(keyed.select("doc_id", "_row", "text").distinct()).select(
+    keyed = nested(docs)
+    covered = repeated_lines(keyed.select("doc_id", "_row", F.col("doc.text").alias("text"))).select(
         F.col("doc_id").alias("_id"), F.col("_row").alias("_same"), "covered"
     )
-    joined = keyed.join(
-        covered, keyed["doc_id"].eqNullSafe(F.col("_id")) & (keyed["_row"] == F.col("_same")), "left"
-    )
-    lines = F.split("text", "\n", -1)
+    joined = keyed.join(covered, same_row(keyed), "left").withColumn("lines", F.split("doc.text", "\n", -1))
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("covered"))
-    names = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
-    text = F.when(F.col("covered").isNull(), F.col("text")).otherwise(
+    text = F.when(F.col("covered").isNull(), F.col("doc.text")).otherwise(
         F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n")
     )
-    return joined.withColumn("lines", lines).select(
-        *names,
-        text.alias("text"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return joined.select(
+        *[text.alias(c) if c == "text" else F.col("doc").getField(c).alias(c) for c in names],
+        F.when(F.col("doc.text").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
         F.coalesce(F.size("covered"), F.lit(0)).cast("long").alias("n_removed"),
     )
 

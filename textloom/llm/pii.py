@@ -267,30 +267,31 @@ def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     stay as they are, a null text stays null, columns of these names are
     replaced and others pass through. Rows equal in doc_id and text are alike.
     """
-    keyed = ar.with_row_hash(docs)
-    found = staged(detected(keyed.withColumn("doc_id", F.col("doc_id").cast("long"))).distinct(), "mentions")
+    keyed = ar.nested(docs)
+    found = staged(detected(keyed.select("doc_id", "_row", F.col("doc.text").alias("text"))).distinct(), "mentions")
     mapped = surrogates(found.select("kind", "canon").distinct(), key)
     of_doc = (
         found.join(mapped, ["kind", "canon"])
         .groupBy("doc_id", "_row")
-        .agg(F.collect_list(F.struct("kind", "canon", "surrogate")).alias("_new"), F.sum("n").alias("n_entities"))
-        .select(F.col("doc_id").alias("_id"), F.col("_row").alias("_same"), "_new", "n_entities")
-    )
-    joined = keyed.join(
-        of_doc, keyed["doc_id"].eqNullSafe(F.col("_id")) & (keyed["_row"] == F.col("_same")), "left"
+        .agg(F.collect_list(F.struct("kind", "canon", "surrogate")).alias("new"), F.sum("n").alias("total"))
+        .select(F.col("doc_id").alias("_id"), F.col("_row").alias("_same"), "new", "total")
     )
     names = [c for c in docs.columns if c not in ("n_entities", "n_distinct")]
-    sizes = [
-        F.coalesce("n_entities", F.lit(0)).cast("long").alias("n_entities"),
-        F.coalesce(F.size("_new"), F.lit(0)).cast("long").alias("n_distinct"),
-    ]
-    ready = joined.select(*[keyed[c] for c in names], *sizes, "_new")
-    schema = ready.drop("_new").schema
+    extra = "new"
+    while extra in docs.columns:
+        extra += "_"
+    ready = keyed.join(of_doc, ar.same_row(keyed), "left").select(
+        *[F.col("doc").getField(c).alias(c) for c in names],
+        F.coalesce("total", F.lit(0)).cast("long").alias("n_entities"),
+        F.coalesce(F.size("new"), F.lit(0)).cast("long").alias("n_distinct"),
+        F.col("new").alias(extra),
+    )
+    schema = ready.drop(extra).schema
     order = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, new = batch.column("text"), batch.column("_new")
+            texts, new = batch.column("text"), batch.column(extra)
             changed = {}
             for i in pc.indices_nonzero(new.is_valid()).to_pylist():
                 of = {(x["kind"], x["canon"]): x["surrogate"] for x in new[i].as_py()}
