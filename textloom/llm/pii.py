@@ -49,10 +49,12 @@ _TITLE_OF = {t.casefold(): g for g, all_ in TITLES.items() for t in all_}
 _GIVEN_OF = {n.casefold(): g for g, all_ in GIVEN.items() for n in all_}
 _NAME = r"[^\W\d_a-zà-öø-ÿа-яα-ω][^\W\d_]+(?:[-'’][^\W\d_]+)*"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_ADDRESS = sorted({f(t) for v in TITLES.values() for t in v for f in (str, str.upper)})
+_FIRST = sorted({f(n) for v in GIVEN.values() for n in v for f in (str, str.upper)})
 _PERSON = (
-    r"(?<!\w)(?:(?P<title>" + "|".join(t if len(t) > 1 else t + r"(?=\.)" for v in TITLES.values() for t in v) + r")\.?[ \xa0]+"
+    r"(?<!\w)(?:(?P<title>" + "|".join(t if len(t) > 1 else t + r"(?=\.)" for t in _ADDRESS) + r")\.?[ \xa0]+"
     rf"(?P<first>{_NAME})(?:[ \xa0]+(?P<second>{_NAME}))?"
-    r"|(?P<given>" + "|".join(n for v in GIVEN.values() for n in v) + rf")[ \xa0]+(?P<family>{_NAME}))(?!\w)"
+    r"|(?P<given>" + "|".join(_FIRST) + rf")[ \xa0]+(?P<family>{_NAME}))(?!\w)"
 )
 _PATTERNS = {
     "email": r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}",
@@ -66,7 +68,7 @@ _PATTERNS = {
 }
 _ANY = re.compile("|".join([*(f"(?P<{k}>{v})" for k, v in _PATTERNS.items()), _PERSON]))
 #: What every mention contains, to pass over other texts quickly.
-_HINT = r"[0-9]|@|" + "|".join(sorted({*(t for v in TITLES.values() for t in v if len(t) > 1), *(n for v in GIVEN.values() for n in v), r"M\.[ \x{a0}]"}))
+_HINT = "[0-9]|@|" + "|".join([*(t if len(t) > 1 else t + r"\." for t in _ADDRESS), *_FIRST])
 
 #: A mention: start, end, type (names: given or family with gender), canonical form.
 Mention = tuple[int, int, str, str]
