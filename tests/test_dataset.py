@@ -116,14 +116,13 @@ def test_splits(spark):
     assert sum(v for (lab, _), v in counts.items() if lab is None) == 11
 
 
-def test_encode_without_broadcast(spark, monkeypatch):
+def test_encode_without_broadcast(spark):
     rows = [(1, 0, "the a the zz"), (1, 1, "a"), (2, 0, "the the")]
     sent = spark.createDataFrame(rows, "doc_id bigint, six int, sent string")
     vocab = spark.createDataFrame([("the", 5), ("a", 6)], "token string, id int")
     want = {(1, 0): [0, 5, 6, 5, 3, 2], (1, 1): [0, 6, 2], (2, 0): [0, 5, 5, 2]}
-    for f in (lambda d: F.broadcast(d), lambda d: d):
-        monkeypatch.setattr(ds, "broadcast_if_small", f)
-        out = ds.encode_tokens(sent, vocab).collect()
+    for f in (lambda d: F.broadcast(d), lambda d: d.hint("merge")):
+        out = ds.encode_tokens(sent, f(vocab)).collect()
         assert {(r.doc_id, r.six): r.input_ids for r in out} == want
         assert next(r for r in out if r.six == 1).word_ids == [None, 0, None]
 

@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.operators import ordering as od
-from textloom.session import broadcast_if_small
 
 
 @pytest.fixture(scope="module")
@@ -73,15 +72,6 @@ def test_shuffle_keeps_documents_together(skewed):
     assert all(a[0] != b[0] or a[1] < b[1] for a, b in zip(rows, rows[1:]))
 
 
-def test_broadcast_is_checked(spark):
-    small = broadcast_if_small(spark.range(10))
-    assert "ResolvedHint" in small._jdf.queryExecution().analyzed().toString()
-    large = broadcast_if_small(spark.range(10), max_rows=5)
-    assert "ResolvedHint" not in large._jdf.queryExecution().analyzed().toString()
-    heavy = spark.createDataFrame([("x" * 1000,)], "s string")
-    assert "ResolvedHint" not in broadcast_if_small(heavy, max_bytes=100)._jdf.queryExecution().analyzed().toString()
-
-
 def test_nest_documents(spark):
     df = spark.createDataFrame([(1, 0, 1, ["b"]), (1, 0, 0, ["a"])], "doc_id bigint, chunk_id int, six int, tokens array<string>")
     out = od.nest_documents(df.withColumn("tokens", F.col("tokens"))).first()

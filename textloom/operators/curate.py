@@ -18,7 +18,11 @@ from textloom.session import staged
 
 @dataclass(frozen=True)
 class CurateParams:
-    """Fixed default values of the curation steps."""
+    """Default values of the curation steps.
+
+    ``drop_first`` removes that many sentences in text order, a decision to be
+    taken for a corpus at hand.
+    """
 
     min_cnt: int = 50
     min_prop: float = 0.95
@@ -26,7 +30,7 @@ class CurateParams:
     exclude_sources: Sequence[str] = fl.EXCLUDED_SOURCES
     lo_tokens: int = 5
     hi_tokens: int = 450
-    drop_first: int = 500
+    drop_first: int = 0
     min_chars: int = 10
     safe_tags: bool = False
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from textloom.functions import text as fx
 from textloom.operators.ordering import indexed_table, seeded_hash
 from textloom.operators.vocab import split_words
-from textloom.session import broadcast_if_small, staged
+from textloom.session import staged
 
 # Special token ids, and the label that training ignores.
 SPECIAL_IDS = {"cls": 0, "pad": 1, "sep": 2, "unk": 3, "mask": 4}
@@ -59,7 +59,7 @@ def _quota_split(
         .filter(F.col("_quota").between(F.col("_cum") - F.col("_c") + 1, F.col("_cum")))
         .select("_g", "_b", "_split", (F.col("_quota") - F.col("_cum") + F.col("_c")).alias("_need"))
     )
-    ends = broadcast_if_small(staged(ends, "ends"))
+    ends = staged(ends, "ends")
     ranked = (
         d.select("_g", F.substring("_h", 1, 5).alias("_b"), place.alias("_at"))
         .join(ends, ["_g", "_b"])
@@ -68,7 +68,7 @@ def _quota_split(
     cuts = ranked.filter("_rn = _need").groupBy("_g").agg(
         *[F.max(F.when(F.col("_split") == n, F.col("_at"))).alias(f"_{n}") for n in names]
     )
-    out = d.join(broadcast_if_small(staged(cuts, "cuts")), "_g", "left")
+    out = d.join(staged(cuts, "cuts"), "_g", "left")
     split = F.lit(rest)
     for n in reversed(names):
         split = F.when(place <= F.col(f"_{n}"), n).otherwise(split)
@@ -160,12 +160,12 @@ def encode_tokens(
 ) -> DataFrame:
     """Sentences as vocabulary ids with the word index of each.
 
-    ``vocab`` is (token, id). A vocabulary of a measured small size joins
-    without moving the tokens, and the lists form on the map side. Special
+    ``vocab`` is (token, id); a written one has a known size, by which Spark
+    chooses whether its join moves the tokens. Special
     ids at both ends have no word index.
     """
     toks = sent.select("doc_id", "six", F.posexplode(F.split("sent", " ")).alias("pos", "token"))
-    ids = toks.join(broadcast_if_small(vocab.select("token", "id")), "token", "left")
+    ids = toks.join(vocab.select("token", "id"), "token", "left")
     rows = ids.groupBy("doc_id", "six").agg(
         F.array_sort(
             F.collect_list(F.struct("pos", F.coalesce("id", F.lit(unk_id)).alias("id")))
@@ -240,11 +240,13 @@ def word_index(word_ids: Column) -> Column:
 
 
 def _draw(seed: int, epoch: int, tag: str, i: Column) -> Column:
-    """Uniform draw in [0, 1) fixed by chunk and position."""
-    h = F.xxhash64(
-        F.lit(seed), F.lit(epoch), F.lit(tag), F.col("batch_id"), F.col("chunk_no"), i
+    """Uniform draw in [0, 1) fixed by chunk and position, the same in any SQL
+    engine."""
+    key = F.concat_ws(
+        ":", F.lit(f"{seed}:{epoch}:{tag}"), F.col("batch_id").cast("string"),
+        F.col("chunk_no").cast("string"), i.cast("string"),
     )
-    return F.pmod(h, F.lit(1 << 40)) / F.lit(float(1 << 40))
+    return F.conv(F.substring(F.md5(key), 1, 10), 16, 10).cast("bigint") / F.lit(float(1 << 40))
 
 
 def mask_whole_word(
@@ -335,7 +337,3 @@ def propagate_labels(reviews: DataFrame) -> DataFrame:
         F.explode(F.filter(pieces, lambda s: s != "")).alias("sent"), "topic", "emotion", "label"
     )
 
-
-def tokens_of(sent: DataFrame) -> DataFrame:
-    """Adds the tokens of a space-joined sentence."""
-    return sent.withColumn("tokens", fx.decode_spans("sent", "spans"))

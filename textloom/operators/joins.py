@@ -3,7 +3,7 @@
 Sentence counts are taken per document before any join, so a join moves one
 row per document instead of all its sentences. Row-level joins leave the
 choice of strategy and the splitting of skewed partitions to adaptive
-execution; only dimensions of a measured size are broadcast.
+execution.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.operators.ordering import first_n
-from textloom.session import broadcast_if_small
 
 
 def _bounded(df: DataFrame, limit: int | None, order: list[str]) -> DataFrame:
@@ -28,7 +27,7 @@ def join_doc_sent(
 
 
 def join_source_url(corp_doc: DataFrame, corp_src: DataFrame) -> DataFrame:
-    src = broadcast_if_small(corp_src.select(F.col("id").alias("name"), "url"))
+    src = corp_src.select(F.col("id").alias("name"), "url")
     return corp_doc.join(src, "name").select("name", "file", "url").orderBy("name", "file")
 
 
@@ -40,7 +39,7 @@ def join_source_by_sid(
     src = corp_src.select("sid", "id", F.col("name").alias("src_name"), "url")
     if source is not None:
         src = src.filter(F.col("id") == source)
-    docs = corp_doc.join(broadcast_if_small(src), "sid").select(
+    docs = corp_doc.join(src, "sid").select(
         "doc_id", "id", F.col("src_name").alias("name"), "url", "file"
     )
     return sent.join(docs, "doc_id").select("id", "name", "url", "file", "sent")
@@ -55,7 +54,7 @@ def docs_of_sources(
     if source is not None:
         src, cd = src.filter(F.col("id") == source), cd.filter(F.col("id") == source)
     return (
-        cd.join(broadcast_if_small(src), "id")
+        cd.join(src, "id")
         .join(doc.select("doc_id"), "doc_id")
         .select("doc_id", "id", F.col("src_name").alias("name"), "url", "file")
     )
@@ -93,17 +92,14 @@ def join_doc_counts(doc: DataFrame, corp_doc: DataFrame, doc_counts: DataFrame)
     )
 
 
-def theta_lang_mix(doc: DataFrame, sent: DataFrame, lang_dist: DataFrame, target: str) -> DataFrame:
+def theta_lang_mix(doc: DataFrame, profile: DataFrame) -> DataFrame:
     """Foreign-language sentences of the documents that have target ones.
 
-    The inequality only compares with the constant target, so it becomes a
-    filter below the grouped count.
+    The inequality only compares with the constant target, so both counts are
+    in the document profile.
     """
-    foreign = sent.filter(F.col("lang") != target).groupBy("doc_id").agg(F.count("*").alias("cnt"))
-    has_target = lang_dist.filter(F.col("lang") == target).select("doc_id")
-    return (
-        foreign.join(has_target, "doc_id").join(doc, "doc_id").select("doc_id", "file", "cnt")
-    )
+    mixed = profile.filter("sq_cnt > 0 and other_cnt > 0").select("doc_id", F.col("other_cnt").alias("cnt"))
+    return mixed.join(doc, "doc_id").select("doc_id", "file", "cnt")
 
 
 def lang_mismatch_sample(
@@ -122,12 +118,11 @@ def lang_mismatch_sample(
     return first_n(out, limit, ["doc_id", "six"]).drop("six")
 
 
-def anti_no_target(doc: DataFrame, lang_prop: DataFrame, sent: DataFrame) -> DataFrame:
+def anti_no_target(doc: DataFrame, profile: DataFrame) -> DataFrame:
     """Documents without any target sentence, with their sentence counts."""
-    missing = doc.join(lang_prop.select("doc_id"), "doc_id", "left_anti")
-    n = sent.groupBy("doc_id").agg(F.count("*").alias("cnt"))
-    return missing.join(n, "doc_id", "left").select(
-        "doc_id", "file", F.coalesce("cnt", F.lit(0)).cast("bigint").alias("cnt")
+    known = doc.join(profile.select("doc_id", "sq_cnt", "tot_cnt"), "doc_id", "left")
+    return known.filter(F.coalesce("sq_cnt", F.lit(0)) == 0).select(
+        "doc_id", "file", F.coalesce("tot_cnt", F.lit(0)).cast("bigint").alias("cnt")
     )
 
 
@@ -151,15 +146,13 @@ def anti_topn(sent: DataFrame, n: int = 500) -> DataFrame:
     return sent.filter(F.struct(*order) > last.scalar())
 
 
-def join_doc_keep(
-    doc: DataFrame, corp_doc: DataFrame, lang_prop: DataFrame, sent_stats: DataFrame
-) -> DataFrame:
-    """Per-document names and statistics, largest documents first."""
+def join_doc_keep(doc: DataFrame, corp_doc: DataFrame, profile: DataFrame) -> DataFrame:
+    """Names and statistics of the documents with target sentences, largest
+    documents first."""
     return (
         doc.select("doc_id", "file")
         .join(corp_doc.select("doc_id", "name"), "doc_id")
-        .join(lang_prop, "doc_id")
-        .join(sent_stats, "doc_id")
+        .join(profile.filter("sq_cnt > 0"), "doc_id")
         .select("doc_id", "name", "file", "sq_cnt", "tot_cnt", "sq_prop", "avg", "min")
         .orderBy(F.desc("tot_cnt"), "doc_id")
     )
@@ -172,5 +165,5 @@ def join_sent_keep(sent: DataFrame, doc_keep: DataFrame, target: str) -> DataFra
 
 
 def apply_split_ids(df: DataFrame, split_ids: DataFrame, key: str) -> DataFrame:
-    ids = broadcast_if_small(split_ids.select(F.col("row_id").alias(key), "split"))
+    ids = split_ids.select(F.col("row_id").alias(key), "split")
     return df.join(ids, key)

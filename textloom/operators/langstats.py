@@ -114,18 +114,16 @@ def sent_stats_by_doc(sent: DataFrame) -> DataFrame:
     )
 
 
-def lang_prop_report(
-    doc: DataFrame, corp_doc: DataFrame, lang_prop: DataFrame, sent: DataFrame
-) -> DataFrame:
-    """Proportions with corpus names and a cross-check of the totals."""
-    n = sents_per_doc(sent).withColumnRenamed("cnt", "_n")
+def lang_prop_report(doc: DataFrame, corp_doc: DataFrame, lang_prop: DataFrame) -> DataFrame:
+    """Proportions with corpus names and a cross-check of the totals: target,
+    other and undetected sentences must be all of them."""
+    parts = F.col("sq_cnt") + F.col("other_cnt") + F.col("no_lang_cnt")
     return (
         lang_prop.join(doc.select("doc_id", "file"), "doc_id")
         .join(corp_doc.select("doc_id", "name"), "doc_id")
-        .join(n, "doc_id", "left")
         .select(
             "doc_id", "name", "file", "sq_prop", "sq_cnt", "tot_cnt",
-            (F.coalesce("_n", F.lit(0)) != F.col("tot_cnt")).alias("bad_cnt"),
+            (parts != F.col("tot_cnt")).alias("bad_cnt"),
         )
         .orderBy("sq_prop", "doc_id")
     )
@@ -141,14 +139,17 @@ def low_count_report(doc: DataFrame, corp_doc: DataFrame, lang_prop: DataFrame)
     )
 
 
-def corpus_totals(corp_doc: DataFrame, lang_prop: DataFrame, col: str = "tot_cnt") -> DataFrame:
-    return (
+def corpus_totals(
+    corp_doc: DataFrame, lang_prop: DataFrame, cols: Sequence[str] = ("tot_cnt",)
+) -> DataFrame:
+    """Sums by corpus of each column, as (name, col, cnt), from one pass."""
+    sums = (
         corp_doc.select("doc_id", "name")
-        .join(lang_prop.select("doc_id", col), "doc_id")
+        .join(lang_prop.select("doc_id", *cols), "doc_id")
         .groupBy("name")
-        .agg(F.sum(col).alias("cnt"))
-        .orderBy("cnt", "name")
+        .agg(*[F.sum(c).alias(c) for c in cols])
     )
+    return sums.unpivot(["name"], list(cols), "col", "cnt").orderBy("cnt", "name")
 
 
 def corpus_avg_prop(corp_doc: DataFrame, corp_src: DataFrame, lang_prop: DataFrame) -> DataFrame:
@@ -249,6 +250,3 @@ def max_cast(doc: DataFrame) -> DataFrame:
         F.max(F.col("dir_id").try_cast("decimal(38,0)")).cast("bigint").alias("max_id")
     )
 
-
-def group_count(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return df.groupBy(*cols).agg(_count())

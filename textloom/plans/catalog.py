@@ -50,6 +50,10 @@ def lang_prop(t: Inputs) -> DataFrame:
     return ls.lang_prop_by_doc(t.stored, TARGET)
 
 
+def profile(t: Inputs) -> DataFrame:
+    return ls.doc_profile(t.sent, TARGET)
+
+
 def lang_prop_once(t: Inputs) -> DataFrame:
     return ls.lang_prop_by_doc(t.sent, TARGET)
 
@@ -251,7 +255,7 @@ def filter_sources(t: Inputs) -> DataFrame:
 
 @query
 def filter_doc_quality(t: Inputs) -> DataFrame:
-    stats = lang_prop(t).join(ls.sent_stats_by_doc(t.stored), "doc_id")
+    stats = profile(t).filter("sq_cnt > 0")
     kept = fl.filter_doc_quality(stats, 10, 0.3, 30)
     return r6(kept, "sq_prop", "avg").select("doc_id", "sq_cnt", "sq_prop", "avg", "min")
 
@@ -363,6 +367,21 @@ def ls_target(t: Inputs) -> DataFrame:
     return fl.filter_lang(t.sent, TARGET)
 
 
+@query
+def join_source_by_sid_all(t: Inputs) -> DataFrame:
+    return jn.join_source_by_sid(t.corp_doc, t.corp_src_sid, t.plain)
+
+
+@query
+def join_star4_all(t: Inputs) -> DataFrame:
+    return jn.join_star4(t.corp_src, t.corp_doc, t.doc, t.plain)
+
+
+@query
+def count_star4_all(t: Inputs) -> DataFrame:
+    return jn.count_star4(t.corp_src, t.corp_doc, t.doc, ls_target(t))
+
+
 @query
 def join_doc_counts(t: Inputs) -> DataFrame:
     return jn.join_doc_counts(t.doc, t.corp_doc, ls.doc_counts(t.doc, t.places))
@@ -370,7 +389,7 @@ def join_doc_counts(t: Inputs) -> DataFrame:
 
 @query
 def theta_lang_mix(t: Inputs) -> DataFrame:
-    return jn.theta_lang_mix(t.doc, t.stored, ls.lang_dist_by_doc(t.stored), TARGET)
+    return jn.theta_lang_mix(t.doc, profile(t))
 
 
 @query
@@ -380,7 +399,7 @@ def lang_mismatch_sample(t: Inputs) -> DataFrame:
 
 @query
 def anti_no_target(t: Inputs) -> DataFrame:
-    return jn.anti_no_target(t.doc, lang_prop(t), t.stored)
+    return jn.anti_no_target(t.doc, profile(t))
 
 
 @query
@@ -401,7 +420,7 @@ def scalar_subquery_counts(t: Inputs) -> DataFrame:
 
 @query
 def join_doc_keep(t: Inputs) -> DataFrame:
-    keep = jn.join_doc_keep(t.doc, t.corp_doc, lang_prop(t), ls.sent_stats_by_doc(t.stored))
+    keep = jn.join_doc_keep(t.doc, t.corp_doc, profile(t))
     kept = fl.filter_doc_quality(fl.filter_sources(keep, PARAMS.exclude_sources), 10, 0.3, 30)
     return r6(kept, "sq_prop", "avg")
 
@@ -465,7 +484,7 @@ def lang_prop_by_doc(t: Inputs) -> DataFrame:
 
 @query
 def lang_prop_report(t: Inputs) -> DataFrame:
-    return r6(ls.lang_prop_report(t.doc, t.corp_doc, lang_prop(t), t.stored), "sq_prop")
+    return r6(ls.lang_prop_report(t.doc, t.corp_doc, lang_prop_once(t)), "sq_prop")
 
 
 @query
@@ -475,9 +494,7 @@ def low_count_report(t: Inputs) -> DataFrame:
 
 @query
 def corpus_totals(t: Inputs) -> DataFrame:
-    total = ls.corpus_totals(t.corp_doc, lang_prop(t)).withColumn("col", F.lit("tot_cnt"))
-    target = ls.corpus_totals(t.corp_doc, lang_prop(t), "sq_cnt").withColumn("col", F.lit("sq_cnt"))
-    return total.unionByName(target)
+    return ls.corpus_totals(t.corp_doc, lang_prop_once(t), ("tot_cnt", "sq_cnt"))
 
 
 @query
@@ -710,12 +727,14 @@ def copy_labels(t: Inputs) -> DataFrame:
 
 @query
 def mask_whole_word(t: Inputs) -> DataFrame:
-    return ds.mask_whole_word(ds.pack_sequences(encoded(t)), seed=SEED)
+    d = ds.mask_whole_word(ds.pack_sequences(encoded(t)), seed=SEED)
+    return d.select("batch_id", "chunk_no", joined("input_ids"), joined("labels"))
 
 
 @query
 def mask_tokens(t: Inputs) -> DataFrame:
-    return ds.mask_tokens(ds.pack_sequences(encoded(t)), vocab_size=20000, seed=SEED)
+    d = ds.mask_tokens(ds.pack_sequences(encoded(t)), vocab_size=20000, seed=SEED)
+    return d.select("batch_id", "chunk_no", joined("input_ids"), joined("labels"))
 
 
 @query

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -162,9 +163,11 @@ def read_crawl(t: Inputs) -> DataFrame:
 
 @query
 def list_files(t: Inputs) -> DataFrame:
-    return readers.list_files(t.spark, t.path, "*.parquet").select(
-        F.regexp_extract("path", r"([^/]+)\.parquet$", 1).alias("name"), "size"
-    )
+    """Bytes of text files written by source."""
+    path = new_path(t.spark, "files")
+    t.documents.select("text", "source").write.partitionBy("source").text(path)
+    name = F.regexp_extract("path", r"/source=([^/]+)/", 1).alias("name")
+    return readers.list_files(t.spark, path, "*.txt").groupBy(name).agg(F.sum("size").alias("size"))
 
 
 @query
@@ -430,7 +433,11 @@ def ingest_stream(t: Inputs) -> DataFrame:
 @query
 def word_vectors(t: Inputs) -> DataFrame:
     d = staged(t.plain.select("doc_id", "six", "sent"), "sent")
-    return ml.word_vectors(d, partitions=t.spark.sparkContext.defaultParallelism).select("doc_id", "six", "vector")
+    out = ml.word_vectors(d, partitions=t.spark.sparkContext.defaultParallelism)
+    return out.withColumn("values", vector_to_array("vector")).select(
+        "doc_id", "six", F.size("values").alias("size"),
+        F.forall("values", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))).alias("finite"),
+    )
 
 
 @query
@@ -446,4 +453,6 @@ def sentiment_classifier(t: Inputs) -> DataFrame:
     pred = ml.sentiment_classifier(
         train, split.filter(F.col("split") != "train"), ("0", "1"), ["topic_bits"]
     )
-    return pred.select("doc_id", "label", "label_pred", "split")
+    return pred.groupBy("split").agg(
+        F.count("*").alias("cnt"), (F.avg((F.col("label") == F.col("label_pred")).cast("double")) > 0.8).alias("accurate")
+    )

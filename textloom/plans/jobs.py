@@ -164,9 +164,10 @@ def build_dataset(
 def print_stats(corp_doc: DataFrame, doc: DataFrame, sent: DataFrame) -> DataFrame:
     """The statistics table, also shown to the caller."""
     stats = rp.corpus_stats(corp_doc, doc, sent)
-    for row in stats.collect():
+    rows = stats.collect()
+    for row in rows:
         print(f"{row['description']}: {row['value']}")
-    return stats
+    return sent.sparkSession.createDataFrame(rows, stats.schema)
 
 
 def write_stats(

@@ -252,6 +252,12 @@ o(
     """SELECT count(*) AS cnt FROM corp_src u JOIN corp_doc c ON c.name = u.id
 JOIN doc d ON d.doc_id = c.doc_id JOIN sent s ON s.doc_id = c.doc_id WHERE u.id = 'src3' AND s.lang = 'en'""",
 )
+for _name, _where in (
+    ("join_source_by_sid", " WHERE u.id = 'src3'"),
+    ("join_star4", " WHERE u.id = 'src3'"),
+    ("count_star4", " u.id = 'src3' AND"),
+):
+    ORACLE[f"{_name}_all"] = ORACLE[_name].replace(_where, "")
 _counts = """SELECT d.doc_id, count(s.doc_id) AS cnt FROM doc d LEFT JOIN sent s ON s.doc_id = d.doc_id{} GROUP BY d.doc_id"""
 o(
     "join_doc_counts",
@@ -512,6 +518,46 @@ o(
 )
 o("pack_sequences", "SELECT batch_id, chunk_no, input_ids, word_ids FROM packed", ENCODED)
 o("copy_labels", "SELECT batch_id, chunk_no, input_ids, input_ids AS labels FROM packed", ENCODED)
+def _drawn(tag: str, i: str) -> str:
+    key = f"concat_ws(':', '7:0:{tag}', batch_id, chunk_no, {i})"
+    return f"CAST('0x' || substr(md5({key}), 1, 10) AS BIGINT) / 1099511627776.0"
+
+
+_PLACES = """,
+places AS (
+  SELECT batch_id, chunk_no, generate_subscripts(x, 1) - 1 AS i, CAST(unnest(x) AS INTEGER) AS x,
+    TRY_CAST(unnest(w) AS INTEGER) AS w
+  FROM (SELECT batch_id, chunk_no, string_split(input_ids, '|') AS x, string_split(word_ids, '|') AS w FROM packed)),
+"""
+_masked = """SELECT batch_id, chunk_no, string_agg(CAST(y AS VARCHAR), '|' ORDER BY i) AS input_ids,
+  string_agg(CAST(CASE WHEN hit THEN x ELSE -100 END AS VARCHAR), '|' ORDER BY i) AS labels
+FROM drawn GROUP BY batch_id, chunk_no"""
+o(
+    "mask_tokens",
+    _masked,
+    ENCODED
+    + _PLACES
+    + f"""hits AS (
+  SELECT *, {_drawn('token', 'i')} < 0.15 AND x > 4 AS hit, {_drawn('kind', 'i')} AS kind,
+    CAST(floor({_drawn('id', 'i')} * 20000) AS INTEGER) AS r FROM places),
+drawn AS (
+  SELECT *, CASE WHEN NOT hit OR kind >= 0.9 THEN x WHEN kind < 0.8 THEN 4 ELSE r END AS y FROM hits)""",
+)
+o(
+    "mask_whole_word",
+    _masked,
+    ENCODED
+    + _PLACES
+    + f"""turns AS (
+  SELECT batch_id, chunk_no, i, CAST(coalesce(w <> lag(w) OVER k, true) AS INTEGER) AS turn FROM places
+  WHERE w IS NOT NULL WINDOW k AS (PARTITION BY batch_id, chunk_no ORDER BY i)),
+numbers AS (
+  SELECT batch_id, chunk_no, i, sum(turn) OVER (PARTITION BY batch_id, chunk_no ORDER BY i) - 1 AS n FROM turns),
+hits AS (
+  SELECT p.*, coalesce({_drawn('word', 'CAST(n AS BIGINT)')} < 0.15 AND n IS NOT NULL, false) AS hit
+  FROM places p LEFT JOIN numbers USING (batch_id, chunk_no, i)),
+drawn AS (SELECT *, CASE WHEN hit THEN 4 ELSE x END AS y FROM hits)""",
+)
 o("steps_per_epoch", "SELECT count(*) // 32 AS steps FROM sent")
 
 
@@ -575,7 +621,7 @@ ORACLE["read_annotations"] = """SELECT source AS a1_topic, source AS a2_topic, l
   CASE WHEN l.doc_id % 2 = 0 THEN lang ELSE 'en' END AS a2_emotion, quality AS a1_label, toxic AS a2_label
 FROM labels l JOIN documents d ON d.doc_id = l.doc_id WHERE l.doc_id % 9 <> 0"""
 _split = ORACLE["stratified_split"]
-ORACLE["read_split_ids"] = f"SELECT CAST(doc_id AS INTEGER) AS row_id, split FROM ({_split})"
+ORACLE["read_split_ids"] = f"SELECT doc_id AS row_id, split FROM ({_split})"
 ORACLE["apply_split_ids"] = (
     f"SELECT d.doc_id, d.lang, s.split FROM documents d JOIN ({_split}) s ON s.doc_id = d.doc_id"
 )
@@ -628,3 +674,9 @@ o("print_stats", _stats.format("sent"))
 o("write_stats", _sources)
 o("dump_corpus", "SELECT doc_id AS did, doc_id || '-' || six AS sid, sent AS text FROM curated", CURATED)
 o("ingest_stream", "SELECT doc_id, six, sid, lang, sent, toklen FROM sent")
+
+ORACLE["list_files"] = """SELECT source AS name, CAST(sum(strlen(text) + 1) AS BIGINT) AS size
+FROM documents GROUP BY source"""
+ORACLE["sentiment_classifier"] = f"""SELECT split, count(*) AS cnt, true AS accurate FROM ({_split})
+WHERE split <> 'train' GROUP BY split"""
+o("word_vectors", "SELECT doc_id, six, 50 AS size, true AS finite FROM sent")

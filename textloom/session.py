@@ -7,9 +7,12 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 _local_dirs: dict[str, str] = {}
+_marked: set[str] = set()
+
+#: Inputs below this size may be dealt anew to use all cores.
+SMALL_INPUT = 256 << 20
 
 
 def local_session(app: str = "textloom", cpus: int | str = "*", shuffle: int = 8) -> SparkSession:
@@ -30,8 +33,7 @@ def local_session(app: str = "textloom", cpus: int | str = "*", shuffle: int = 8
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for written tables: ``spark.checkpoint.dir``.
 
-    A machine-local folder stands in only for a local master, where every
-    task runs on this machine.
+    Where it is unset, as in tests, a local master gets a folder of its own.
     """
     conf = spark.sparkContext.getConf()
     shared = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -46,8 +48,17 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the session's part of the shared folder, which is deleted
+    when the session's JVM ends."""
+    app = spark.sparkContext.applicationId
+    folder = f"{work_dir(spark)}/textloom-{app}"
+    if app not in _marked:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _marked.add(app)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def computed(df: DataFrame, **exprs: Column) -> DataFrame:
@@ -72,35 +83,12 @@ def staged(df: DataFrame, name: str = "staged") -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores on inputs with too few splits.
+    """Use all cores on a small input, whose file may have a single split.
 
-    A large input has more splits than cores and passes through without a
-    shuffle; a small file with one split is hashed on ``key``.
+    At most SMALL_INPUT bytes are moved; a larger input has splits enough and
+    keeps them. The size comes from the file listing, without a job.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, key)
-    return df
-
-
-def _row_bytes(df: DataFrame) -> Column:
-    total = F.lit(0)
-    for f in df.schema.fields:
-        if isinstance(f.dataType, T.StringType):
-            total = total + F.coalesce(F.octet_length(f.name), F.lit(0)) + 16
-        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
-            total = total + F.coalesce(F.length(F.to_json(F.struct(f.name))), F.lit(0))
-        else:
-            total = total + 8
-    return total
-
-
-def broadcast_if_small(df: DataFrame, max_bytes: int = 64 << 20, max_rows: int = 1_000_000) -> DataFrame:
-    """Broadcast hint behind a measured size; a larger side keeps its shuffle
-    join, where adaptive execution splits skewed partitions."""
-    probe = df.agg(
-        F.count("*").alias("n"), F.coalesce(F.sum(_row_bytes(df)), F.lit(0)).alias("b")
-    ).first()
-    if probe["n"] <= max_rows and probe["b"] <= max_bytes:
-        return F.broadcast(df)
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) < SMALL_INPUT:
+        return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
     return df

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,8 +54,14 @@ def named_query(
 ) -> DataFrame:
     """Runs a named query; ``args`` fill its ``?`` markers in order.
 
-    Tables come from the session catalog, or from frames given by name.
+    Tables come from the session catalog, or from frames given by name, which
+    leave no view behind.
     """
+    views = {table: f"textloom_{uuid.uuid4().hex}" for table in tables}
     for table, df in tables.items():
-        df.createOrReplaceTempView(table)
-    return spark.sql(NAMED[name], args=list(args or []))
+        df.createOrReplaceTempView(views[table])
+    given = ", ".join(f"{table} AS (SELECT * FROM {view})" for table, view in views.items())
+    result = spark.sql(f"WITH {given} {NAMED[name]}" if given else NAMED[name], args=list(args or []))
+    for view in views.values():
+        spark.catalog.dropTempView(view)
+    return result

@@ -16,8 +16,8 @@ from textloom import schemas
 from textloom.functions import markup
 from textloom.functions import text as fx
 from textloom.operators.ordering import dense_ids, read_indexed, running_sum
+from textloom.session import staged
 
-SIZE_LIMIT = 10**9
 WIKI_MIN_BYTES = 70
 
 # Quality warnings that keep a crawl record, and all known ones.
@@ -26,23 +26,34 @@ KNOWN_WARNINGS = ("tiny", "short_sentences", "header", "footer", "noisy")
 
 
 def list_files(
-    spark: SparkSession, root: str, glob: str = "*", size_limit: int = SIZE_LIMIT
+    spark: SparkSession, root: str, glob: str = "*", size_limit: int | None = None
 ) -> DataFrame:
-    """Files below a folder that are smaller than the limit; contents stay
+    """Files below a folder, if given those smaller than a limit; contents stay
     unread."""
-    return (
+    files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", glob)
         .load(root)
         .select("path", F.col("length").alias("size"))
-        .filter(F.col("size") < size_limit)
     )
+    return files if size_limit is None else files.filter(F.col("size") < size_limit)
 
 
-def _xml(spark: SparkSession, path: str, row_tag: str, ddl: str, glob: str, size_limit: int) -> DataFrame:
-    """One row per element at any depth, with its file and place in it."""
-    return (
+def too_large(spark: SparkSession, root: str, glob: str, size_limit: int) -> DataFrame:
+    """Files from the limit on, in the form of quarantined inputs."""
+    large = list_files(spark, root, glob).filter(F.col("size") >= size_limit)
+    return large.select(
+        F.col("path").alias("file"), F.concat(F.lit("size "), F.col("size").cast("string")).alias("reason")
+    )
+
+
+def _xml(
+    spark: SparkSession, path: str, row_tag: str, ddl: str, glob: str, size_limit: int | None
+) -> DataFrame:
+    """One row per element at any depth, with its file and place in it. Files
+    from a size limit on are not opened."""
+    rows = (
         spark.read.format("xml")
         .schema(ddl)
         .option("rowTag", row_tag)
@@ -52,15 +63,14 @@ def _xml(spark: SparkSession, path: str, row_tag: str, ddl: str, glob: str, size
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", glob)
         .load(path)
-        .select(
-            "*",
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_size").alias("_size"),
-            F.col("_metadata.file_block_start").alias("_block"),
-            F.monotonically_increasing_id().alias("_row"),
-        )
-        .filter(F.col("_size") < size_limit)
-        .drop("_size")
+    )
+    if size_limit is not None:
+        rows = rows.filter(F.col("_metadata.file_size") < size_limit)
+    return rows.select(
+        "*",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_row"),
     )
 
 
@@ -94,9 +104,12 @@ def _number_sentences(rows: DataFrame, order: Sequence[str] = ("_row",)) -> Data
 
 
 def _xml_sentences(
-    spark: SparkSession, path: str, ddl: str, tokens: Column, glob: str, size_limit: int
+    spark: SparkSession, path: str, ddl: str, tokens: Column, glob: str, size_limit: int | None
 ) -> tuple[DataFrame, DataFrame]:
-    good, bad = good_files(_xml(spark, path, "s", ddl, glob, size_limit))
+    # Parsed once: numbering and the quarantine read the written rows.
+    good, bad = good_files(staged(_xml(spark, path, "s", ddl, glob, size_limit), "parsed"))
+    if size_limit is not None:
+        bad = bad.unionByName(too_large(spark, path, glob, size_limit))
     return xml_sentences(good, tokens), bad
 
 
@@ -107,7 +120,7 @@ def xml_sentences(rows: DataFrame, tokens: Column) -> DataFrame:
 
 
 def read_tok_xml(
-    spark: SparkSession, path: str, size_limit: int = SIZE_LIMIT, glob: str = "*.xml"
+    spark: SparkSession, path: str, size_limit: int | None = None, glob: str = "*.xml"
 ) -> DataFrame:
     """Sentences ``s`` of word elements ``w``; empty sentences and malformed
     files are left out."""
@@ -115,18 +128,24 @@ def read_tok_xml(
 
 
 def read_sent_xml(
-    spark: SparkSession, path: str, size_limit: int = SIZE_LIMIT, glob: str = "*.xml"
+    spark: SparkSession, path: str, size_limit: int | None = None, glob: str = "*.xml"
 ) -> DataFrame:
     """Untokenised sentences, split at whitespace."""
     tokens = fx.split_whitespace("_VALUE")
     return _xml_sentences(spark, path, schemas.SENT_XML, tokens, glob, size_limit)[0]
 
 
-def read_tolerant(spark: SparkSession, path: str, fmt: str) -> tuple[DataFrame, DataFrame]:
+def read_tolerant(
+    spark: SparkSession, path: str, fmt: str, size_limit: int | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Readable sentences and the quarantined inputs with a reason.
 
-    ``fmt`` is ``tok_xml``, ``sent_xml`` (by file) or ``crawl`` (by line).
+    ``fmt`` is ``tok_xml``, ``sent_xml`` (by file), ``wiki`` (by page) or
+    ``crawl`` (by line). XML files from a size limit on are quarantined unread.
     """
+    if fmt == "wiki":
+        pages, bad = _wiki_pages(spark, path, "*.xml", size_limit)
+        return _wiki_sentences(pages, WIKI_MIN_BYTES, markup.first_arg), bad
     if fmt == "crawl":
         rows = (
             spark.read.schema(schemas.CRAWL + ", _corrupt string")
@@ -142,22 +161,22 @@ def read_tolerant(spark: SparkSession, path: str, fmt: str) -> tuple[DataFrame,
         "tok_xml": (schemas.TOK_XML, F.col("w")),
         "sent_xml": (schemas.SENT_XML, fx.split_whitespace("_VALUE")),
     }[fmt]
-    return _xml_sentences(spark, path, ddl, tokens, "*.xml", SIZE_LIMIT)
+    return _xml_sentences(spark, path, ddl, tokens, "*.xml", size_limit)
 
 
-def read_wiki(
-    spark: SparkSession,
-    path: str,
-    min_bytes: int = WIKI_MIN_BYTES,
-    template_fn: Callable[[str, list[str]], str] | None = markup.first_arg,
-    glob: str = "*.xml",
-    size_limit: int = SIZE_LIMIT,
+def _wiki_pages(spark: SparkSession, path: str, glob: str, size_limit: int | None) -> tuple[DataFrame, DataFrame]:
+    """Well-formed pages, and the malformed ones by file and reason."""
+    pages = staged(_xml(spark, path, "page", schemas.WIKI_PAGE, glob, size_limit), "parsed")
+    bad = pages.filter("_corrupt IS NOT NULL").select("file", F.col("_corrupt").alias("reason"))
+    if size_limit is not None:
+        bad = bad.unionByName(too_large(spark, path, glob, size_limit))
+    return pages.filter("_corrupt IS NULL").drop("_corrupt"), bad
+
+
+def _wiki_sentences(
+    pages: DataFrame, min_bytes: int, template_fn: Callable[[str, list[str]], str] | None
 ) -> DataFrame:
-    """Sentences of the dump's pages above a size; a page is a document and
-    keeps the name of its file."""
-    pages = _xml(spark, path, "page", schemas.WIKI_PAGE, glob, size_limit)
-    pages = good_files(pages)[0].filter(F.col("revision.text._bytes") > min_bytes)
-    plain = pages.select(
+    plain = pages.filter(F.col("revision.text._bytes") > min_bytes).select(
         "file",
         F.col("id").alias("doc_id"),
         markup.strip_markup(F.col("revision.text._VALUE"), template_fn).alias("_text"),
@@ -167,6 +186,20 @@ def read_wiki(
     ).select("file", "doc_id", "six", F.col("six").cast("string").alias("sid"), fx.tokenize("_s").alias("tokens"))
 
 
+def read_wiki(
+    spark: SparkSession,
+    path: str,
+    min_bytes: int = WIKI_MIN_BYTES,
+    template_fn: Callable[[str, list[str]], str] | None = markup.first_arg,
+    glob: str = "*.xml",
+    size_limit: int | None = None,
+) -> DataFrame:
+    """Sentences of the dump's pages above a size; a page is a document and
+    keeps the name of its file. A malformed page is left out alone;
+    ``read_tolerant`` reports it."""
+    return _wiki_sentences(_wiki_pages(spark, path, glob, size_limit)[0], min_bytes, template_fn)
+
+
 def read_crawl_jsonl(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """Crawl records with nested metadata; a bad line fails the read."""
     return (
@@ -225,7 +258,7 @@ def filter_lang_prob(crawl: DataFrame, target: str, min_prob: float = 0.9) -> Da
 def read_crawl(
     spark: SparkSession, path: str, target: str, min_prob: float = 0.9, glob: str = "*"
 ) -> DataFrame:
-    return crawl_sentences(read_crawl_jsonl(spark, path, glob), target, min_prob)
+    return crawl_sentences(staged(read_crawl_jsonl(spark, path, glob), "parsed"), target, min_prob)
 
 
 def crawl_sentences(crawl: DataFrame, target: str, min_prob: float = 0.9) -> DataFrame:
@@ -260,14 +293,18 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_split_ids(spark: SparkSession, directory: str) -> DataFrame:
-    """Row ids with the split that their list is named after."""
+    """Row ids with the split that their list is named after. Blank lines don't
+    count; a line that is no id fails the read."""
+    row_id = F.trim("value").try_cast("bigint")
     return (
         spark.read.text(f"{directory}/*.txt")
+        .filter(F.trim("value") != "")
         .select(
-            F.col("value").try_cast("int").alias("row_id"),
+            F.when(row_id.isNotNull(), row_id)
+            .otherwise(F.raise_error(F.concat(F.lit("not a row id: "), "value")).cast("bigint"))
+            .alias("row_id"),
             F.regexp_extract("_metadata.file_path", r"/([^/]+)\.txt(?:/|$)", 1).alias("split"),
         )
-        .filter("row_id IS NOT NULL")
     )
 
 

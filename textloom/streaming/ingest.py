@@ -16,14 +16,15 @@ from textloom.sources import readers
 DOCUMENTS = "doc_id bigint, text string"
 
 
-def _documents(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.schema(DOCUMENTS).parquet(path)
+def _documents(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    return spark.readStream.schema(DOCUMENTS).options(**options).parquet(path)
 
 
-def _crawl(spark: SparkSession, path: str) -> DataFrame:
+def _crawl(spark: SparkSession, path: str, **options: str) -> DataFrame:
     return (
         spark.readStream.schema(schemas.CRAWL)
         .option("mode", "FAILFAST")
+        .options(**options)
         .json(path)
         .select(
             F.col("_metadata.file_path").alias("file"),
@@ -34,13 +35,14 @@ def _crawl(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _xml(spark: SparkSession, path: str) -> DataFrame:
+def _xml(spark: SparkSession, path: str, **options: str) -> DataFrame:
     return (
         spark.readStream.format("xml")
         .schema(schemas.TOK_XML)
         .option("rowTag", "s")
         .option("columnNameOfCorruptRecord", "_corrupt")
         .option("ignoreSurroundingSpaces", "false")
+        .options(**options)
         .load(path)
         .select(
             "*",
@@ -73,7 +75,7 @@ FORMATS: dict[str, tuple[Callable, Callable]] = {
 
 def ingest_stream(
     spark: SparkSession, path: str, fmt: str, checkpoint: str, out: str,
-    lang: str | None = None, target: str = "en",
+    lang: str | None = None, target: str = "en", **options: str,
 ) -> StreamingQuery:
     """Parses files that are new since the last run into ``out/doc`` and
     ``out/sent``.
@@ -81,7 +83,8 @@ def ingest_stream(
     A file is always whole within one batch, so sentences number as in a
     batch read. Document ids go on from those of earlier batches. A batch
     writes its own folders and overwrites them when it is repeated: results
-    stay exactly-once.
+    stay exactly-once. ``options`` such as ``maxFilesPerTrigger`` or
+    ``maxBytesPerTrigger`` bound a batch.
     """
     source, parse = FORMATS[fmt]
 
@@ -100,7 +103,7 @@ def ingest_stream(
         docs.write.mode("overwrite").parquet(f"{out}/doc/batch={batch_id}")
 
     return (
-        source(spark, path)
+        source(spark, path, **options)
         .writeStream.foreachBatch(load)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
