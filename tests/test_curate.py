@@ -4,6 +4,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from textloom.functions import text as fx
 from textloom.operators import curate as cu
 from textloom.operators import filters as fl
 from textloom.operators import joins as jn
@@ -120,3 +121,15 @@ def test_histogram_edges(spark):
     rows = {r.bin: r.cnt for r in rp.toklen_histogram(df).collect()}
     assert sum(rows.values()) == 5 and len(rows) == 20
     assert rows[1] == 2 and rows[2] == 1 and rows[20] == 2
+
+
+def test_nothing_is_dropped_by_default():
+    assert cu.CurateParams().drop_first == 0
+
+
+def test_fitted_language(spark):
+    rows = [("sq", "une jam ketu dhe ti"), ("sq", "dhe une"), ("en", "i am here and you"), (None, "dhe and")]
+    lists = ls.fit_stop_words(spark.createDataFrame(rows, "lang string, sent string"), 3)
+    assert lists["sq"][:2] == ["dhe", "une"] and len(lists["en"]) == 3
+    got = spark.createDataFrame([("ti dhe une",), ("you am",), ("?",)], "sent string").select(fx.vote_lang("sent", lists))
+    assert [r[0] for r in got.collect()] == ["sq", "en", None]

@@ -48,6 +48,34 @@ def test_tolerant(spark, xml_dir):
     assert [r.file.rsplit("/", 1)[1] for r in bad.collect()] == ["bad.xml"]
 
 
+def test_size_limit_is_reported(spark, xml_dir):
+    good, bad = readers.read_tolerant(spark, str(xml_dir), "tok_xml", size_limit=5000)
+    assert set(by_file(good)) == {"a.xml", "b.xml"}
+    assert {r.file.rsplit("/", 1)[1]: r.reason[:4] for r in bad.collect()}["big.xml"] == "size"
+
+
+def test_large_files_are_read_by_default(spark, xml_dir):
+    assert "big.xml" in by_file(readers.read_tok_xml(spark, str(xml_dir)))
+    assert readers.list_files(spark, str(xml_dir), "*.xml").count() == 4
+
+
+@pytest.mark.parametrize("read", ["tok", "sent", "crawl", "wiki"])
+def test_raw_files_are_parsed_once(spark, xml_dir, tmp_path, read):
+    """What is returned reads the written rows, not the raw files."""
+    (tmp_path / "lines").mkdir()
+    (tmp_path / "lines" / "c.jsonl").write_text(record("One line here .", [ident("en", 0.99)]))
+    (tmp_path / "s.xml").write_text('<text><s id="1">some words</s></text>')
+    (tmp_path / "d.xml").write_text('<m><page><id>1</id><revision><text bytes="99">Some text.</text></revision></page></m>')
+    df = {
+        "tok": lambda: readers.read_tok_xml(spark, str(xml_dir)),
+        "sent": lambda: readers.read_sent_xml(spark, str(tmp_path), glob="s.xml"),
+        "crawl": lambda: readers.read_crawl(spark, str(tmp_path / "lines"), "en"),
+        "wiki": lambda: readers.read_wiki(spark, str(tmp_path), glob="d.xml"),
+    }[read]()
+    raw = [f for f in df.inputFiles() if not f.endswith(".parquet")]
+    assert not raw and df.count() > 0
+
+
 def test_list_files(spark, xml_dir):
     rows = readers.list_files(spark, str(xml_dir), "*.xml", 5000).collect()
     assert sorted(r.path.rsplit("/", 1)[1] for r in rows) == ["a.xml", "b.xml", "bad.xml"]
@@ -72,6 +100,15 @@ def test_wiki(spark, tmp_path):
     assert named_t.filter("six = 1").first().tokens == ["T", "!"]
 
 
+def test_wiki_quarantines_the_page(spark, tmp_path):
+    page = '<page><id>{0}</id><revision><text bytes="99">{1}</text></revision></page>'
+    (tmp_path / "dump.xml").write_text("<m>" + page.format("x1", "Bad id.") + page.format(7, "Good page.") + "</m>")
+    good, bad = readers.read_tolerant(spark, str(tmp_path), "wiki")
+    assert [(r.doc_id, r.tokens) for r in good.collect()] == [(7, ["Good", "page", "."])]
+    assert [r.file.rsplit("/", 1)[1] for r in bad.collect()] == ["dump.xml"]
+    assert readers.read_wiki(spark, str(tmp_path)).count() == 1
+
+
 def record(content, ids, warnings=None):
     return json.dumps({"content": content, "metadata": {"quality_warnings": warnings, "sentence_identifications": ids}})
 
@@ -130,6 +167,14 @@ def test_split_ids(spark, tmp_path):
     assert got == [(1, "train"), (2, "train"), (3, "test")]
 
 
+def test_split_ids_are_whole(spark, tmp_path):
+    (tmp_path / "train.txt").write_text("1\n3000000000\n\n")
+    assert sorted(r.row_id for r in readers.read_split_ids(spark, str(tmp_path)).collect()) == [1, 3000000000]
+    (tmp_path / "test.txt").write_text("x7\n")
+    with pytest.raises(Exception, match="not a row id"):
+        readers.read_split_ids(spark, str(tmp_path)).collect()
+
+
 def test_dump_files_are_full(spark, tmp_path):
     rows = [(d, i, f"s {d} {i}") for d in range(30) for i in range(7)]
     df = spark.createDataFrame(rows, "doc_id bigint, six int, sent string").repartition(6)

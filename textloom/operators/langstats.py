@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.operators.joins import semi_kept_docs
@@ -250,3 +251,18 @@ def max_cast(doc: DataFrame) -> DataFrame:
         F.max(F.col("dir_id").try_cast("decimal(38,0)")).cast("bigint").alias("max_id")
     )
 
+
+def fit_stop_words(labelled: DataFrame, k: int = 100) -> dict[str, list[str]]:
+    """The ``k`` most frequent words of each language in (lang, sent) rows, for
+    ``vote_lang``; ties go to the first word.
+
+    Counts cover all rows; the rank limit also applies before the shuffle, and
+    ``k`` words per language come to the driver.
+    """
+    words = labelled.filter("lang IS NOT NULL").select("lang", F.explode(F.split(F.lower("sent"), " ")).alias("word"))
+    counts = words.filter(F.col("word").rlike(r"\p{L}")).groupBy("lang", "word").agg(_count())
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("cnt"), "word"))
+    top: dict[str, list[str]] = {}
+    for row in counts.withColumn("_rn", rank).filter(F.col("_rn") <= k).collect():
+        top.setdefault(row["lang"], []).append(row["word"])
+    return top

@@ -132,6 +132,15 @@ def detect_lang(t: Inputs) -> DataFrame:
     return fl.detect_lang(t.plain.select("doc_id", "six", "sent")).select("doc_id", "six", "lang")
 
 
+@query
+def detect_lang_fitted(t: Inputs) -> DataFrame:
+    """By the frequent words of the languages that the documents are labelled
+    with."""
+    labelled = t.plain.select("doc_id", "sent").join(t.documents.select("doc_id", "lang"), "doc_id")
+    lists = ls.fit_stop_words(labelled)
+    return t.plain.select("doc_id", "six", fx.vote_lang("sent", lists).alias("lang"))
+
+
 @query
 def strip_digits(t: Inputs) -> DataFrame:
     return t.plain.select("doc_id", "six", fx.strip_digits("sent").alias("sent"))

@@ -152,6 +152,20 @@ o(
 )
 o("split_path", "SELECT doc_id, sid, name, file AS sub_path FROM corp_doc")
 o("detect_lang", "SELECT doc_id, six, lang FROM sent")
+o(
+    "detect_lang_fitted",
+    """SELECT s.doc_id, s.six, b.lang FROM sent s LEFT JOIN best b ON b.doc_id = s.doc_id AND b.six = s.six""",
+    """,
+spoken AS (SELECT doc_id, six, unnest(string_split(lower(sent), ' ')) AS word FROM sent),
+ranked AS (
+  SELECT d.lang, word, row_number() OVER (PARTITION BY d.lang ORDER BY count(*) DESC, word) AS rn
+  FROM spoken JOIN documents d ON d.doc_id = spoken.doc_id
+  WHERE d.lang IS NOT NULL AND regexp_matches(word, '\\p{L}') GROUP BY d.lang, word),
+votes AS (
+  SELECT doc_id, six, lang, count(*) AS n FROM spoken JOIN ranked ON ranked.word = spoken.word AND rn <= 100
+  GROUP BY doc_id, six, lang),
+best AS (SELECT doc_id, six, arg_max(lang, (n, -ascii(lang), -ascii(lang[2]))) AS lang FROM votes GROUP BY doc_id, six)""",
+)
 o("strip_digits", f"SELECT doc_id, six, {DIGITS} AS sent FROM sent")
 o("trim_chain", f"SELECT doc_id, six, {trims('sent')} AS sent FROM sent")
 o(
