@@ -116,15 +116,20 @@ def test_splits(spark):
     assert sum(v for (lab, _), v in counts.items() if lab is None) == 11
 
 
-def test_encode_without_broadcast(spark):
-    rows = [(1, 0, "the a the zz"), (1, 1, "a"), (2, 0, "the the")]
-    sent = spark.createDataFrame(rows, "doc_id bigint, six int, sent string")
-    vocab = spark.createDataFrame([("the", 5), ("a", 6)], "token string, id int")
-    want = {(1, 0): [0, 5, 6, 5, 3, 2], (1, 1): [0, 6, 2], (2, 0): [0, 5, 5, 2]}
-    for f in (lambda d: F.broadcast(d), lambda d: d.hint("merge")):
-        out = ds.encode_tokens(sent, f(vocab)).collect()
-        assert {(r.doc_id, r.six): r.input_ids for r in out} == want
-        assert next(r for r in out if r.six == 1).word_ids == [None, 0, None]
+@pytest.mark.parametrize("head", [1, 2, 100])
+def test_encode_does_not_depend_on_the_head(spark, head):
+    rows = [(1, 0, "the a the zz b"), (1, 1, "a"), (2, 0, "the the"), (3, 0, ""), (4, 0, None)]
+    sent = spark.createDataFrame(rows, "doc_id bigint, six int, sent string").repartition(3)
+    vocab = spark.createDataFrame([("the", 5), ("a", 6), ("b", 7)], "token string, id int")
+    want = {(1, 0): [0, 5, 6, 5, 3, 7, 2], (1, 1): [0, 6, 2], (2, 0): [0, 5, 5, 2], (3, 0): [0, 3, 2]}
+    out = ds.encode_tokens(sent, vocab, head=head)
+    got = {(r.doc_id, r.six): r for r in out.collect()}
+    assert {k: r.input_ids for k, r in got.items()} == want
+    assert got[1, 0].word_ids == [None, 0, 1, 2, 3, 4, None]
+    plain = ds.encode_tokens(sent, vocab, special=None, head=head)
+    assert {(r.doc_id, r.six): (r.input_ids, r.word_ids) for r in plain.collect()}[1, 1] == ([6], [0])
+    if head == 100:
+        assert "Exchange" not in ds.encode_tokens(sent.coalesce(1), vocab)._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
 
 
 def test_categories(spark):

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,6 +20,8 @@ from textloom.session import staged
 SPECIAL_IDS = {"cls": 0, "pad": 1, "sep": 2, "unk": 3, "mask": 4}
 FIRST_TOKEN_ID = 5
 IGNORED = -100
+#: Words of a vocabulary that every task holds, at most: some 20 MB.
+HEAD_WORDS = 200_000
 
 # Categories of the labelled reviews.
 TOPICS = (
@@ -157,30 +162,84 @@ def pair_freq(word_freq: DataFrame) -> DataFrame:
 def encode_tokens(
     sent: DataFrame, vocab: DataFrame, unk_id: int = SPECIAL_IDS["unk"],
     special: tuple[int, int] | None = (SPECIAL_IDS["cls"], SPECIAL_IDS["sep"]),
+    head: int = HEAD_WORDS,
 ) -> DataFrame:
     """Sentences as vocabulary ids with the word index of each.
 
-    ``vocab`` is (token, id); a written one has a known size, by which Spark
-    chooses whether its join moves the tokens. Special
-    ids at both ends have no word index.
+    ``vocab`` is (token, id). Tasks hold the ``head`` most frequent words and
+    look tokens up in place, so these never move. In a larger vocabulary the
+    tokens beyond the head, none of them frequent, are joined and put back by
+    position. The result is the same for any head. Special ids at both ends
+    have no word index.
     """
-    toks = sent.select("doc_id", "six", F.posexplode(F.split("sent", " ")).alias("pos", "token"))
-    ids = toks.join(vocab.select("token", "id"), "token", "left")
-    rows = ids.groupBy("doc_id", "six").agg(
-        F.array_sort(
-            F.collect_list(F.struct("pos", F.coalesce("id", F.lit(unk_id)).alias("id")))
-        ).alias("_t")
+    words = vocab.select("token", "id")
+    whole = words.limit(head + 1).count() <= head
+    rows = sent.select("doc_id", "six", "sent").filter("sent IS NOT NULL")
+    if not whole:
+        counts = split_words(sent).groupBy(F.col("value").alias("token")).agg(F.count("*").alias("_n"))
+        ranked = words.join(counts, "token").orderBy(F.desc("_n"), "token").limit(head)
+        frequent = staged(ranked.select("token", "id"), "head")
+        words = words.join(frequent.select("token"), "token", "left_anti")
+    table = (words if whole else frequent).toArrow()
+    shared = sent.sparkSession.sparkContext.broadcast(
+        (table.column("token").combine_chunks(), table.column("id").to_numpy())
     )
-    input_ids = F.col("_t.id")
-    word_ids = F.col("_t.pos")
-    if special is not None:
-        first, last = special
-        none = F.array(F.lit(None).cast("int"))
-        input_ids = F.concat(F.array(F.lit(first)), input_ids, F.array(F.lit(last)))
-        word_ids = F.concat(none, word_ids, none)
-    return rows.select(
-        "doc_id", "six", input_ids.alias("input_ids"), word_ids.alias("word_ids")
+    missing = unk_id if whole else -1
+    first, last = special or (None, None)
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, ids = shared.value
+        ids = np.append(ids, missing).astype(np.int32)
+        for batch in batches:
+            pieces = pc.split_pattern(batch.column("sent"), " ")
+            at = pc.fill_null(pc.index_in(pieces.flatten(), value_set=tokens), len(ids) - 1)
+            start = pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
+            size = np.diff(start)
+            found = ids[at.to_numpy(zero_copy_only=False)]
+            within = np.arange(len(found)) - np.repeat(start[:-1], size)
+            ends = np.zeros(0, np.int64)
+            if special is not None:
+                start = start + 2 * np.arange(len(start))
+                ends = np.concatenate([start[:-1], start[1:] - 1])
+            flat = np.zeros(start[-1], np.int32)
+            inner = np.ones(start[-1], bool)
+            inner[ends] = False
+            flat[inner] = found
+            index = np.zeros(start[-1], np.int32)
+            index[inner] = within
+            if special is not None:
+                flat[start[:-1]], flat[start[1:] - 1] = first, last
+            lists = [
+                pa.ListArray.from_arrays(pa.array(start, pa.int32()), values)
+                for values in (pa.array(flat), pa.array(index, mask=~inner))
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in batch.schema.names), *lists],
+                names=[*batch.schema.names, "input_ids", "word_ids"],
+            )
+
+    base = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    encoded = rows.mapInArrow(look_up, f"{base}, input_ids array<int>, word_ids array<int>")
+    out = ["doc_id", "six", "input_ids", "word_ids"]
+    if whole:
+        return encoded.select(*out)
+    encoded = staged(encoded, "encoded")
+    open_ = F.array_contains("input_ids", -1)
+    holes = (
+        encoded.filter(open_)
+        .select("doc_id", "six", F.posexplode("input_ids").alias("_at", "_id"), "sent", "word_ids")
+        .filter("_id = -1")
+        .select("doc_id", "six", "_at", F.get(F.split("sent", " "), F.get("word_ids", "_at")).alias("token"))
     )
+    filled = (
+        holes.join(words, "token", "left")
+        .groupBy("doc_id", "six")
+        .agg(F.map_from_entries(F.collect_list(F.struct("_at", F.coalesce("id", F.lit(unk_id))))).alias("_new"))
+    )
+    patched = encoded.filter(open_).join(filled, ["doc_id", "six"]).withColumn(
+        "input_ids", F.transform("input_ids", lambda x, i: F.when(x == -1, F.col("_new")[i]).otherwise(x).cast("int"))
+    )
+    return encoded.filter(~open_).select(*out).unionByName(patched.select(*out))
 
 
 def _chunks(ids: Column, size: int) -> Column:
