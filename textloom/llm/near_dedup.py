@@ -205,10 +205,12 @@ def near_duplicates(docs: DataFrame, sketch: Sketch | None = None) -> DataFrame:
     """
     sketch = sketch or Sketch()
     all_rows = staged(sketches(docs, sketch), "sketches")
-    sets = (
+    # Written, so that the join below can split the rows of a very frequent set.
+    sets = staged(
         all_rows.filter("n_shingles > 0 and doc_id is not null")
         .groupBy("d1", "d2", "n_shingles")
-        .agg(F.min("doc_id").alias("node"))
+        .agg(F.min("doc_id").alias("node")),
+        "nodes",
     )
     member = staged(
         all_rows.select("doc_id", "n_shingles", "d1", "d2").join(sets, ["d1", "d2", "n_shingles"], "left"),
