@@ -183,6 +183,28 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return named.join(a, "u").join(b, "v").select("u", "v", "ta", "tb").mapInArrow(run, "u long, v long")
 
 
+#: Slots of the map that tells a task which texts can be wanted: 512 KB.
+_SLOTS = 1 << 22
+
+
+def _texts_of(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """doc_id and text of the documents in ``named``. A bit map of their hashed
+    ids, of fixed size, keeps most other texts out of the shuffle."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(_SLOTS)).alias("slot")
+    used = np.zeros(_SLOTS, bool)
+    used[named.select(slot).distinct().toArrow().column("slot").to_numpy()] = True
+    bits = docs.sparkSession.sparkContext.broadcast(np.packbits(used))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(bits.value).astype(bool)
+        for batch in batches:
+            keep = wanted[batch.column("slot").to_numpy()]
+            yield batch.select(["doc_id", "text"]).filter(pa.array(keep))
+
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
+    return some.select("*", slot).mapInArrow(run, "doc_id long, text string").join(named, "doc_id", "left_semi")
+
+
 #: Each turns the order of the ids into another one, whose
 #: smallest member is a further pivot of every bucket.
 _TURNS = (0, 0x2545F4914F6CDD1D, 0x1B873593CC9E2D51)
@@ -242,9 +264,7 @@ def near_duplicates(docs: DataFrame, sketch: Sketch | None = None) -> DataFrame:
     )
     likely = staged(_likely(pairs, reps, sketch), "pairs")
     named = likely.select(F.explode(F.array("node", "pivot")).alias("doc_id")).distinct()
-    wanted = staged(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(named, "doc_id", "left_semi"), "texts"
-    )
+    wanted = staged(_texts_of(docs, staged(named, "named")), "texts")
 
     # A document with several texts links whatever one of its texts links to.
     same = member.filter("doc_id != node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
