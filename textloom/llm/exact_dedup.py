@@ -15,7 +15,14 @@ from pyspark.sql import functions as F
 from textloom.llm.arrays import lower_ascii
 from textloom.session import new_path, staged
 
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; between batches it lies in the shared checkpoint only, so that
+#: executors hold the files of the partitions at work and not of all.
+SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
 
 
 def sha256(text: Column) -> Column:
@@ -55,9 +62,9 @@ def digest_state(
         .groupBy("digest")
         .agg(F.max(F.struct("doc_id", "at")).alias("keep"), F.count(F.lit(1)).alias("n"))
     )
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, PROVIDER)
+    before = {key: spark.conf.get(key, None) for key in SETTINGS}
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
     try:
         run = (
             counted.writeStream.format("noop")
@@ -68,10 +75,11 @@ def digest_state(
         )
         run.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
     state = spark.read.format("statestore").load(checkpoint)
     return state.select("key.digest", F.col("value.max").alias("keep"), F.col("value.count").alias("n"))
 
