@@ -156,7 +156,7 @@ class HashIndex:
 
     def __init__(self, keys: np.ndarray):
         keys = keys.astype(np.uint64)
-        self.mask = np.int64((1 << max(4, (len(keys) * 3).bit_length())) - 1)
+        self.mask = np.int64((1 << max(4, (len(keys) * 3 // 2).bit_length())) - 1)
         self.place = np.full(self.mask + 1, -1, np.int32)
         self.key = np.zeros(self.mask + 1, np.uint64)
         rest, at = np.arange(len(keys), dtype=np.int32), self._slot(keys)

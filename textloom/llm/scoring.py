@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.llm import arrays as ar
@@ -27,6 +28,9 @@ _BEFORE, _END = 0xFE, 0xFF
 #: texts; where a table is larger, the least count that is kept rises with it.
 ENTRIES = 1 << 22
 
+#: Bytes of text that are worked on at once, with some 200 bytes of arrays each.
+PIECE = 1 << 19
+
 _LOWER = (ar.byte_table(b"") - np.uint64(1)).astype(np.uint8)
 
 
@@ -77,25 +81,28 @@ class Trie:
             level = {
                 "entries": ar.HashIndex(keys),
                 "contexts": ar.HashIndex(context[first]),
-                "weight": np.log10(weight),
-                "whole": np.log10(total + kinds),
+                "weight": np.log10(weight).astype(np.float32),
+                "whole": np.log10(total + kinds).astype(np.float32),
+                "escape": (np.log10(kinds) - np.log10(total + kinds)).astype(np.float32),
                 "kinds": kinds,
-                "escape": np.log10(kinds) - np.log10(total + kinds),
                 "total": total,
             }
             if order:
                 low, mask = self.levels[-1], np.uint64((1 << 8 * order) - 1)
                 owner = np.repeat(np.arange(len(first)), kinds.astype(np.int64))
-                below = 10 ** low["weight"][low["entries"].find(keys & mask)]
+                below = 2.0 * tables[order - 1][1][low["entries"].find(keys & mask)] - 1
                 shorter = low["contexts"].find(context[first] & (mask >> np.uint64(8)))
                 left = low["kinds"][shorter] - kinds
                 rest = np.maximum(low["total"][shorter] - np.bincount(owner, below, len(first)), 0) + left
                 some = left > 0
-                level["whole_below"] = np.log10(np.where(some, rest, 1))
-                level["escape_below"] = np.where(some, np.log10(np.where(some, left, 1)) - level["whole_below"], 0)
+                whole = np.log10(np.where(some, rest, 1))
+                level["whole_below"] = whole.astype(np.float32)
+                level["escape_below"] = np.where(some, np.log10(np.where(some, left, 1)) - whole, 0).astype(np.float32)
                 level["shorter"] = shorter
             self.levels.append(level)
         kinds = self.levels[0]["kinds"]
+        for level in self.levels:
+            del level["kinds"], level["total"]
         self.unseen = -np.log10(max(1.0, 256 - (kinds[0] if len(kinds) else 0)))
 
     def log10(self, keys: np.ndarray) -> np.ndarray:
@@ -161,14 +168,22 @@ class _Shared:
         return _trie_of(self.name, self)
 
 
-_KINDS = {"text": 0, "word": 1, "gram": 2}
-_BLOCKED = "kind int, block long, doc_id long, train boolean, text binary, key long, n long"
+_KINDS = {"texts": 0, "word": 1, "gram": 2}
+_BLOCKED = "kind int, block long, texts binary, key long, n long"
+
+
+def _packed(batch: pa.RecordBatch) -> bytes:
+    """Rows as one compressed value, about a third of their size."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
 
 def _blocked(docs: DataFrame) -> DataFrame:
-    """One pass over the texts (doc_id, text, train), block by block: the texts,
-    the block's distinct words with their training counts, and its gram counts.
-    A block is one Arrow batch, so what belongs to it is bounded."""
+    """One pass over the texts (doc_id, text, train), block by block: the packed
+    rows, the block's distinct words with their training counts, and its gram
+    counts. A block is one Arrow batch, so what belongs to it is bounded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -177,18 +192,18 @@ def _blocked(docs: DataFrame) -> DataFrame:
         for number, batch in enumerate(batches):
             block = (task << 24) + number
             train = batch.column("train").to_numpy(zero_copy_only=False).astype(bool)
-            values = ar.texts(batch)
             words, known, keys, counts = [], [], [], []
-            for i, j, data, offsets in ar.pieces(values):
+            for i, j, data, offsets in ar.pieces(ar.texts(batch), PIECE):
+                yield _rows("texts", block, 1, texts=pa.array([_packed(batch.slice(i, j - i))], pa.binary()))
                 _, _, hashes, bounds = ar.words(data, offsets)
                 own = np.repeat(train[i:j], np.diff(bounds))
-                words.append(hashes)
-                known.append(own.astype(np.int64))
+                w, n = counted(hashes, own.astype(np.int64))
+                words.append(w)
+                known.append(n)
                 symbols, at = grams(data, offsets)
                 k, c = counted(symbols[np.repeat(train[i:j], np.diff(at))])
                 keys.append(k)
                 counts.append(c)
-            yield _rows("text", block, len(values), doc_id=batch.column("doc_id"), train=pa.array(train), text=values)
             if words:
                 w, n = counted(np.concatenate(words), np.concatenate(known))
                 yield _rows("word", block, len(w), key=pa.array(w.view(np.int64)), n=pa.array(n))
@@ -199,7 +214,7 @@ def _blocked(docs: DataFrame) -> DataFrame:
 
 
 def _rows(kind: str, block: int, size: int, **columns: pa.Array) -> pa.RecordBatch:
-    types = {"doc_id": pa.int64(), "train": pa.bool_(), "text": pa.binary(), "key": pa.int64(), "n": pa.int64()}
+    types = {"texts": pa.binary(), "key": pa.int64(), "n": pa.int64()}
     base = [pa.array(np.full(size, _KINDS[kind], np.int32)), pa.array(np.full(size, block, np.int64))]
     rest = [columns.get(k, pa.nulls(size, t)) for k, t in types.items()]
     return pa.RecordBatch.from_arrays([*base, *rest], names=["kind", "block", *types])
@@ -244,20 +259,25 @@ def score(docs: DataFrame, entries: int = ENTRIES) -> DataFrame:
     each; without training rows every token is unknown and every byte equally
     likely. Other columns are ignored.
 
-    Word counts come back to the texts by block: a block joins the counts of
-    its own distinct words, so that a frequent word is one row per block.
+    Word counts come back to the texts by block: each distinct word of a block
+    is one row, is counted over all blocks in one shuffle, and returns to its
+    block in another, so a frequent word is one row per block.
     """
     spark = docs.sparkSession
     flags = F.coalesce("train", F.lit(False)).alias("train")
-    blocks = staged(_blocked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", flags)), "blocks")
-    texts = blocks.filter("kind = 0").select("block", "doc_id", "train", "text")
-    words = blocks.filter("kind = 1").select("block", "key", "n")
-    counts = staged(words.groupBy("key").agg(F.sum("n").alias("c")), "words")
-    ends = texts.filter("train").count()
-    sums = counts.agg(
-        F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.coalesce(F.sum((F.col("c") > 0).cast("long")), F.lit(0)).alias("v")
-    ).first()
-    n, v = sums["n"] + ends, sums["v"] + (ends > 0)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", flags)
+    blocks = staged(_blocked(rows), "blocks")
+    texts = blocks.filter("kind = 0").select("block", "texts")
+    same, within = W.partitionBy("key"), W.partitionBy("key").orderBy("block")
+    words = staged(
+        blocks.filter("kind = 1").select(
+            "block", "key", F.sum("n").over(same).alias("c"), (F.row_number().over(within) == 1).alias("once")
+        ),
+        "words",
+    )
+    ends = rows.filter("train").count()
+    sums = words.filter("once").agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
+    n, v = (sums["n"] or 0) + ends, sums["v"] + (ends > 0)
     grams_ = staged(blocks.filter("kind = 2").groupBy("key").agg(F.sum("n").alias("n")), "grams")
     name = new_path(spark, "model")
     shared = _Shared(name, spark.sparkContext.broadcast(Model(name, _tables(grams_, entries))))
@@ -269,8 +289,12 @@ def score(docs: DataFrame, entries: int = ENTRIES) -> DataFrame:
         order = np.argsort(key)
         key, c = key[order], right.column("c").to_numpy()[order]
         out: dict[str, list[np.ndarray]] = {k: [] for k in ("n_tokens", "n_known", "base_score", "score")}
-        for batch in left.combine_chunks().to_batches():
-            for _, _, data, offsets in ar.pieces(ar.texts(batch)):
+        ids, held = [], []
+        for packed in left.column("texts"):
+            batch = pa.ipc.open_stream(packed.as_buffer()).read_next_batch()
+            ids.append(batch.column("doc_id"))
+            held.append(~batch.column("train").to_numpy(zero_copy_only=False).astype(bool))
+            for _, _, data, offsets in ar.pieces(ar.texts(batch), PIECE):
                 _, _, hashes, bounds = ar.words(data, offsets)
                 # Each text's words, then its end.
                 count = np.full(len(hashes) + len(offsets) - 1, ends, np.int64)
@@ -283,17 +307,14 @@ def score(docs: DataFrame, entries: int = ENTRIES) -> DataFrame:
                 out["n_known"].append(np.add.reduceat((count > 0).astype(np.int64), first))
                 out["base_score"].append(np.add.reduceat(logs, first))
                 out["score"].append(np.add.reduceat(trie.log10(symbols), begin[:-1]))
-        columns = {k: pa.array(np.concatenate(x)) for k, x in out.items()}
-        held = pa.array(~left.column("train").to_numpy(zero_copy_only=False).astype(bool))
-        tokens = pa.array(np.full(left.num_rows, n, np.int64))
+        n_tokens, n_known, base, score_ = (pa.array(np.concatenate(x)) for x in out.values())
+        tokens = pa.array(np.full(len(n_tokens), n, np.int64))
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-        doc_id = left.column("doc_id").combine_chunks()
         return pa.Table.from_arrays(
-            [doc_id, held, columns["n_tokens"], columns["n_known"], tokens, columns["base_score"], columns["score"]],
-            names=names,
+            [pa.concat_arrays(ids), pa.array(np.concatenate(held)), n_tokens, n_known, tokens, base, score_], names=names
         )
 
-    own = words.join(counts, "key").select(F.col("block").alias("of"), "key", "c")
+    own = words.select(F.col("block").alias("of"), "key", "c")
     schema = (
         "doc_id long, held_out boolean, n_tokens long, n_known long, "
         "train_tokens long, base_score double, score double"
