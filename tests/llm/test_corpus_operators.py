@@ -153,7 +153,8 @@ def brute_exact(rows):
 
 
 @pytest.mark.parametrize("weak", [False, True])
-def test_exact_copies(spark, tmp_path, weak):
+def test_exact_copies(spark, tmp_path, monkeypatch, weak):
+    monkeypatch.setattr(exact_dedup, "PART", 7)
     draw = random.Random(4)
     rows = [(i, draw.choice(["A b", "a B", "É", "é", "", None, f"t{i}", "a\n"])) for i in range(150)]
     path = str(tmp_path / "documents.parquet")

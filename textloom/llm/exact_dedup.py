@@ -24,6 +24,9 @@ SETTINGS = {
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 
+#: Rows of a group that are compared with one copy of its located text.
+PART = 256
+
 
 def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
@@ -120,11 +123,16 @@ def exact_copies(
         ),
         "grouped",
     )
-    located = grouped.filter(several & F.col("kept")).select("digest", F.col("norm").alias("located"))
+    # A large group is dealt out in parts, each with the located text beside it.
+    parts = (F.col("n") / PART).cast("int") + 1
+    located = grouped.filter(several & F.col("kept")).select(
+        "digest", F.col("norm").alias("located"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")
+    )
     same = F.col("norm") == F.col("located")
     hits = staged(
         grouped.filter(several)
-        .join(located, "digest")
+        .withColumn("part", F.pmod(F.xxhash64("doc_id"), parts).cast("int"))
+        .join(located, ["digest", "part"])
         .select(
             "digest", "doc_id", "sha", "n", "keep_id", "kept",
             same.alias("same"), F.when(~same, F.col("norm")).alias("norm"),
