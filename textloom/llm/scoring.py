@@ -63,6 +63,28 @@ def counted(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.nda
     return keys[first], np.add.reduceat(weights, first) if len(first) else weights
 
 
+class Sums:
+    """Sums by key, merged whenever many are pending, so that what is held
+    follows the distinct keys."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.pending, self.room = 0, 1 << 20
+
+    def add(self, keys: np.ndarray, sums: np.ndarray) -> None:
+        self.parts.append((keys, sums))
+        self.pending += len(keys)
+        if self.pending > self.room:
+            merged = self.total()
+            self.room = max(self.room, 2 * len(merged[0]))
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        keys, sums = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        self.parts = [counted(keys, sums)]
+        self.pending = len(self.parts[0][0])
+        return self.parts[0]
+
+
 class Trie:
     """log10 probabilities of symbols in context, from (keys, counts) by order.
 
@@ -189,26 +211,23 @@ def _blocked(docs: DataFrame) -> DataFrame:
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
+        _trie_of.cache_clear()  # a former model would only take memory here
         for number, batch in enumerate(batches):
             block = (task << 24) + number
             train = batch.column("train").to_numpy(zero_copy_only=False).astype(bool)
-            words, known, keys, counts = [], [], [], []
+            words, symbols = Sums(), Sums()
             for i, j, data, offsets in ar.pieces(ar.texts(batch), PIECE):
                 yield _rows("texts", block, 1, texts=pa.array([_packed(batch.slice(i, j - i))], pa.binary()))
                 _, _, hashes, bounds = ar.words(data, offsets)
                 own = np.repeat(train[i:j], np.diff(bounds))
-                w, n = counted(hashes, own.astype(np.int64))
-                words.append(w)
-                known.append(n)
-                symbols, at = grams(data, offsets)
-                k, c = counted(symbols[np.repeat(train[i:j], np.diff(at))])
-                keys.append(k)
-                counts.append(c)
-            if words:
-                w, n = counted(np.concatenate(words), np.concatenate(known))
-                yield _rows("word", block, len(w), key=pa.array(w.view(np.int64)), n=pa.array(n))
-                g, n = counted(np.concatenate(keys), np.concatenate(counts))
-                yield _rows("gram", block, len(g), key=pa.array(g.view(np.int64)), n=pa.array(n))
+                words.add(*counted(hashes, own.astype(np.int64)))
+                keys, at = grams(data, offsets)
+                symbols.add(*counted(keys[np.repeat(train[i:j], np.diff(at))]))
+            if batch.num_rows:
+                for kind, sums in (("word", words), ("gram", symbols)):
+                    key, n = sums.total()
+                    yield _rows(kind, block, len(key), key=pa.array(key.view(np.int64)), n=pa.array(n))
+            pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, _BLOCKED)
 
