@@ -21,7 +21,9 @@ from textloom.llm import pretokens
 from textloom.llm.vocabulary import Vocabulary, load
 
 #: Bytes whose fragments are encoded together.
-PIECE = 1 << 22
+PIECE = 1 << 20
+#: Rows whose ids are held as lists at once.
+ROWS = 400
 
 
 class Encoder:
@@ -169,8 +171,8 @@ def encode_decode(docs: DataFrame, tokenizer: str, ids: bool = True, digests: bo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(content.value)
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
                 out: dict[str, list] = {k: [] for k in types}
                 for tokens in coder.encode_all(ar.texts(batch)):
                     text = coder.decode(tokens)
@@ -185,5 +187,6 @@ def encode_decode(docs: DataFrame, tokenizer: str, ids: bool = True, digests: bo
                 kinds = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
                 added = [pa.array(v, kinds.get(k, pa.string())) for k, v in out.items()]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *added], names=[*names, *types])
+            pa.default_memory_pool().release_unused()
 
     return kept.mapInArrow(run, ", ".join([*schema, *(f"{k} {v}" for k, v in types.items())]))

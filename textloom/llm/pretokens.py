@@ -70,7 +70,7 @@ def symbols(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
     head = np.zeros(n + 3, bool)
     head[starts] = True
     head[n:] = True
-    ahead = np.full(n + 2, -1, np.int64)
+    ahead = np.full(n + 2, -1, np.int32)
     ahead[:n] = points
     one, two = ahead[1 : n + 1].copy(), ahead[2 : n + 2].copy()
     one[head[1 : n + 1]] = -1
