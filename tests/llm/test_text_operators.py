@@ -273,3 +273,26 @@ def test_scoring_without_training_rows(spark, odd, empty):
 def test_scoring_with_fewer_entries_stays_nested(spark, odd):
     rows = scoring.score(odd.withColumn("train", F.lit(True)), entries=40).collect()
     assert len(rows) == len(ODD) and all(math.isfinite(r.score) and r.score < 0 for r in rows)
+
+
+def test_scores_are_partial_matching_of_all_grams(spark):
+    draw = random.Random(8)
+    texts = ["".join(draw.choice("abcab é") for _ in range(draw.randint(0, 40))) for _ in range(60)] + ["abz", "zq", ""]
+    rows = [(i, t, i % 3 > 0) for i, t in enumerate(texts)]
+    p = brute_ppm([t.encode() for _, t, k in rows if k])
+    got = scoring.score(spark.createDataFrame(rows, "doc_id long, text string, train boolean").repartition(3)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        tape = [0xFE] * scoring.ORDER + list(texts[r.doc_id].encode()) + [0xFF]
+        want = sum(math.log10(p(tape[:i], tape[i])) for i in range(scoring.ORDER, len(tape)))
+        assert r.score == pytest.approx(want)
+
+
+def test_rare_grams_stay_in_a_large_model(spark):
+    # More than 2^22 distinct grams of six bytes; the rare ones must keep their counts.
+    n = (1 << 22) + 1000
+    counts = spark.range(n).select((F.col("id") * 256 + 0x61).alias("key"), F.lit(1).cast("long").alias("n"))
+    counts = counts.union(spark.range(1).select((F.col("id") + 0x62).alias("key"), F.lit(9).cast("long")))
+    got = {r.key: r.p for r in scoring.probabilities(counts).filter("key < 1024").collect()}
+    assert got[256 + 0x61] == pytest.approx(math.log10(1 / 2))
+    assert got[0x61] == pytest.approx(math.log10(1 / (1 + 17 + 2)))

@@ -2,14 +2,13 @@
 
 A byte-context trie with the counts of the training texts. A byte is coded in the
 longest context that has it; each longer context in which it did not occur is
-left by an escape, and the bytes of that context are excluded below.
+left by an escape, and the bytes of that context are excluded below. The counts
+stay a Spark table, where every distinct gram gets its probability once.
 """
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,16 +17,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.llm import arrays as ar
-from textloom.session import new_path, staged
+from textloom.session import staged
 
 #: Longest context in bytes; six bytes of context and symbol fill a key.
 ORDER = 5
 #: Bytes that never occur in UTF-8: before a text, and its end as a symbol.
 _BEFORE, _END = 0xFE, 0xFF
-#: Entries per order that the model keeps at most. The training counts cover all
-#: texts; where a table is larger, the least count that is kept rises with it.
-ENTRIES = 1 << 22
-
 #: Bytes of text that are worked on at once, with some 200 bytes of arrays each.
 PIECE = 1 << 19
 
@@ -63,6 +58,14 @@ def counted(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.nda
     return keys[first], np.add.reduceat(weights, first) if len(first) else weights
 
 
+def seen(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of six bytes, ascending, with their numbers in training."""
+    marked, n = counted(keys << np.uint64(1) | train.astype(np.uint64))
+    keys, n = marked >> np.uint64(1), n * (marked & np.uint64(1)).astype(np.int64)
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return keys[first], np.add.reduceat(n, first) if len(first) else n
+
+
 class Sums:
     """Sums by key, merged whenever many are pending, so that what is held
     follows the distinct keys."""
@@ -86,7 +89,8 @@ class Sums:
 
 
 class Trie:
-    """log10 probabilities of symbols in context, from (keys, counts) by order.
+    """log10 probabilities of symbols in context, from (keys, counts) by order:
+    what ``probabilities`` gives, for tables that fit in memory.
 
     Escapes follow the estimate of half a count: a symbol of count c weighs
     2c - 1, the escape as much as there are distinct symbols.
@@ -160,36 +164,6 @@ class Trie:
         return out
 
 
-@dataclass(frozen=True)
-class Model:
-    name: str
-    tables: list[tuple[np.ndarray, np.ndarray]]
-
-
-@functools.lru_cache(maxsize=1)
-def _trie_of(name: str, get) -> Trie:
-    return Trie(get().tables)
-
-
-class _Shared:
-    """A broadcast model by its name, so that a process builds its trie once."""
-
-    def __init__(self, name: str, value):
-        self.name, self.value = name, value
-
-    def __call__(self) -> Model:
-        return self.value.value
-
-    def __hash__(self) -> int:
-        return hash(self.name)
-
-    def __eq__(self, other: object) -> bool:
-        return isinstance(other, _Shared) and other.name == self.name
-
-    def trie(self) -> Trie:
-        return _trie_of(self.name, self)
-
-
 _KINDS = {"texts": 0, "word": 1, "gram": 2}
 _BLOCKED = "kind int, block long, texts binary, key long, n long"
 
@@ -204,14 +178,12 @@ def _packed(batch: pa.RecordBatch) -> bytes:
 
 def _blocked(docs: DataFrame) -> DataFrame:
     """One pass over the texts (doc_id, text, train), block by block: the packed
-    rows, the block's distinct words with their training counts, and its gram
-    counts. A block is one Arrow batch, so what belongs to it is bounded."""
+    rows, and the block's distinct words and grams with their training counts. A block is one Arrow batch, so what belongs to it is bounded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
-        _trie_of.cache_clear()  # a former model would only take memory here
         for number, batch in enumerate(batches):
             block = (task << 24) + number
             train = batch.column("train").to_numpy(zero_copy_only=False).astype(bool)
@@ -222,7 +194,7 @@ def _blocked(docs: DataFrame) -> DataFrame:
                 own = np.repeat(train[i:j], np.diff(bounds))
                 words.add(*counted(hashes, own.astype(np.int64)))
                 keys, at = grams(data, offsets)
-                symbols.add(*counted(keys[np.repeat(train[i:j], np.diff(at))]))
+                symbols.add(*seen(keys, np.repeat(train[i:j], np.diff(at))))
             if batch.num_rows:
                 for kind, sums in (("word", words), ("gram", symbols)):
                     key, n = sums.total()
@@ -239,34 +211,70 @@ def _rows(kind: str, block: int, size: int, **columns: pa.Array) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([*base, *rest], names=["kind", "block", *types])
 
 
-def _tables(counts: DataFrame, entries: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Counts by order, 0 to ORDER. Every order is summed over all grams; then
-    entries below one common least count go, the smallest that leaves at most
-    ``entries`` of each order, so that contexts stay nested."""
-    orders = [counts]
-    for order in range(ORDER - 1, -1, -1):
-        key = F.col("key").bitwiseAND(F.lit((1 << 8 * (order + 1)) - 1))
-        orders.append(orders[-1].groupBy(key.alias("key")).agg(F.sum("n").alias("n")))
-    least, kept = 1, []
+def _least(orders: list[DataFrame], entries: int) -> int:
+    """The smallest common count that leaves at most ``entries`` of each order."""
+    least = 1
     for table in orders:
         # Counts in classes of a sixteenth of a power of two, a few hundred rows.
-        steps = table.groupBy(F.floor(F.log2("n") * 16).alias("step")).agg(F.count("*").alias("k")).collect()
+        steps = table.filter("n > 0").groupBy(F.floor(F.log2("n") * 16).alias("step")).agg(F.count("*").alias("k"))
         above = 0
-        for step, k in sorted(((r["step"], r["k"]) for r in steps), reverse=True):
+        for step, k in sorted(((r["step"], r["k"]) for r in steps.collect()), reverse=True):
             above += k
             if above > entries:
                 least = max(least, int(2 ** ((step + 1) / 16)) + 1)
                 break
-    for table in reversed(orders):
-        got = table.filter(F.col("n") >= least).toArrow()
-        keys = got.column("key").to_numpy().view(np.uint64)
-        n = got.column("n").to_numpy()
-        order = np.argsort(keys)
-        kept.append((keys[order], n[order]))
-    return kept
+    return least
 
 
-def score(docs: DataFrame, entries: int = ENTRIES) -> DataFrame:
+def probabilities(counts: DataFrame, entries: int | None = None) -> DataFrame:
+    """(key, p): the log10 probability of each gram of ``counts`` (key, n), whose
+    ``n`` is its number in training, 0 for a gram that is only scored.
+
+    An order's table holds the last bytes of every longer gram, so a gram finds
+    its shorter one by a join and its context's other symbols in a window of at
+    most 256 rows. Going up from order 0, ``free`` is the value where no longer
+    context was left, ``under`` that below the context of the same length.
+    """
+    orders = [counts]
+    for order in range(ORDER - 1, -1, -1):
+        key = F.col("key").bitwiseAND(F.lit((1 << 8 * (order + 1)) - 1))
+        orders.append(staged(orders[-1].groupBy(key.alias("key")).agg(F.sum("n").alias("n")), f"grams{order}"))
+    if entries is not None:
+        kept = F.col("n") >= _least(orders, entries)
+        orders = [t.select("key", F.when(kept, F.col("n")).otherwise(0).alias("n")) for t in orders]
+
+    n, total, kinds = (F.col(c) for c in ("n", "total", "kinds"))
+    weight = 2 * n - 1
+    of = W.partitionBy(F.shiftright("key", 8))
+    sums = {"total": F.sum(F.when(n > 0, weight).otherwise(0)).over(of), "kinds": F.count_if(n > 0).over(of)}
+    own = F.log10(weight) - F.log10(total + kinds)
+    escape = F.log10(kinds) - F.log10(total + kinds)
+    unseen = -F.log10(F.greatest(F.lit(1), 256 - kinds))
+    below = None
+    for order, table in enumerate(reversed(orders)):
+        if below is None:
+            full = table.withColumns(sums).withColumn("under", unseen)
+            longest = unseen
+        else:
+            low = below.select(F.col("key").alias("short"), *[F.col(c).alias(f"{c}_low") for c in below.columns[1:]])
+            joined = table.join(low, F.col("key").bitwiseAND(F.lit((1 << 8 * order) - 1)) == F.col("short"))
+            weight_low = 2 * F.col("n_low") - 1
+            full = joined.withColumns({**sums, "gone": F.sum(F.when(n > 0, weight_low).otherwise(0)).over(of)})
+            left = F.col("kinds_low") - kinds
+            rest = F.greatest(F.col("total_low") - F.col("gone"), F.lit(0)) + left
+            under = (
+                F.when(F.col("n_low") > 0, F.log10(weight_low) - F.log10(rest))
+                .when(left > 0, F.log10(left) - F.log10(rest) + F.col("under_low"))
+                .otherwise(F.col("under_low"))
+            )
+            full = full.withColumn("under", under)
+            longest = F.col("free_low")
+        free = F.when(n > 0, own).when(kinds > 0, escape + F.col("under")).otherwise(longest)
+        below = full.select("key", "n", "total", "kinds", "under", free.alias("free"))
+    return below.select("key", F.col("free").alias("p"))
+
+
+def score(docs: DataFrame, entries: int | None = None) -> DataFrame:
     """Scores every row of ``docs`` (doc_id, text, train boolean), learning from
     the rows where ``train`` is true.
 
@@ -278,11 +286,13 @@ def score(docs: DataFrame, entries: int = ENTRIES) -> DataFrame:
     each; without training rows every token is unknown and every byte equally
     likely. Other columns are ignored.
 
-    Word counts come back to the texts by block: each distinct word of a block
-    is one row, is counted over all blocks in one shuffle, and returns to its
-    block in another, so a frequent word is one row per block.
+    Word counts and gram probabilities come back to the texts by block: each
+    distinct word or gram of a block is one row, is counted over all blocks in
+    one shuffle, and returns to its block in another, so a frequent one is one
+    row per block. All counts are used, whatever their number, unless the caller
+    sets ``entries``: then those below the least common count that leaves at
+    most so many grams of each order are taken as unseen.
     """
-    spark = docs.sparkSession
     flags = F.coalesce("train", F.lit(False)).alias("train")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", flags)
     blocks = staged(_blocked(rows), "blocks")
@@ -298,15 +308,16 @@ def score(docs: DataFrame, entries: int = ENTRIES) -> DataFrame:
     sums = words.filter("once").agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     n, v = (sums["n"] or 0) + ends, sums["v"] + (ends > 0)
     grams_ = staged(blocks.filter("kind = 2").groupBy("key").agg(F.sum("n").alias("n")), "grams")
-    name = new_path(spark, "model")
-    shared = _Shared(name, spark.sparkContext.broadcast(Model(name, _tables(grams_, entries))))
+    chances = blocks.filter("kind = 2").select("block", "key").join(probabilities(grams_, entries), "key")
     whole = n + 0.5 * (v + 1)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        trie = shared.trie()
-        key = right.column("key").to_numpy().view(np.uint64)
+        gram = right.column("gram").to_numpy(zero_copy_only=False).astype(bool)
+        key, value = right.column("key").to_numpy().view(np.uint64), right.column("value").to_numpy()
+        index, p = ar.HashIndex(key[gram]), value[gram]
+        key, c = key[~gram], value[~gram]
         order = np.argsort(key)
-        key, c = key[order], right.column("c").to_numpy()[order]
+        key, c = key[order], c[order].astype(np.int64)
         out: dict[str, list[np.ndarray]] = {k: [] for k in ("n_tokens", "n_known", "base_score", "score")}
         ids, held = [], []
         for packed in left.column("texts"):
@@ -325,7 +336,7 @@ def score(docs: DataFrame, entries: int = ENTRIES) -> DataFrame:
                 out["n_tokens"].append(np.diff(bounds) + 1)
                 out["n_known"].append(np.add.reduceat((count > 0).astype(np.int64), first))
                 out["base_score"].append(np.add.reduceat(logs, first))
-                out["score"].append(np.add.reduceat(trie.log10(symbols), begin[:-1]))
+                out["score"].append(np.add.reduceat(p[index.find(symbols)], begin[:-1]))
         n_tokens, n_known, base, score_ = (pa.array(np.concatenate(x)) for x in out.values())
         tokens = pa.array(np.full(len(n_tokens), n, np.int64))
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
@@ -334,7 +345,9 @@ def score(docs: DataFrame, entries: int = ENTRIES) -> DataFrame:
             [pa.concat_arrays(ids), pa.array(np.concatenate(held)), n_tokens, n_known, tokens, base, score_], names=names
         )
 
-    own = words.select(F.col("block").alias("of"), "key", "c")
+    # A count is a whole number below 2^53, which a double holds.
+    own = words.select(F.col("block").alias("of"), F.lit(False).alias("gram"), "key", F.col("c").cast("double").alias("value"))
+    own = own.union(chances.select("block", F.lit(True), "key", "p"))
     schema = (
         "doc_id long, held_out boolean, n_tokens long, n_known long, "
         "train_tokens long, base_score double, score double"
