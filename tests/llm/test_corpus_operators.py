@@ -125,6 +125,20 @@ def test_near_duplicates_of_odd_rows(odd, empty):
     assert near_dedup.drop_near_duplicates(empty).count() == 0
 
 
+def test_texts_that_share_an_id_are_different_documents(spark):
+    draw = random.Random(9)
+    a, b, c = ([f"{x}{draw.randrange(9999)}" for _ in range(80)] for x in "abc")
+    near = [[*t[:-1], "end"] for t in (a, b)]
+    texts = [(3, a), (3, b), (5, near[0]), (7, near[1]), (9, c), (9, c), (None, a)]
+    rows = [(i, " ".join(t), k) for k, (i, t) in enumerate(texts)]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, id long").repartition(3)
+        out = near_dedup.drop_near_duplicates(docs)
+        kept = Counter((r.doc_id, r.text) for r in out.collect())
+        assert out.columns == docs.columns
+        assert kept == Counter((i, " ".join(t)) for i, t in ((3, a), (3, b), (9, c), (None, a)))
+
+
 def test_sketch_estimates_and_merges():
     sketch, draw = near_dedup.Sketch(), np.random.default_rng(3)
     items = draw.integers(0, 1 << 63, 3000).astype(np.uint64)

@@ -300,10 +300,37 @@ def near_duplicates(docs: DataFrame, sketch: Sketch | None = None) -> DataFrame:
     )
 
 
+def _named(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows as ``ar.nested`` has them, with an ``id`` that rows share only
+    when they are equal in doc_id and text; null without doc_id. It is a hash
+    that is drawn anew until no two names share one. Also (id, low): the names."""
+    keyed, salt = ar.nested(docs), 0
+    while True:
+        hashed = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "_row", F.lit(salt)))
+        named = keyed.withColumn("id", hashed)
+        name = F.struct("doc_id", "_row")
+        of = named.filter("id is not null").groupBy("id").agg(F.min(name).alias("low"), F.max(name).alias("high"))
+        names = staged(of, "names")
+        if names.filter("low != high").isEmpty():
+            return named, names.select("id", "low")
+        salt += 1
+
+
 def drop_near_duplicates(docs: DataFrame, sketch: Sketch | None = None) -> DataFrame:
-    """The documents with one row of each class, that of the smallest doc_id (of
-    rows that share it any one). Rows without doc_id stay."""
-    dropped = near_duplicates(docs, sketch).filter("not kept").select("doc_id").distinct()
-    rest = docs.filter("doc_id is not null").join(dropped, "doc_id", "left_anti")
-    once = rest.dropDuplicates(["doc_id"]).select(docs.columns)
-    return once.unionByName(docs.filter("doc_id is null"))
+    """The documents with one row of each class of texts, that of the smallest
+    doc_id (of its texts the one of the smallest hash). Rows that share a doc_id
+    but not the text are different documents; of rows equal in both, that of the
+    smallest hash of all columns stays. Rows without doc_id stay."""
+    named, names = _named(docs)
+    found = near_duplicates(named.select(F.col("id").alias("doc_id"), F.col("doc.text").alias("text")), sketch)
+    classes = staged(
+        found.filter("doc_id is not null").select(F.col("doc_id").alias("id"), "component_id").distinct(), "classes"
+    )
+    several = classes.join(names, "id").groupBy("component_id").agg(
+        F.min(F.struct("low", "id")).alias("first"), F.count("*").alias("n")
+    )
+    dropped = classes.join(several.filter("n > 1"), "component_id").filter("id != first.id").select("id")
+    rest = named.filter("id is not null").join(dropped, "id", "left_anti")
+    columns = [F.col("doc").getField(c).alias(c) for c in docs.columns]
+    once = rest.groupBy("id").agg(F.min_by("doc", F.xxhash64("doc")).alias("doc")).select(*columns)
+    return once.unionByName(docs.filter(F.col("doc_id").cast("long").isNull()))
