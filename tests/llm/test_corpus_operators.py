@@ -5,6 +5,8 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from compare import connect, differences
 from pyspark.sql import functions as F
@@ -340,6 +342,38 @@ def test_surrogates_stay_distinct(spark):
     assert not {r.surrogate for r in rows} & set(mails)
 
 
+ALONE = {
+    "email": ["anna@example.org"],
+    "secret": ["sk-" + "abcde" * 4, "AKIA" + "ABCD" * 4, "ghp_" + "abcdef" * 6, "abcdef" * 6, "sk-ab-cd_" + "e" * 20],
+    "iban": ["DE89 3704 0044 0532 0130 00"],
+    "ip": ["10.0.12.255", "١.٢.٣.٤"],
+    "ssn": ["123-45-6789", "١٢٣-٤٥-٦٧٨٩"],
+    "card": ["4539 1488 0343 6467", "٤٥٣٩ ١٤٨٨ ٠٣٤٣ ٦٤٦٧"],
+    "phone": ["+1 (017) 555-7713", "+٤٩ ٣٠ ١٢٣٤ ٥٦٧٨", "(017) 555-7713", "०१७-५५५-७७१३"],
+}
+
+
+def test_every_mention_alone_is_replaced(spark):
+    assert ALONE.keys() == pii._PATTERNS.keys()
+    rows = [(k, t) for k, (_, t) in enumerate((kind, t) for kind, ts in ALONE.items() for t in ts)]
+    kinds = [kind for kind, ts in ALONE.items() for _ in ts]
+    out = pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), b"k").collect()
+    new = {r.doc_id: r.text for r in out}
+    for (k, text), kind in zip(rows, kinds, strict=True):
+        assert [m[2] for m in pii.mentions(text)] == [kind] and new[k] != text, text
+        assert [m[2] for m in pii.mentions(new[k])] == [kind], (text, new[k])
+        scripts = [{c.isascii() for c in t if c.isdecimal()} for t in (text, new[k])]
+        assert kind == "secret" or scripts[0] == scripts[1], (text, new[k])
+    # The same number in other digits is the same entity.
+    card = ["".join(str(int(c)) for c in new[k] if c.isdecimal()) for k, t in rows if kinds[k] == "card"]
+    assert card[0] == card[1]
+
+
+def test_hint_knows_every_digit():
+    digits = pa.array([chr(c) for c in range(0x110000) if chr(c).isdecimal()])
+    assert pc.all(pc.match_substring_regex(digits, pii._HINT)).as_py()
+
+
 def test_surrogates_of_odd_rows(odd, empty):
     out = pii.pseudonymise(odd, b"k")
     rows = out.collect()

@@ -68,7 +68,9 @@ _PATTERNS = {
 }
 _ANY = re.compile("|".join([*(f"(?P<{k}>{v})" for k, v in _PATTERNS.items()), _PERSON]))
 #: What every mention contains, to pass over other texts quickly.
-_HINT = "[0-9]|@|" + "|".join([*(t if len(t) > 1 else t + r"\." for t in _ADDRESS), *_FIRST])
+_HINT = r"\p{Nd}|@|[a-fA-F]{32}|AKIA[A-Z]{16}|gh[pousr]_[A-Za-z]{36}|sk-[A-Za-z_-]{20}|" + "|".join(
+    [*(t if len(t) > 1 else t + r"\." for t in _ADDRESS), *_FIRST]
+)
 
 #: A mention: start, end, type (names: given or family with gender), canonical form.
 Mention = tuple[int, int, str, str]
@@ -79,6 +81,18 @@ def _gender(name: str, title: str | None) -> str:
     return known if known != "u" else _GIVEN_OF.get(name.casefold(), "u")
 
 
+def _ascii_digits(text: str) -> str:
+    """Digits of any script as 0 to 9."""
+    return text if text.isascii() else "".join(str(unicodedata.decimal(c)) if c.isdecimal() else c for c in text)
+
+
+def _in_script(digit: str, like: str) -> str:
+    """A digit in the script of another one; anything else stays."""
+    if not (digit.isdecimal() and like.isdecimal()):
+        return digit
+    return chr(ord(like) - unicodedata.decimal(like) + unicodedata.decimal(digit))
+
+
 def mentions(text: str) -> Iterator[Mention]:
     """Entities of a text, from left to right; a name's parts come one by one."""
     for m in _ANY.finditer(text):
@@ -91,12 +105,14 @@ def mentions(text: str) -> Iterator[Mention]:
             at = "first" if m["first"] else "given"
             yield *m.span(at), "given-" + _gender(first, title), first.casefold()
             yield *m.span("second" if m["second"] else "family"), "family", second.casefold()
-        elif kind in ("email", "ip"):
+        elif kind == "email":
             yield *m.span(), kind, m[0].lower()
+        elif kind == "ip":
+            yield *m.span(), kind, _ascii_digits(m[0])
         elif kind == "secret":
             yield *m.span(), kind, m[0]
         else:
-            yield *m.span(), kind, re.sub(r"[^0-9A-Za-z]", "", m[0]).upper()
+            yield *m.span(), kind, re.sub(r"[^0-9A-Za-z]", "", _ascii_digits(m[0])).upper()
 
 
 class _Stream:
@@ -124,8 +140,8 @@ def _luhn(digits: str) -> int:
 
 def _alike(c: str, draw: _Stream) -> str:
     """A character of the same class and case."""
-    if c.isascii() and c.isdigit():
-        return str(draw.below(10))
+    if c.isdecimal():
+        return _in_script(str(draw.below(10)), c)
     if c.isalpha():
         letter = "abcdefghijklmnopqrstuvwxyz"[draw.below(26)]
         return letter.upper() if c.isupper() else letter
@@ -171,7 +187,8 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int) -> str:
 
 
 def rendered(kind: str, mention: str, new: str) -> str:
-    """The replacement in the form of a mention: its separators and its case."""
+    """The replacement in the form of a mention: its separators, its case and its
+    script's digits."""
     if kind == "family" or kind.startswith("given"):
         return new.upper() if mention.isupper() else new[:1].upper() + new[1:]
     if kind == "phone" and mention.startswith("+"):
@@ -179,8 +196,11 @@ def rendered(kind: str, mention: str, new: str) -> str:
         new = code[1:] + new[len(code) - 1 :]
     if kind in ("phone", "card", "ssn", "iban"):
         rest = iter(new)
-        text = "".join(next(rest, "") if c.isalnum() else c for c in mention)
+        text = "".join(_in_script(next(rest, ""), c) if c.isalnum() else c for c in mention)
         return text + "".join(rest)
+    if kind == "ip" and not mention.isascii():
+        like = next(c for c in mention if c.isdecimal() and not c.isascii())
+        return "".join(_in_script(c, like) for c in new)
     return new.upper() if kind in ("email",) and mention.isupper() else new
 
 
