@@ -112,6 +112,26 @@ def test_near_duplicates_at_the_threshold(spark):
     assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect()} == root
 
 
+def test_near_duplicates_in_a_family_below_the_threshold(spark):
+    # All share boilerplate at 0.72 to 0.75, and pairs in it reach 0.75 to 0.78:
+    # only exact tests of members against each other find those.
+    draw = random.Random(10)
+    stem = [f"s{i}" for i in range(604)]
+    rows = []
+    for k in range(150):
+        common = [f"c{k}.{i}" for i in range(draw.randint(0, 20))]
+        for m in range(2):
+            own = [f"o{k}.{m}.{i}" for i in range(draw.randint(101, 114) - len(common))]
+            rows.append((2 * k + m, " ".join([*stem, *common, *own])))
+    # A large class beside the family.
+    rows += [(1000 + i, " ".join([*stem, *(f"g{j}" for j in range(100)), f"x{i}"])) for i in range(60)]
+    size, root = brute_near(rows)
+    assert 100 < len(set(root.values())) < len(rows) - 90
+    draw.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect()} == root
+
+
 def test_near_duplicates_of_odd_rows(odd, empty):
     rows = near_dedup.near_duplicates(odd).collect()
     assert len(rows) == len(ODD)

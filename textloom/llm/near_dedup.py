@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.llm import arrays as ar
@@ -211,6 +212,89 @@ def _texts_of(docs: DataFrame, named: DataFrame) -> DataFrame:
 _TURNS = (0, 0x2545F4914F6CDD1D, 0x1B873593CC9E2D51)
 
 
+def _class_of(label: DataFrame, node: str, name: str) -> DataFrame:
+    return label.select(F.col("node").alias(node), F.col("component").alias(name))
+
+
+def _links(likely: DataFrame, texts: DataFrame, percent: int, before: DataFrame | None = None) -> DataFrame:
+    """Confirmed links that join all classes which ``likely`` pairs can join,
+    besides the links ``before``: each node's first pair, then the pairs that are
+    not in one class yet."""
+    lowest = likely.groupBy("node").agg(F.min("pivot").alias("pivot"))
+    found = staged(_confirmed(lowest, texts, percent), "links")
+    label = staged(components(found if before is None else found.union(before)), "classes")
+    left = (
+        likely.join(lowest, ["node", "pivot"], "left_anti")
+        .join(_class_of(label, "node", "cn"), "node", "left")
+        .join(_class_of(label, "pivot", "cp"), "pivot", "left")
+        .filter("not (coalesce(cn, node) <=> coalesce(cp, pivot))")
+        .select("node", "pivot")
+    )
+    return found.union(staged(_confirmed(left, texts, percent), "links"))
+
+
+def _open(banded: DataFrame, pivots: DataFrame, label: DataFrame) -> DataFrame:
+    """(node, class) of the members that a bucket has tested against its pivots
+    only, where they are in several classes."""
+    large = pivots.filter("n - size(pivots) > 1")
+    member = banded.join(large, ["band", "key"]).filter("not array_contains(pivots, node)")
+    member = member.select("band", "key", "node").join(_class_of(label, "node", "class"), "node", "left")
+    member = member.select("band", "key", "node", F.coalesce("class", "node").alias("class"))
+    mixed = member.groupBy("band", "key").agg(F.min("class").alias("low"), F.max("class").alias("high"))
+    return member.join(mixed.filter("low != high"), ["band", "key"]).select("node", "class").distinct()
+
+
+def _prefix_pairs(texts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (node, pivot) of different classes that can be similar enough.
+
+    Every set is put in order of how rare its shingles are over ``nodes``. Of a
+    pair's common shingles the first is among the first (1 - t) of the larger
+    set and the first (1 - t) / (1 + t) of the smaller one, and at least the
+    overlap that the lengths demand follows it in both, so that no pair is lost.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = batch.column("doc_id")
+            for i, j, data, offsets in ar.pieces(ar.texts(batch)):
+                _, _, hashes, bounds = ar.words(data, offsets)
+                for at, items in zip(range(i, j), ar.shingle_sets(hashes, bounds), strict=True):
+                    digest = int(ar.mix(items + np.uint64(1)).sum().astype(np.uint64).view(np.int64))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.full(len(items), nodes[at].as_py(), np.int64)),
+                            pa.array(np.full(len(items), digest, np.int64)),
+                            pa.array(np.full(len(items), len(items), np.int64)),
+                            pa.array(items.view(np.int64)),
+                        ],
+                        names=["node", "d1", "size", "item"],
+                    )
+
+    once = texts.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates()
+    items = once.mapInArrow(run, "node long, d1 long, size long, item long").distinct().join(nodes, "node")
+    items = staged(items, "items")
+    count = items.groupBy("item").agg(
+        F.count("*").alias("df"),
+        (F.min("class") != F.max("class")).alias("mixed"),
+        F.mode("class", True).alias("main"),
+    )
+    order = W.partitionBy("node", "d1").orderBy("df", "item")
+    placed = items.join(count, "item").withColumn("at", F.row_number().over(order))
+    probe = staged(placed.filter(f"mixed and at <= size - ceil({percent} * size / 100) + 1"), "prefixes")
+    index = probe.filter(f"at <= size - ceil({2 * percent} * size / {100 + percent}) + 1")
+    # Members of an item's largest class meet only those of other classes.
+    a, b = probe.alias("a"), index.alias("b")
+    fits = F.expr(
+        "a.item = b.item and a.class != b.class and (b.size < a.size or b.size = a.size and b.node < a.node)"
+        f" and 100 * b.size >= {percent} * a.size"
+        f" and least(a.size - a.at, b.size - b.at) + 1 >= ceil({percent} * (a.size + b.size) / {100 + percent})"
+    )
+    pair = [F.greatest("a.node", "b.node").alias("node"), F.least("a.node", "b.node").alias("pivot")]
+    other = a.filter("a.class != a.main").join(b, fits).select(*pair)
+    main = a.filter("a.class = a.main").join(b.filter("b.class != b.main"), fits).select(*pair)
+    return other.union(main).distinct()
+
+
 def near_duplicates(docs: DataFrame, sketch: Sketch | None = None) -> DataFrame:
     """Classes of near-duplicate documents.
 
@@ -224,7 +308,8 @@ def near_duplicates(docs: DataFrame, sketch: Sketch | None = None) -> DataFrame:
     Equal sets meet by digest and go on as one. Each bucket of a band tests its
     members against up to three pivots, not against each other, and members
     that are in a pivot's class already are not tested again, so the work is in
-    proportion to the members however large a bucket is.
+    proportion to the members however large a bucket is. Members of a bucket
+    that are in several classes after this meet by their rarest shingles.
     """
     sketch = sketch or Sketch()
     all_rows = staged(sketches(docs, sketch), "sketches")
@@ -269,25 +354,21 @@ def near_duplicates(docs: DataFrame, sketch: Sketch | None = None) -> DataFrame:
 
     # A document with several texts links whatever one of its texts links to.
     same = member.filter("doc_id != node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
-    lowest = likely.groupBy("node").agg(F.min("pivot").alias("pivot"))
-    found = staged(_confirmed(lowest, wanted, sketch.percent), "links")
-    label = staged(components(found), "classes")
-    left = (
-        likely.join(lowest, ["node", "pivot"], "left_anti")
-        .join(label.select(F.col("node"), F.col("component").alias("cn")), "node", "left")
-        .join(label.select(F.col("node").alias("pivot"), F.col("component").alias("cp")), "pivot", "left")
-        .filter("not (coalesce(cn, node) <=> coalesce(cp, pivot))")
-        .select("node", "pivot")
-    )
-    more = staged(_confirmed(left, wanted, sketch.percent), "links")
+    found = _links(likely, wanted, sketch.percent)
     several = same.join(
         member.filter("node is not null").groupBy("doc_id").agg(F.count_distinct("node").alias("k")).filter("k > 1"),
         F.col("u") == F.col("doc_id"),
         "left_semi",
     )
-    final = components(found.union(more).union(several)).select(
-        F.col("node"), F.col("component").alias("component_id")
-    )
+    links = staged(found.union(several), "links")
+    label = staged(components(links), "classes")
+    rest = staged(_open(banded, pivots, label), "open")
+    if not rest.isEmpty():
+        texts = staged(_texts_of(docs, rest.select(F.col("node").alias("doc_id")).distinct()), "texts")
+        close = _prefix_pairs(texts, rest, sketch.percent)
+        likely = staged(_likely(close, reps, sketch), "pairs")
+        label = components(links.union(_links(likely, texts, sketch.percent, links)))
+    final = _class_of(label, "node", "component_id")
     return (
         member.withColumn("node", F.coalesce("node", "doc_id"))
         .join(final, "node", "left")
