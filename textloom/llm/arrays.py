@@ -115,19 +115,26 @@ def span_hashes(value: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _SALT)
 
 
-def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = SPACES):
-    """Words of the texts: starts, ends, 64-bit hashes, and where each text's
-    words begin (one entry more than texts)."""
-    value = table[data]
+def word_spans(value: np.ndarray, offsets: np.ndarray):
+    """Runs of values above 0 within the texts: starts, ends, and where each text's
+    runs begin (one entry more than texts)."""
     on = value != 0
     first = on.copy()
     first[1:] &= ~on[:-1]
-    cuts = offsets[:-1][offsets[:-1] < len(data)]
+    cuts = offsets[:-1][offsets[:-1] < len(value)]
     first[cuts] = on[cuts]
     last = on.copy()
     last[:-1] &= ~on[1:] | first[1:]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return starts, ends, span_hashes(value, starts, ends), np.searchsorted(starts, offsets)
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = SPACES):
+    """Words of the texts: starts, ends, 64-bit hashes, and where each text's
+    words begin (one entry more than texts)."""
+    value = table[data]
+    starts, ends, bounds = word_spans(value, offsets)
+    return starts, ends, span_hashes(value, starts, ends), bounds
 
 
 def _rolled(hashes: np.ndarray, k: int) -> np.ndarray:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm import arrays as ar
 from textloom.llm import (
+    ann,
     bpe,
     decontaminate,
     exact_dedup,
@@ -16,8 +17,10 @@ from textloom.llm import (
     near_dedup,
     pii,
     quality,
+    resampling,
     scoring,
     token_count,
+    whitening,
 )
 
 #: Key of the surrogates in the query; a deployment brings a secret one.
@@ -89,6 +92,18 @@ def op10_bpe_codec(spark: SparkSession, path: str) -> DataFrame:
     return bpe.encode_decode(docs, TOKENIZER, ids=False, digests=True).drop("text")
 
 
+def op11_nearest_neighbours(spark: SparkSession, path: str) -> DataFrame:
+    return ann.search(_table(spark, path, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op12_importance_resampling(spark: SparkSession, path: str) -> DataFrame:
+    return resampling.resample(_table(spark, path), _table(spark, path, "benchmark"))
+
+
+def op13_embedding_whitening(spark: SparkSession, path: str) -> DataFrame:
+    return whitening.whiten(_table(spark, path, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -102,6 +117,9 @@ QUERIES = {
         op8_lm_scoring,
         op9_decontamination,
         op10_bpe_codec,
+        op11_nearest_neighbours,
+        op12_importance_resampling,
+        op13_embedding_whitening,
     )
 }
 
@@ -109,4 +127,5 @@ ORACLE = {
     "op4_exact_dedup": exact_dedup.oracle_sql(),
     "op5_line_dedup": line_dedup.oracle_sql(),
     "op9_decontamination": decontaminate.oracle_sql(),
+    "op11_nearest_neighbours": ann.oracle_sql(),
 }
