@@ -427,3 +427,12 @@ def test_pipeline_of_odd_rows(spark, odd, empty, sf_dir):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, sf_dir)
             docs.count()
+
+
+def test_hostile_words_are_not_linked(spark):
+    """Words whose hashes agree modulo 2^64 make no near duplicates."""
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    texts = ["".join("ab"[x ^ flip] for x in bits) for flip in (0, 1)]
+    rows = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")
+    got = near_dedup.near_duplicates(rows).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 2}

@@ -296,3 +296,56 @@ def test_rare_grams_stay_in_a_large_model(spark):
     got = {r.key: r.p for r in scoring.probabilities(counts).filter("key < 1024").collect()}
     assert got[256 + 0x61] == pytest.approx(math.log10(1 / 2))
     assert got[0x61] == pytest.approx(math.log10(1 / (1 + 17 + 2)))
+
+
+# --- words whose polynomial hashes agree ---------------------------------------
+
+
+def morse(n, a, b):
+    """Thue-Morse word of n letters and its complement, which agree in every
+    polynomial modulo 2^64 from some length on."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)
+
+
+PAIRS = [morse(n, *ab) for n in (1024, 2048, 8192) for ab in ("ab", "01", "et", "-=")]
+
+
+def test_hostile_spans_part():
+    for x, y in PAIRS:
+        data = np.frombuffer((x + y).encode(), np.uint8)
+        n = len(x)
+        assert len(np.unique(ar.span_hashes(data, np.array([0, n]), np.array([n, 2 * n])))) == 2
+
+
+def test_distinct_spans_compare_bytes(monkeypatch):
+    """Right with hashes that tell nothing apart, for short and long spans."""
+    draw = random.Random(4)
+    spans = [("ab"[draw.randint(0, 1)] * draw.randint(1, 3)) * draw.choice([1, 2, 40]) for _ in range(600)]
+    data = np.frombuffer("".join(spans).encode(), np.uint8)
+    ends = np.cumsum([len(x) for x in spans])
+    starts = ends - [len(x) for x in spans]
+    for hashes in (ar.span_hashes, lambda v, s, e: np.zeros(len(s), np.uint64)):
+        monkeypatch.setattr(ar, "span_hashes", hashes)
+        first, which = ar.distinct_spans(data, starts, ends)
+        assert len(first) == len(set(spans))
+        assert [spans[first[w]] for w in which] == spans
+
+
+def test_hostile_spans_are_encoded(content, library):
+    texts = [t for pair in PAIRS for t in pair]
+    coder, machine = bpe.Encoder(load(content)), token_count.Transducer(load(content))
+    for batch in (texts, [t for t in texts for _ in range(2)]):
+        for text, ids in zip(batch, coder.encode_all(pa.array([t.encode() for t in batch], pa.binary())), strict=True):
+            assert ids == library.encode(text, add_special_tokens=False).ids
+            assert coder.decode(ids) == text
+        data = np.frombuffer("".join(batch).encode(), np.uint8)
+        offsets = np.append(0, np.cumsum([len(t) for t in batch]))
+        counts = machine.counts(data, pretokens.byte_begins(data, offsets), offsets)
+        assert counts.tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in batch]
+
+
+def test_hostile_words_are_counted_apart(spark):
+    x, y = PAIRS[0]
+    rows = spark.createDataFrame([(1, x, True), (2, y, False)], "doc_id long, text string, train boolean")
+    assert {r.doc_id: r.n_known for r in scoring.score(rows).collect()} == {1: 2, 2: 1}

@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 PIECE = 1 << 21
 SHINGLE = 5
 
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Moduli of the two polynomials of a hash, primes just below 2^31 (each as its
+#: distance from 2^31), and their bases.
+_PRIMES = ((1, 0x3C6EF372), (19, 0x5BE0CD19))
+_powers: dict[int, np.ndarray] = {}
 
 
 def with_row_hash(docs: DataFrame, name: str = "_row") -> DataFrame:
@@ -93,26 +94,83 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, PIECE)
-        for k, base in enumerate((_BASE, _INVERSE)):
-            step = np.full(size, base, np.uint64)
-            step[0] = 1
-            _powers[k] = np.cumprod(step)
-    return _powers[0][:n], _powers[1][:n]
+def _reduced(x: np.ndarray, off: int) -> np.ndarray:
+    """``x`` below 2^63, modulo 2^31 - off."""
+    low, high, off = np.uint64((1 << 31) - 1), np.uint64(31), np.uint64(off)
+    for _ in range(3):
+        x = (x & low) + (x >> high) * off
+    return np.where(x > low - off, x - (low - off + np.uint64(1)), x)
+
+
+def _power(n: int, off: int, base: int) -> np.ndarray:
+    """Powers of ``base``, at least the first ``n``."""
+    table = _powers.get(base, np.ones(1, np.uint64))
+    while len(table) < n:
+        step = np.uint64(pow(base, len(table), (1 << 31) - off))
+        table = np.concatenate([table, _reduced(table * step, off)])
+    _powers[base] = table
+    return table
 
 
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
 def span_hashes(value: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of spans of ``value``: a span's polynomial is taken from a
-    running sum and moved back to its start, so equal spans agree anywhere."""
-    power, inverse = _power(len(value) + 1)
+    """64-bit hashes of spans of ``value``: a span's polynomials, modulo two primes,
+    are taken from running sums and moved back to its start, so equal spans agree
+    anywhere. Equal hashes are no proof of equal spans: see ``distinct_spans``."""
+    out = (ends - starts).astype(np.uint64) * _SALT
     total = np.zeros(len(value) + 1, np.uint64)
-    np.cumsum((value.astype(np.uint64) + np.uint64(1)) * power[: len(value)], out=total[1:])
-    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _SALT)
+    entry = value.astype(np.uint64)
+    entry += np.uint64(1)
+    for i, (off, base) in enumerate(_PRIMES):
+        prime = (1 << 31) - off
+        power = _power(len(value) + 1, off, base)
+        inverse = _power(len(value) + 1, off, pow(base, -1, prime))
+        term = entry * power[: len(value)]
+        if len(value) >> 22:  # entries stay below 2^9, powers below 2^31
+            term = (term & np.uint64((1 << 31) - 1)) + (term >> np.uint64(31)) * np.uint64(off)
+        np.cumsum(term, out=total[1:])
+        part = _reduced(_reduced(total[ends] - total[starts], off) * inverse[starts], off)
+        out += part << np.uint64(32 * i)
+    return mix(out)
+
+
+#: Spans from this size on are compared one by one.
+_LONG = 64
+
+
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A span of each content, and which of them each span equals, byte for byte.
+
+    Hashes group the spans; every span is then compared with its group's first one,
+    and those that differ are told apart by their bytes.
+    """
+    _, first, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    size, model = ends - starts, first[which]
+    wrong = size != size[model]
+    check = np.flatnonzero(~wrong & (model != np.arange(len(model))))
+    check = check[np.argsort(-size[check], kind="stable")]
+    longer = int(np.searchsorted(-size[check], -_LONG, "right"))
+    for i in check[:longer].tolist():
+        a, b = starts[i], starts[model[i]]
+        wrong[i] = not np.array_equal(data[a : a + size[i]], data[b : b + size[i]])
+    check = check[longer:]
+    mine, theirs, left = starts[check], starts[model[check]], size[check]
+    differs = np.zeros(len(check), bool)
+    for k in range(int(left.max(initial=0))):
+        m = int(np.searchsorted(-left, -k, "left"))
+        differs[:m] |= data[mine[:m] + k] != data[theirs[:m] + k]
+    wrong[check[differs]] = True
+    own: dict[bytes, int] = {}
+    more: list[int] = []
+    for i in np.flatnonzero(wrong).tolist():
+        content = data[starts[i] : ends[i]].tobytes()
+        if content not in own:
+            own[content] = len(first) + len(more)
+            more.append(i)
+        which[i] = own[content]
+    return np.concatenate([first, np.array(more, first.dtype)]), which
 
 
 def word_spans(value: np.ndarray, offsets: np.ndarray):

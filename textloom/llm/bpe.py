@@ -115,7 +115,7 @@ class Encoder:
         cut[1:] |= ~self.inside[data[:-1], data[1:]]
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(data))
-        _, first, which = np.unique(ar.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        first, which = ar.distinct_spans(data, starts, ends)
         tokens, owner = self.spans(data, starts[first], ends[first])
         count = np.bincount(owner, minlength=len(first))
         begin = np.cumsum(count) - count

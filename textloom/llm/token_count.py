@@ -163,7 +163,7 @@ class Transducer:
             return np.zeros(len(offsets) - 1, np.int64)
         starts = np.flatnonzero(begins)
         ends = np.append(starts[1:], len(data))
-        _, first, which = np.unique(ar.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        first, which = ar.distinct_spans(data, starts, ends)
         own = self.lengths(data, starts[first], ends[first])
         out = np.flatnonzero(own < 0)
         own[out] = self.encoder.lengths(data, starts[first[out]], ends[first[out]])
