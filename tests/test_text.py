@@ -1,7 +1,10 @@
 """Text expressions against plain Python."""
 
+import random
 import re
+import time
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -154,11 +157,76 @@ def test_wiki_markup(spark):
 
 def test_template_depth():
     deep = "{{a|" * 30 + "core" + "}}" * 30
-    assert markup.expand_templates(deep, markup.first_arg) == "core"
-    assert markup.expand_templates("{{{p|d}}} {{{q}}}", markup.first_arg) == "d "
+    assert markup.resolve(deep) == "core"
+    assert markup.resolve("{{{p|d}}} {{{q}}}") == "d "
 
 
 def test_html(spark):
     html = "<head><title>t</title></head><p>A &amp; B<br>C</p><script>x('</p>')</script><!-- c --><div> D </div>"
     df = spark.createDataFrame([(html,)], "h string")
     assert df.select(markup.html_paragraphs(F.col("h"))).first()[0] == ["A & B", "C", "D"]
+
+
+def nested_markup(draw, depth):
+    """Random well-formed markup and what it shows."""
+    if depth == 0 or draw.random() < 0.15:
+        word = draw.choice(["a", "b c", "", "x.\ny", "é", "} {", "1-2"])
+        return word, word
+    kind = draw.randint(0, 9)
+    a, shown = nested_markup(draw, depth - 1)
+    b, other = nested_markup(draw, depth - 1)
+    return [
+        (f"[[{a}]]", shown),
+        (f"[[t|{a}]]", shown),
+        (f"[[File:{a}|{b}]]", ""),
+        (f"{{{{n|{a}|{b}}}}}", shown),
+        (f"{{{{n|k={a}|{b}}}}}", shown),
+        (f"{{{{{{p|{a}}}}}}}", shown),
+        (f"[http://u.v/w?x {a}]", shown),
+        (f"<ref name='r'>{a}</ref>{b}", other),
+        (f"<!-- {{{{ [[ -->{a}<ref n=1 />{b}", shown + other),
+        (f"{{{{n|q\n{{|\n| {a} || {b}\n|}}|z}}}}", f"q\n{{|\n| {shown} || {other}\n|}}"),
+    ][kind]
+
+
+def test_markup_nests_to_any_depth():
+    draw = random.Random(6)
+    for i in range(4000):
+        parts = [nested_markup(draw, 1 + i % 6) for _ in range(3)]
+        text, want = (" ".join(p) for p in zip(*parts, strict=True))
+        assert markup.resolve(text) == want, text
+
+
+@pytest.mark.parametrize("text, want", [
+    ("[[a|[[b]] c", "[[a|b c"),
+    ("{{a|[[b}} c]]", "[[b c]]"),
+    ("{{{{a}}}} {{{{{p|t}}}|x}}", "{} x"),
+    ("a]] }} |} -->", "a]] }} |} -->"),
+    ("[http://x y z", "[http://x y z"),
+    ("<!-- open [[a]]", "<!-- open a"),
+    ("<ref>open [[a]]", "<ref>open a"),
+    ("[[:Category:x]] [[ category:y]] [[Image:a|b [[c|d]] {{e}}]]!", ":Category:x  !"),
+    ("[[a|b|c]] {{t||v}} {{{p}}}", "b|c  "),
+])
+def test_markup_without_pairs(text, want):
+    assert markup.resolve(text) == want
+
+
+def test_markup_template_callback():
+    assert markup.resolve("{{a|b|c=1}} {{x|{{y|2}}}}", lambda n, args: f"{n}{args}") == "a['b', 'c=1'] x[\"y['2']\"]"
+    assert markup.resolve("p {{a|b}} q", None) == "p  q"
+
+
+@pytest.mark.parametrize("unit, tail", [
+    ("[[", ""), ("{{", ""), ("{{a|[[b|", ""), ("{|\n", ""), ("<ref>", ""), ("<!-- ", ""), ("[http://x ", ""),
+    ("{{a|", "}}"), ("[[a|", "]]"), ("{", "}"), ("[[{{a|", "}}]]"), ("]] }} ", ""), ("{{a|[[", "}}"),
+])
+def test_markup_is_linear(unit, tail):
+    def seconds(n):
+        text = unit * n + tail * n
+        start = time.perf_counter()
+        markup.resolve(text)
+        return time.perf_counter() - start
+
+    seconds(1000)
+    assert seconds(160_000) < 60 * max(seconds(10_000), 0.002)

@@ -48,6 +48,27 @@ def read_tok_xml(t: Inputs) -> DataFrame:
     return rows.select("sid", joined("tokens", " "))
 
 
+@query
+def read_tok_xml_splits(t: Inputs) -> DataFrame:
+    """One file of all sentences, read whole and in byte ranges of two sizes."""
+    spark, path = t.spark, new_path(t.spark, "tokxml")
+    rows = t.tokens.orderBy("doc_id", "six").coalesce(1)
+    rows = rows.select(F.concat_ws(":", "doc_id", "six").alias("_id"), F.col("tokens").alias("w"))
+    rows.write.format("xml").option("rootTag", "text").option("rowTag", "s").save(path)
+    size = readers.list_files(spark, path, "part-*").agg(F.sum("size").alias("n")).first().n
+    key, parts = "spark.sql.files.maxPartitionBytes", []
+    before = spark.conf.get(key)
+    try:
+        for n in (1, 4, 9):
+            spark.conf.set(key, str(size // n + 1))
+            read = readers.read_tok_xml(spark, path, glob="part-*")
+            read = read.select(F.lit(n).alias("n_splits"), "six", "sid", joined("tokens", " "))
+            parts.append(staged(read, "read"))
+    finally:
+        spark.conf.set(key, before)
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query
 def read_tolerant(t: Inputs) -> DataFrame:
     """Readable rows; well-formed inputs leave nothing in quarantine."""
@@ -92,16 +113,30 @@ def read_wiki(t: Inputs) -> DataFrame:
     return rows.select("doc_id", "six", "sid", joined("tokens", " "))
 
 
+#: Characters of the texts that would be markup themselves.
+MARKUP_CHARS = "[]{}|<>='&!"
+
+
 @query
 def strip_markup(t: Inputs) -> DataFrame:
+    """Whole texts in links, templates, parameters, references, comments and tables
+    that nest one to six deep."""
     from textloom.functions import markup
 
-    pages = t.documents.select(
-        "doc_id",
-        F.concat(F.lit("== [[x|"), "source", F.lit("]] ==\n<!-- "), "lang", F.lit(" -->'''"), "lang",
-                 F.lit("''' {{t|a={{v}}|b}}<ref name=\"x\"/>")).alias("w"),
+    depth = F.expr("cast(pmod(doc_id, 6) + 1 as int)")
+    text, source, lang = F.translate("text", MARKUP_CHARS, ""), F.col("source"), F.col("lang")
+
+    def within(left: str, inner: F.Column, right: str) -> F.Column:
+        return F.concat(F.repeat(F.lit(left), depth), inner, F.repeat(F.lit(right), depth))
+
+    page = F.concat(
+        F.lit("== "), within("[[a|", source, "]]"), F.lit(" ==\n<!-- "), within("[[", lang, "{{"), F.lit("-->"),
+        within("{{t|k=[[x|", text, "]]|z}}"), F.lit("\n"), within("{{{p|", lang, "}}}"),
+        F.lit("[[File:f.png|thumb|"), within("[[b|", lang, "]]"), F.lit("]]"),
+        within("<ref>", within("{{q|", source, "}}"), "</ref>"), F.lit("<ref name=\"x\"/> '''"),
+        within("[http://x.y/z ", source, "]"), F.lit("'''\n{{t|\n{|\n| "), within("{{c|", lang, "}}"), F.lit("\n|}|z}}"),
     )
-    return pages.select("doc_id", markup.strip_markup("w").alias("text"))
+    return t.documents.select("doc_id", markup.strip_markup(page).alias("text"))
 
 
 def crawl_rows(t: Inputs) -> DataFrame:

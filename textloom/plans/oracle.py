@@ -597,6 +597,11 @@ WHERE sent <> ''"""
 _toks = "SELECT doc_id || ':' || six AS sid, sent AS tokens FROM sent"
 o("read_tok_xml", _toks)
 o("read_sent_xml", _toks)
+o(
+    "read_tok_xml_splits",
+    """SELECT n AS n_splits, CAST(row_number() OVER (PARTITION BY n ORDER BY doc_id, six) - 1 AS INTEGER) AS six,
+  doc_id || ':' || six AS sid, sent AS tokens FROM sent CROSS JOIN (SELECT unnest([1, 4, 9]) AS n)""",
+)
 _plain = "text"
 for _e, _c in markup.ENTITIES:
     _plain = f"replace({_plain}, {quote(_e)}, {quote(_c)})"
@@ -609,7 +614,11 @@ FROM (SELECT doc_id, CAST(generate_subscripts(ss, 1) - 1 AS INTEGER) AS six, unn
     lambda p: regexp_extract_all(p, '[^.!?]*[.!?]', 0))) AS ss
   FROM documents WHERE strlen(text) > 70))""",
 )
-ORACLE["strip_markup"] = "SELECT doc_id, source || chr(10) || lang || ' v' AS text FROM documents"
+_CHARS = quote("[]{}|<>='&!")
+ORACLE["strip_markup"] = (
+    f"SELECT doc_id, source || chr(10) || translate(text, {_CHARS}, '') || chr(10) || lang "
+    "|| ' ' || source || chr(10) || chr(10) || chr(10) || ' ' || lang || chr(10) AS text FROM documents"
+)
 _crawl = """WITH crawl AS (
   SELECT *, CASE doc_id % 4 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 1 ELSE 0 END AS n_warnings,
     string_split(text, chr(10)) AS lines FROM documents),

@@ -17,6 +17,7 @@ from textloom.functions import markup
 from textloom.functions import text as fx
 from textloom.operators.ordering import dense_ids, read_indexed, running_sum
 from textloom.session import staged
+from textloom.sources.elements import read_elements
 
 WIKI_MIN_BYTES = 70
 
@@ -48,32 +49,6 @@ def too_large(spark: SparkSession, root: str, glob: str, size_limit: int) -> Dat
     )
 
 
-def _xml(
-    spark: SparkSession, path: str, row_tag: str, ddl: str, glob: str, size_limit: int | None
-) -> DataFrame:
-    """One row per element at any depth, with its file and place in it. Files
-    from a size limit on are not opened."""
-    rows = (
-        spark.read.format("xml")
-        .schema(ddl)
-        .option("rowTag", row_tag)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt")
-        .option("ignoreSurroundingSpaces", "false")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob)
-        .load(path)
-    )
-    if size_limit is not None:
-        rows = rows.filter(F.col("_metadata.file_size") < size_limit)
-    return rows.select(
-        "*",
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_row"),
-    )
-
-
 def corrupt_reason(other: str) -> Column:
     """The corrupt record, if any; Spark only reads it beside another column."""
     seen = F.coalesce(F.col(other).cast("string") == F.lit("\u0000"), F.lit(False))
@@ -107,7 +82,7 @@ def _xml_sentences(
     spark: SparkSession, path: str, ddl: str, tokens: Column, glob: str, size_limit: int | None
 ) -> tuple[DataFrame, DataFrame]:
     # Parsed once: numbering and the quarantine read the written rows.
-    good, bad = good_files(staged(_xml(spark, path, "s", ddl, glob, size_limit), "parsed"))
+    good, bad = good_files(read_elements(spark, path, "s", ddl, glob, size_limit))
     if size_limit is not None:
         bad = bad.unionByName(too_large(spark, path, glob, size_limit))
     return xml_sentences(good, tokens), bad
@@ -166,7 +141,7 @@ def read_tolerant(
 
 def _wiki_pages(spark: SparkSession, path: str, glob: str, size_limit: int | None) -> tuple[DataFrame, DataFrame]:
     """Well-formed pages, and the malformed ones by file and reason."""
-    pages = staged(_xml(spark, path, "page", schemas.WIKI_PAGE, glob, size_limit), "parsed")
+    pages = read_elements(spark, path, "page", schemas.WIKI_PAGE, glob, size_limit)
     bad = pages.filter("_corrupt IS NOT NULL").select("file", F.col("_corrupt").alias("reason"))
     if size_limit is not None:
         bad = bad.unionByName(too_large(spark, path, glob, size_limit))
