@@ -52,10 +52,31 @@ def test_indexed_table_and_first_n(skewed, monkeypatch):
     got = sorted(od.indexed_table(df, order).collect(), key=lambda r: r.idx)
     assert [(r.doc_id, r.six, r.sent) for r in got] == want
     assert [r.idx for r in got] == list(range(len(want)))
-    small = od.first_n(df, 100, order).collect()
-    monkeypatch.setattr(od, "TOP_K_ROWS", 10)
-    large = od.first_n(df, 100, order).collect()
-    assert sorted(map(tuple, small)) == sorted(map(tuple, large)) == sorted(want[:100])
+
+
+@pytest.mark.parametrize("size, pivots, prefix", [(1 << 14, 64, 24), (7, 3, 1), (1, 64, 2)])
+def test_first_n(spark, monkeypatch, size, pivots, prefix):
+    """One text in half of the rows, nulls, long common beginnings, equal rows."""
+    for name, value in (("SLICE", size), ("PIVOTS", pivots), ("PREFIX", prefix)):
+        monkeypatch.setattr(od, name, value)
+    draw = random.Random(2)
+    texts = ["same"] * 120 + [None] * 9 + ["", "a", "ab"] + ["long beginning " * 3 + str(draw.randrange(30)) for _ in range(100)]
+    rows = [(t, draw.choice([None, 0.5, -1.0, 2.0]), draw.randrange(5)) for t in texts]
+    df = spark.createDataFrame(rows, "t string, x double, i int").repartition(3)
+
+    def place(r):
+        return (r[0] is not None, r[0] or ""), (r[1] is None, -(r[1] or 0)), r[2]
+
+    want = sorted(rows, key=place)
+    for n in (0, 1, 5, 60, 121, 200, 500) if size > 7 else (60, 121):
+        got = [tuple(r) for r in od.first_n(df, n, ["t", ("x", False), "i"]).collect()]
+        assert got == want[:n]
+
+
+def test_many_files_are_numbered(spark, tmp_path):
+    df = spark.range(0, 300, 1, 40).select((F.col("id") * 7).alias("v"))
+    placed = od.indexed_table(df, ["v"], "at").collect()
+    assert all(r.v == 7 * r["at"] for r in placed) and len(placed) == 300
 
 
 def test_dense_ids(spark):

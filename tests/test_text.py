@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import markup
 from textloom.functions import text as fx
+from textloom.plans import tables
 
 PUNCT = set("\\(){}[]=&|^+<>/*%;.'\"?!~-")
 
@@ -125,12 +126,18 @@ def test_trims(spark):
 
 
 def test_split_path(spark):
-    df = spark.createDataFrame(
-        [("corpus/finetune/sq/17/Books/xml/a/b.xml",), ("corpus/finetune/sq/x/Books",)], "file string"
-    )
-    a, b = [r[0] for r in df.select(fx.split_path("file")).collect()]
-    assert tuple(a) == (17, "Books", "xml/a/b.xml")
-    assert tuple(b) == (None, "Books", "")
+    files = ["corpus/finetune/sq/17/Books/xml/a/b.xml", "c/f/sq/3000000000/Books", None]
+    df = spark.createDataFrame([(f,) for f in files], "file string")
+    got = [r[0] for r in df.select(fx.split_path("file")).collect()]
+    assert tuple(got[0]) == (17, "Books", "xml/a/b.xml") and tuple(got[1]) == (3000000000, "Books", "")
+    assert got[2].sid is None
+    bad = [(1, "corpus/finetune/sq/x/Books"), (2, "corpus/finetune/sq/17"), (3, files[0])]
+    docs = spark.createDataFrame(bad, "doc_id bigint, file string")
+    with pytest.raises(Exception, match="no source id|short path"):
+        tables.corp_doc_of(docs).collect()
+    good, left = tables.corp_doc_tolerant(docs)
+    assert [tuple(r) for r in good.collect()] == [(3, 17, "Books", "xml/a/b.xml")]
+    assert {r.doc_id: r.reason[:10] for r in left.collect()} == {1: "no source ", 2: "short path"}
 
 
 def test_quotes_and_case(spark):

@@ -227,15 +227,26 @@ def ascii_upper(col: Column | str) -> Column:
     return F.translate(_col(col), ASCII_LOWER, ASCII_UPPER)
 
 
+def path_fault(file: Column | str, offset: int = 4) -> Column:
+    """Why a corpus file path has no source id or name; NULL if it has both."""
+    parts = F.split(_col(file), "/")
+    sid = F.get(parts, F.lit(offset - 1))
+    return (
+        F.when(F.size(parts) <= offset, F.concat(F.lit("short path: "), _col(file)))
+        .when(sid.try_cast("bigint").isNull(), F.concat(F.lit("no source id: "), _col(file)))
+    )
+
+
 def split_path(file: Column | str, offset: int = 4) -> Column:
-    """``sid``, ``name`` and ``sub_path`` of a corpus file path."""
+    """``sid``, ``name`` and ``sub_path`` of a corpus file path. A path without
+    them fails; ``path_fault`` finds such paths before."""
     parts = F.split(_col(file), "/")
+    fault = path_fault(file, offset)
+    sid = F.get(parts, F.lit(offset - 1)).try_cast("bigint")
     return F.struct(
-        F.get(parts, F.lit(offset - 1)).try_cast("int").alias("sid"),
+        F.when(fault.isNotNull(), F.raise_error(fault).cast("bigint")).otherwise(sid).alias("sid"),
         F.get(parts, F.lit(offset)).alias("name"),
-        F.array_join(
-            F.slice(parts, F.lit(offset + 2), F.greatest(F.size(parts) - (offset + 1), F.lit(0))), "/"
-        ).alias("sub_path"),
+        F.array_join(F.slice(parts, F.lit(offset + 2), F.size(parts)), "/").alias("sub_path"),
     )
 
 

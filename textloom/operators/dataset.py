@@ -21,7 +21,9 @@ SPECIAL_IDS = {"cls": 0, "pad": 1, "sep": 2, "unk": 3, "mask": 4}
 FIRST_TOKEN_ID = 5
 IGNORED = -100
 #: Words of a vocabulary that every task holds, at most: some 20 MB.
-HEAD_WORDS = 200_000
+HEAD_WORDS = 1 << 19
+#: Bytes of sentences that one look-up covers.
+LOOK_UP = 16 << 20
 
 # Categories of the labelled reviews.
 TOPICS = (
@@ -166,7 +168,8 @@ def encode_tokens(
 ) -> DataFrame:
     """Sentences as vocabulary ids with the word index of each.
 
-    ``vocab`` is (token, id). Tasks hold the ``head`` most frequent words and
+    ``vocab`` is (token, id), with ``n``, the tokens' numbers, where they are
+    known. Tasks hold at most ``head`` of the most frequent words and
     look tokens up in place, so these never move. In a larger vocabulary the
     tokens beyond the head, none of them frequent, are joined and put back by
     position. The result is the same for any head. Special ids at both ends
@@ -176,10 +179,21 @@ def encode_tokens(
     whole = words.limit(head + 1).count() <= head
     rows = sent.select("doc_id", "six", "sent").filter("sent IS NOT NULL")
     if not whole:
-        counts = split_words(sent).groupBy(F.col("value").alias("token")).agg(F.count("*").alias("_n"))
-        ranked = words.join(counts, "token").orderBy(F.desc("_n"), "token").limit(head)
-        frequent = staged(ranked.select("token", "id"), "head")
-        words = words.join(frequent.select("token"), "token", "left_anti")
+        if "n" not in vocab.columns:
+            counts = split_words(sent).groupBy(F.col("value").alias("token")).agg(F.count("*").alias("n"))
+            vocab = words.join(counts, "token", "left").na.fill(0, ["n"])
+        # Classes of numbers, a sixteenth of a doubling wide, from the top while there
+        # is room: some hundred of them, whatever the vocabulary.
+        width = F.floor(F.log2(F.col("n") + 1) * 16).cast("int")
+        room, cut = head, None
+        for row in vocab.groupBy(width.alias("c")).count().orderBy(F.desc("c")).collect():
+            room -= row["count"]
+            if room < 0:
+                break
+            cut = row.c
+        often = width >= cut if cut is not None else F.lit(False)
+        frequent = vocab.filter(often).select("token", "id")
+        words = vocab.filter(~often).select("token", "id")
     table = (words if whole else frequent).toArrow()
     shared = sent.sparkSession.sparkContext.broadcast(
         (table.column("token").combine_chunks(), table.column("id").to_numpy())
@@ -187,10 +201,22 @@ def encode_tokens(
     missing = unk_id if whole else -1
     first, last = special or (None, None)
 
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= LOOK_UP:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+        if held:
+            yield pa.concat_batches(held)
+
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, ids = shared.value
         ids = np.append(ids, missing).astype(np.int32)
-        for batch in batches:
+        # A look-up builds the index of the words anew, so it covers many rows.
+        for batch in gathered(batches):
             pieces = pc.split_pattern(batch.column("sent"), " ")
             at = pc.fill_null(pc.index_in(pieces.flatten(), value_set=tokens), len(ids) - 1)
             start = pieces.offsets.to_numpy() - pieces.offsets[0].as_py()

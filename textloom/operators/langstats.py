@@ -182,7 +182,7 @@ def top_foreign_docs(
 ) -> DataFrame:
     """Documents with the most long foreign sentences."""
     out = _long_foreign(sent, target, min_len).join(doc.select("doc_id", "file"), "doc_id")
-    return first_n(out.select("doc_id", "file", "cnt"), k, [F.desc("cnt"), F.col("doc_id")])
+    return first_n(out.select("doc_id", "file", "cnt"), k, [("cnt", False), "doc_id"])
 
 
 def having_foreign_gt(

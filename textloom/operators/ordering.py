@@ -14,11 +14,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.functions import text as fx
-from textloom.session import new_path
+from textloom.session import new_path, staged
 
 BLOCK_BITS = 14
-# Beyond this many rows an ordered limit is not gathered in one task.
-TOP_K_ROWS = 100_000
+#: A slice of at most this many rows is sorted by one task.
+SLICE = 1 << 14
+#: Pivots of one pass, and characters of a text that are a pivot at first.
+PIVOTS, PREFIX = 64, 24
+
+#: A column's name, ascending, or the name and whether it ascends.
+Key = str | tuple[str, bool]
 
 
 def running_sum(
@@ -95,33 +100,139 @@ def indexed_table(df: DataFrame, order: Sequence[str], name: str = "idx") -> Dat
 
 
 def read_indexed(spark: SparkSession, path: str, name: str = "idx") -> DataFrame:
-    """A sorted write with each row's position over all its part files."""
+    """A sorted write with each row's position over all its part files.
+
+    A file starts at the prefix sum of the files before it, in two levels: within
+    runs of files, and over the runs. The starts are a written table, whose size
+    decides how it is joined.
+    """
     rows = spark.read.parquet(path)
     cols = rows.columns
     file = F.col("_metadata.file_name").alias("_file")
     part = F.regexp_extract("_file", r"^part-(\d+)", 1).cast("int")
     split = F.regexp_extract("_file", r"-c(\d+)", 1).cast("int")
-    before = W.orderBy("_part", "_split").rowsBetween(W.unboundedPreceding, -1)
     files = rows.select(file).groupBy("_file").agg(F.count("*").alias("_n"))
-    start = F.coalesce(F.sum("_n").over(before), F.lit(0))
-    starts = files.withColumns({"_part": part, "_split": split}).select("_file", start.alias("_start"))
-    # One row per written file: the size of a file listing.
+    files = files.select("_file", "_n", part.alias("_part"), split.alias("_split"), F.lit(0).alias("_all"))
+    starts = running_sum(files, ["_all"], F.shiftright("_part", 10), ["_part", "_split"], "_first", F.col("_n"))
+    starts = staged(starts.select("_file", "_first"), "starts")
     return (
         rows.select("*", file, F.col("_metadata.row_index").alias("_row"))
-        .join(F.broadcast(starts), "_file")
-        .select(*cols, (F.col("_start") + F.col("_row")).alias(name))
+        .join(starts, "_file")
+        .select(*cols, (F.col("_first") + F.col("_row")).alias(name))
     )
 
 
-def first_n(df: DataFrame, n: int, order: Sequence[str | Column]) -> DataFrame:
-    """The first ``n`` rows of a total order.
-
-    A small ``n`` is a top-k. A large one is cut by position after a
-    distributed sort, so that it is not gathered in one task.
+class _Cut:
+    """Finds which rows of a table come first: conditions for rows that surely do,
+    and one for the slice that holds the last of them."""
+
+    def __init__(self, rows: DataFrame, n: int):
+        self.rows, self.need = rows, n
+        self.sure: list[Column] = []
+        self.slice: Column = F.lit(True)
+        self.size = rows.count()
+
+    def _take(self, before: Column, n: int, then: Column, size: int) -> None:
+        self.sure.append(self.slice & before)
+        self.need -= n
+        self.slice, self.size = self.slice & then, size
+
+    def by(self, name: str, up: bool) -> None:
+        """Narrows the slice by one column, to few rows or to one value."""
+        col = F.col(name)
+        nulls = self.rows.filter(self.slice & col.isNull()).count()
+        there = self.size - nulls
+        if up and self.need <= nulls or not up and self.need > there:
+            if up:
+                self.slice, self.size = self.slice & col.isNull(), nulls
+            else:
+                self._take(col.isNotNull(), there, col.isNull(), nulls)
+            return
+        if up and nulls:
+            self._take(col.isNull(), nulls, col.isNotNull(), there)
+        self.slice, self.size = self.slice & col.isNotNull(), there
+        text = dict(self.rows.dtypes)[name] == "string"
+        turn, width = 0, PREFIX
+        while self.size > SLICE:
+            pivots = self._pivots(col, F.substring(col, 1, width) if text else col, turn, up)
+            turn += 1
+            if not pivots:  # all longer than what was looked at
+                width *= 4
+                continue
+            if self._narrow(col, pivots, up):
+                return
+
+    def _pivots(self, col: Column, value: Column, turn: int, up: bool) -> list:
+        """Values that part the slice: of each of many hash classes the least hash's."""
+        draw = F.xxhash64(value, F.lit(turn))
+        drawn = (
+            self.rows.filter(self.slice)
+            .groupBy(F.pmod(draw, F.lit(PIVOTS)).alias("_class"))
+            .agg(F.min_by(value, draw).alias("_v"), F.min(col).alias("_low"), F.max(col).alias("_high"))
+            .collect()
+        )
+        low, high = min(r._low for r in drawn), max(r._high for r in drawn)
+        # The prefix of a text can lie before all texts of the slice.
+        return sorted({r._v for r in drawn if low <= r._v <= high}, reverse=not up)
+
+    def _narrow(self, col: Column, pivots: list, up: bool) -> bool:
+        """One pass counts the rows before, at and behind each pivot; whether a
+        single value is left."""
+        fixed = F.array(*[F.lit(p) for p in pivots])
+        place = F.aggregate(
+            fixed, F.lit(0),
+            lambda n, p: n + F.when(col > p if up else col < p, 2).when(col == p, 1).otherwise(0),
+        )
+        counted = self.rows.filter(self.slice).groupBy(place.alias("_place")).count().collect()
+        counts = {r._place: r["count"] for r in counted}
+        before, at = 0, 0
+        while before + counts.get(at, 0) < self.need:
+            before += counts.get(at, 0)
+            at += 1
+        i, size = at // 2, counts[at]
+        if at % 2:
+            self._take(col < pivots[i] if up else col > pivots[i], before, col == F.lit(pivots[i]), size)
+            return True
+        then = F.lit(True)
+        if i < len(pivots):
+            then = col < F.lit(pivots[i]) if up else col > F.lit(pivots[i])
+        if i:
+            edge = F.lit(pivots[i - 1])
+            self._take(col <= edge if up else col >= edge, before, then & (col > edge if up else col < edge), size)
+        else:
+            self.slice, self.size = self.slice & then, size
+        return False
+
+
+def first_n(df: DataFrame, n: int, order: Sequence[Key]) -> DataFrame:
+    """The first ``n`` rows of an order, sorted; nulls come first, or last where a
+    column descends.
+
+    Counts between pivots narrow the place of the n-th row, column by column, until
+    its slice is small. Only that slice is sorted by one task; the rows before it are
+    taken by comparison, whatever ``n`` is. Of rows that agree in the whole order
+    some are taken, so that there are ``n``.
     """
-    if n <= TOP_K_ROWS:
-        return df.orderBy(*order).limit(n)
-    return indexed_table(df, order, "_idx").filter(F.col("_idx") < n).drop("_idx")
+    keys = [(k, True) if isinstance(k, str) else k for k in order]
+    sort = [F.asc(k) if up else F.desc(k) for k, up in keys]
+    rows = staged(df, "rows")
+    cut = _Cut(rows, n)
+    if n <= 0 or cut.size <= n:
+        return rows.orderBy(*sort) if n > 0 else rows.limit(0)
+    for name, up in keys:
+        if cut.size <= SLICE:
+            break
+        cut.by(name, up)
+    last = rows.filter(cut.slice)
+    if cut.size <= SLICE:
+        out = last.orderBy(*sort).limit(cut.need)
+    else:
+        path = new_path(df.sparkSession, "equal")
+        last.write.parquet(path)
+        out = read_indexed(df.sparkSession, path, "_idx").filter(F.col("_idx") < cut.need).drop("_idx")
+    for sure in cut.sure:
+        out = out.unionByName(rows.filter(sure))
+    return out.orderBy(*sort)
 
 
 def ordered_export(sent: DataFrame, n: int | None = None) -> DataFrame:

@@ -37,20 +37,28 @@ def vocab_charset_filter(vocab: DataFrame, max_codepoint: int = 255) -> DataFram
     return vocab.filter(~F.col("token").rlike(rf"[^\x{{1}}-\x{{{max_codepoint:x}}}]"))
 
 
-def build_vocab(sent: DataFrame) -> DataFrame:
-    """Distinct cleaned tokens.
+def count_vocab(sent: DataFrame) -> DataFrame:
+    """Distinct cleaned tokens with their number ``n``.
 
     Only the cheap length bound is checked for every occurrence of a word; the
     patterns are matched once per distinct word. The words have no blanks to
     trim, so trimming cannot make two of them equal.
     """
     value = F.col("value")
-    words = split_words(sent).select("value").filter(F.length(value).between(2, 20)).distinct()
-    tokens = computed(words, token=fx.trim_token(value)).select("token")
+    words = split_words(sent).select("value").filter(F.length(value).between(2, 20))
+    counts = words.groupBy("value").agg(F.count("*").alias("n"))
+    tokens = computed(counts, token=fx.trim_token(value)).select("token", "n")
     return vocab_charset_filter(vocab_case_filter(vocab_filter(tokens)))
 
 
+def build_vocab(sent: DataFrame) -> DataFrame:
+    """Distinct cleaned tokens."""
+    return count_vocab(sent).select("token")
+
+
 def vocab_ids(vocab: DataFrame, first_id: int) -> DataFrame:
-    """(token, id) with dense ids from ``first_id`` on, in token order."""
-    ids = indexed_table(vocab.select("token"), ["token"], "_id")
-    return ids.select("token", (F.col("_id") + first_id).cast("int").alias("id"))
+    """(token, id) with dense ids from ``first_id`` on, in token order, and the
+    tokens' numbers ``n`` where they are known."""
+    known = [c for c in vocab.columns if c == "n"]
+    ids = indexed_table(vocab.select("token", *known), ["token"], "_id")
+    return ids.select("token", (F.col("_id") + first_id).cast("int").alias("id"), *known)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.functions import tablefns
 from textloom.functions import text as fx
+from textloom.functions.langprofile import fit_profile
 from textloom.operators import curate as cu
 from textloom.operators import dataset as ds
 from textloom.operators import filters as fl
@@ -141,6 +144,13 @@ def detect_lang_fitted(t: Inputs) -> DataFrame:
     return t.plain.select("doc_id", "six", fx.vote_lang("sent", lists).alias("lang"))
 
 
+@query
+def detect_lang_profile(t: Inputs) -> DataFrame:
+    """By trigram probabilities, counted on three quarters of the documents."""
+    profile = fit_profile(t.documents.filter(F.pmod("doc_id", F.lit(4)) != 2))
+    return t.plain.select("doc_id", "six", profile.column("sent").alias("lang"))
+
+
 @query
 def strip_digits(t: Inputs) -> DataFrame:
     return t.plain.select("doc_id", "six", fx.strip_digits("sent").alias("sent"))
@@ -608,6 +618,20 @@ def chunk_docs(t: Inputs) -> DataFrame:
     return od.chunk_docs(ls_target(t).select("doc_id", "six"), 20)
 
 
+@query
+def chunk_docs_sql(t: Inputs) -> DataFrame:
+    """The same pieces by a table function in SQL, each given when it is full."""
+    tablefns.register(t.spark)
+    view = f"sents_{uuid.uuid4().hex}"
+    t.sent.filter(F.col("lang") == TARGET).select("doc_id", "six", "sent").createOrReplaceTempView(view)
+    out = t.spark.sql(
+        f"SELECT p.* FROM doc_chunks(TABLE({view}) PARTITION BY (doc_id) ORDER BY (six), 20) AS p"
+    )
+    t.spark.catalog.dropTempView(view)
+    pieces = F.explode(F.arrays_zip("six", "sents")).alias("s")
+    return out.select("doc_id", "chunk_id", pieces).select("doc_id", "s.six", "chunk_id", F.col("s.sents").alias("sent"))
+
+
 @query
 def token_index(t: Inputs) -> DataFrame:
     return od.token_index(t.tokens).select("doc_id", "six", F.inline("tokens"))
@@ -708,11 +732,14 @@ def pair_freq(t: Inputs) -> DataFrame:
     return ds.pair_freq(ds.word_freq(t.plain))
 
 
-def encoded(t: Inputs) -> DataFrame:
-    """Sentences and vocabulary are tables of their own, built once."""
+def with_vocabulary(t: Inputs) -> tuple[DataFrame, DataFrame]:
+    """Sentences and vocabulary as tables of their own, built once."""
     sent = staged(t.plain.select("doc_id", "six", "sent"), "sent")
-    ids = vo.vocab_ids(vo.build_vocab(sent), ds.FIRST_TOKEN_ID)
-    return ds.encode_tokens(sent, ids)
+    return sent, vo.vocab_ids(vo.count_vocab(sent), ds.FIRST_TOKEN_ID)
+
+
+def encoded(t: Inputs) -> DataFrame:
+    return ds.encode_tokens(*with_vocabulary(t))
 
 
 @query
@@ -742,7 +769,9 @@ def mask_whole_word(t: Inputs) -> DataFrame:
 
 @query
 def mask_tokens(t: Inputs) -> DataFrame:
-    d = ds.mask_tokens(ds.pack_sequences(encoded(t)), vocab_size=20000, seed=SEED)
+    sent, ids = with_vocabulary(t)
+    size = ids.count() + ds.FIRST_TOKEN_ID
+    d = ds.mask_tokens(ds.pack_sequences(ds.encode_tokens(sent, ids)), vocab_size=size, seed=SEED)
     return d.select("batch_id", "chunk_no", joined("input_ids"), joined("labels"))
 
 
@@ -765,7 +794,7 @@ def one_hot_emotion(t: Inputs) -> DataFrame:
 
 @query
 def label_index(t: Inputs) -> DataFrame:
-    return ds.label_index(t.read("events"), TOPIC[:3], "event_type").select("event_id", "label_idx")
+    return ds.label_index(t.read("events"), TOPIC, "event_type").select("event_id", "label_idx")
 
 
 @query

@@ -22,7 +22,7 @@ from textloom.plans import jobs
 from textloom.plans.catalog import SEED, curated, flat_sent, joined, query
 from textloom.plans.tables import TARGET, Inputs
 from textloom.session import new_path, spread, staged
-from textloom.sources import named, readers, writers
+from textloom.sources import named, plugin, readers, writers
 from textloom.streaming.ingest import ingest_stream as start_ingest
 
 
@@ -71,12 +71,21 @@ def read_tok_xml_splits(t: Inputs) -> DataFrame:
 
 @query
 def read_tolerant(t: Inputs) -> DataFrame:
-    """Readable rows; well-formed inputs leave nothing in quarantine."""
+    """Readable records, and the lines that are none."""
     path = crawl_files(t)
-    good, bad = readers.read_tolerant(t.spark, path, "crawl")
-    return good.select("content", F.lit(True).alias("ok")).unionAll(
-        bad.select("reason", F.lit(False))
-    )
+    bad = F.concat(F.lit('{"content": bad '), F.col("doc_id").cast("string"))
+    t.documents.filter("doc_id % 5 = 0").select(bad).write.mode("append").text(path)
+    good, left = readers.read_tolerant(t.spark, path, "crawl")
+    return good.select("content", F.lit(True).alias("ok")).unionAll(left.select("reason", F.lit(False)))
+
+
+@query
+def read_registered(t: Inputs) -> DataFrame:
+    """As read_crawl, through a parser that is registered as a data source."""
+    plugin.register_parser(t.spark, "crawl_lines", plugin.CRAWL, plugin.parse_crawl)
+    rows = t.spark.read.format("crawl_lines").option("glob", "part-*").option("splitBytes", 1 << 20)
+    found = readers.crawl_sentences(staged(rows.load(crawl_files(t)), "parsed"), TARGET)
+    return found.select(joined("tokens", " "))
 
 
 @query
@@ -281,6 +290,23 @@ def named_query(t: Inputs) -> DataFrame:
     )
 
 
+def named_row(name: str) -> None:
+    def run(t: Inputs) -> DataFrame:
+        vocab = vo.build_vocab(t.plain)
+        out = named.named_query(
+            t.spark, name, named.EXAMPLES.get(name), doc=t.doc, sent=t.plain, corp_doc=t.corp_doc,
+            corp_src=t.corp_src, vocab=vocab,
+        )
+        return flat_sent(out) if "spans" in out.columns else out
+
+    run.__name__ = f"named_{name}"
+    query(run)
+
+
+for _name in named.NAMED:
+    named_row(_name)
+
+
 @query
 def read_dataset(t: Inputs) -> DataFrame:
     path = new_path(t.spark, "dataset")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from textloom.functions import markup
 from textloom.functions import text as fx
+from textloom.sources import named
 
 ORACLE: dict[str, str] = {}
 
@@ -29,12 +30,12 @@ BASE = f"""WITH doc AS (
       || '/' || doc_id || '.xml' AS file
   FROM documents),
 corp_doc AS (
-  SELECT doc_id, CAST(string_split(file, '/')[4] AS INTEGER) AS sid, string_split(file, '/')[5] AS name,
+  SELECT doc_id, CAST(string_split(file, '/')[4] AS BIGINT) AS sid, string_split(file, '/')[5] AS name,
     array_to_string(string_split(file, '/')[6:], '/') AS file
   FROM doc),
 corp_src AS (
   SELECT DISTINCT source AS id, source AS name, 'https://example.org/' || source AS url,
-    CAST(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER) AS sid
+    CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) AS sid
   FROM documents),
 paras AS (
   SELECT doc_id, CAST(generate_subscripts(ps, 1) - 1 AS INTEGER) AS para_no, unnest(ps) AS para
@@ -152,6 +153,36 @@ o(
 )
 o("split_path", "SELECT doc_id, sid, name, file AS sub_path FROM corp_doc")
 o("detect_lang", "SELECT doc_id, six, lang FROM sent")
+_letters = "regexp_replace(lower({}), '[^\\p{{L}}]+', ' ', 'g')"
+_grams = (
+    "SELECT * EXCLUDE (cs), unnest(list_transform(range(1, len(cs) - 1), lambda i: "
+    "(ord(cs[i]) * 8191 + ord(cs[i + 1]) * 127 + ord(cs[i + 2])) % 16384)) AS slot FROM ({})"
+)
+
+
+def _letters_of(col: str, keep: str, table: str) -> str:
+    words = f"trim({_letters.format(col)})"
+    return f"SELECT {keep}, string_split(' ' || {words} || ' ', '') AS cs FROM {table} WHERE {words} <> ''"
+
+
+o(
+    "detect_lang_profile",
+    """SELECT s.doc_id, s.six, b.lang FROM sent s LEFT JOIN best b ON b.doc_id = s.doc_id AND b.six = s.six""",
+    f""",
+learned AS (
+  SELECT lang, slot, count(*) AS n FROM ({_grams.format(_letters_of("text", "lang", "documents WHERE doc_id % 4 <> 2 AND lang IS NOT NULL").replace("IS NOT NULL WHERE", "IS NOT NULL AND"))})
+  GROUP BY lang, slot),
+sizes AS (SELECT lang, sum(n) + 16384 AS total FROM learned GROUP BY lang),
+asked AS ({_grams.format(_letters_of("sent", "doc_id, six", "sent"))}),
+scores AS (
+  SELECT a.doc_id, a.six, z.lang, count(*) AS grams,
+    sum(floor(1000 * ln((coalesce(l.n, 0) + 1.0)::DOUBLE / z.total::DOUBLE))) AS score
+  FROM asked a CROSS JOIN sizes z LEFT JOIN learned l ON l.lang = z.lang AND l.slot = a.slot
+  GROUP BY a.doc_id, a.six, z.lang),
+best AS (
+  SELECT doc_id, six, lang FROM scores WHERE score > grams * floor(1000 * ln(1.0::DOUBLE / 16384))
+  QUALIFY row_number() OVER (PARTITION BY doc_id, six ORDER BY score DESC, lang) = 1)""",
+)
 o(
     "detect_lang_fitted",
     """SELECT s.doc_id, s.six, b.lang FROM sent s LEFT JOIN best b ON b.doc_id = s.doc_id AND b.six = s.six""",
@@ -432,6 +463,11 @@ o(
     """SELECT doc_id, six, CAST((row_number() OVER (PARTITION BY doc_id ORDER BY six) - 1) // 20 AS INTEGER) AS chunk_id
 FROM sent WHERE lang = 'en'""",
 )
+o(
+    "chunk_docs_sql",
+    """SELECT doc_id, six, CAST((row_number() OVER (PARTITION BY doc_id ORDER BY six) - 1) // 20 AS INTEGER) AS chunk_id, sent
+FROM sent WHERE lang = 'en'""",
+)
 o(
     "token_index",
     """SELECT doc_id, six, CAST(i - 1 AS INTEGER) AS i, CAST(coalesce(sum(length(norm) + 1) OVER (
@@ -553,7 +589,7 @@ o(
     + _PLACES
     + f"""hits AS (
   SELECT *, {_drawn('token', 'i')} < 0.15 AND x > 4 AS hit, {_drawn('kind', 'i')} AS kind,
-    CAST(floor({_drawn('id', 'i')} * 20000) AS INTEGER) AS r FROM places),
+    CAST(floor({_drawn('id', 'i')} * ((SELECT count(*) FROM vocab) + 5)) AS INTEGER) AS r FROM places),
 drawn AS (
   SELECT *, CASE WHEN NOT hit OR kind >= 0.9 THEN x WHEN kind < 0.8 THEN 4 ELSE r END AS y FROM hits)""",
 )
@@ -586,7 +622,7 @@ ORACLE["one_hot_emotion"] = (
     f"SELECT conv_id, turn, {_bits('role', ('user', 'assistant'))} AS emot FROM conversations"
 )
 ORACLE["label_index"] = """SELECT event_id, CAST(CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1
-  WHEN 'purchase' THEN 2 END AS INTEGER) AS label_idx FROM events"""
+  WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 WHEN 'error' THEN 4 END AS INTEGER) AS label_idx FROM events"""
 ORACLE["propagate_labels"] = """SELECT sent, topic, emotion, label FROM (
   SELECT trim(unnest(regexp_extract_all(text, '[^.!?]*[.!?]|[^.!?]+$', 0))) AS sent, source AS topic, lang AS emotion,
     'n' AS label FROM documents)
@@ -628,7 +664,12 @@ lines AS (
 ORACLE["read_crawl_jsonl"] = (
     f"{_crawl} SELECT text AS content, n_warnings, CAST(len(lines) AS INTEGER) AS n_lines FROM crawl"
 )
-ORACLE["read_tolerant"] = "SELECT text AS content, true AS ok FROM documents"
+ORACLE["read_tolerant"] = """SELECT text AS content, true AS ok FROM documents
+UNION ALL SELECT '{"content": bad ' || doc_id, false FROM documents WHERE doc_id % 5 = 0"""
+ORACLE["read_registered"] = (
+    f"{_crawl} SELECT array_to_string(regexp_extract_all(text, {TOKEN}, 0), ' ') AS tokens "
+    "FROM lines WHERE lang = 'en' AND line_no % 5 > 1 AND doc_id % 4 <> 3"
+)
 ORACLE["filter_quality_warnings"] = f"{_crawl} SELECT text AS content FROM crawl WHERE doc_id % 4 <> 3"
 ORACLE["filter_lang_prob"] = (
     f"{_crawl} SELECT line_no, text FROM lines WHERE lang = 'en' AND line_no % 5 > 1"
@@ -649,6 +690,15 @@ ORACLE["apply_split_ids"] = (
     f"SELECT d.doc_id, d.lang, s.split FROM documents d JOIN ({_split}) s ON s.doc_id = d.doc_id"
 )
 o("named_query", _sources)
+for _name, _sql in named.NAMED.items():
+    for _arg in named.EXAMPLES.get(_name, ()):
+        _sql = _sql.replace("?", str(_arg), 1)
+    o(f"named_{_name}", _sql.replace("LEFT SEMI JOIN", "SEMI JOIN"), f", vocab AS ({_vocab.replace('{}', 'sent')})")
+o(
+    "named_select_sent_by_doc_id",
+    """SELECT s.sent, p.spans, s.sid, s.six FROM sent s JOIN span p ON p.doc_id = s.doc_id AND p.six = s.six
+WHERE s.doc_id = 3""",
+)
 o("read_dataset", "SELECT sent AS text FROM sent ORDER BY doc_id, six LIMIT 2000")
 o("stage_docs", "SELECT doc_id, six, CAST(six AS VARCHAR) AS sid, sent AS tokens FROM sent")
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import markup
 from textloom.functions import text as fx
+from textloom.functions.langprofile import LangProfile
 from textloom.schemas import SENT_COLUMNS
 from textloom.session import computed, spread, staged
 
@@ -43,10 +44,13 @@ def sentence_columns(tokens: DataFrame) -> DataFrame:
     )
 
 
-def with_lang(sent: DataFrame, lang: str | None = None) -> DataFrame:
-    """Adds the configured or the detected language."""
+def with_lang(sent: DataFrame, lang: str | None = None, profile: LangProfile | None = None) -> DataFrame:
+    """Adds the configured language, or the detected one: by a fitted profile, or by
+    the vote of frequent words."""
     if lang is not None:
         return sent.withColumn("lang", F.lit(lang))
+    if profile is not None:
+        return sent.withColumn("lang", profile.column("sent"))
     return computed(sent, lang=fx.vote_lang("sent"))
 
 
@@ -100,7 +104,7 @@ class Inputs:
     @cached_property
     def corp_src_sid(self) -> DataFrame:
         """Sources with their surrogate id."""
-        sid = F.regexp_extract("id", r"(\d+)$", 1).cast("int")
+        sid = F.regexp_extract("id", r"(\d+)$", 1).cast("bigint")
         return self.corp_src.withColumn("sid", sid)
 
     @cached_property
@@ -150,12 +154,22 @@ class Inputs:
 
 
 def corp_doc_of(doc: DataFrame, offset: int = 4) -> DataFrame:
+    """Source id, corpus and path in it of each document; a file path without a
+    source id fails."""
     parts = fx.split_path("file", offset)
     return doc.select("doc_id", parts.alias("_p")).select(
         "doc_id", "_p.sid", "_p.name", F.col("_p.sub_path").alias("file")
     )
 
 
+def corp_doc_tolerant(doc: DataFrame, offset: int = 4) -> tuple[DataFrame, DataFrame]:
+    """As ``corp_doc_of``, with the documents that have no such path returned apart,
+    by file and reason."""
+    fault = fx.path_fault("file", offset)
+    bad = doc.withColumn("reason", fault).filter("reason IS NOT NULL").select("doc_id", "file", "reason")
+    return corp_doc_of(doc.filter(fault.isNull() & F.col("file").isNotNull()), offset), bad
+
+
 def strip_html(pages: DataFrame) -> DataFrame:
     """Visible paragraphs of HTML pages."""
     return pages.select(

@@ -8,7 +8,7 @@ DOC = "doc_id bigint, dir_id string, file string"
 SENT = (
     f"doc_id bigint, six int, sid string, lang string, sent string, spans {SPANS}, toklen int"
 )
-CORP_DOC = "doc_id bigint, sid int, name string, file string"
+CORP_DOC = "doc_id bigint, sid bigint, name string, file string"
 CORP_SRC = "id string, name string, url string"
 
 SENT_COLUMNS = ["doc_id", "six", "sid", "lang", "sent", "spans", "toklen"]

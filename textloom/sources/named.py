@@ -12,6 +12,7 @@ _STAR = (
 )
 _DOC_SENTS = "(SELECT doc_id, count(*) AS n FROM sent GROUP BY doc_id)"
 
+# The names of the statements.
 NAMED: dict[str, str] = {
     "doc_count": "SELECT count(*) AS cnt FROM doc",
     "sent_count": "SELECT count(*) AS cnt FROM sent LEFT SEMI JOIN doc ON doc.doc_id = sent.doc_id",
@@ -49,6 +50,15 @@ NAMED: dict[str, str] = {
 }
 
 
+#: Arguments that the queries of the catalog fill in.
+EXAMPLES: dict[str, tuple] = {
+    "select_doc_exists": (3,),
+    "select_sent_by_doc_id": (3,),
+    "select_sent": (3, 2),
+    "select_sents": (500,),
+}
+
+
 def named_query(
     spark: SparkSession, name: str, args: Sequence | None = None, **tables: DataFrame
 ) -> DataFrame:
