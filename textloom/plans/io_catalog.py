@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as fx
 from textloom.operators import dataset as ds
+from textloom.operators import embeddings as em
 from textloom.operators import joins as jn
 from textloom.operators import ml
 from textloom.operators import reports as rp
@@ -501,6 +502,22 @@ def word_vectors(t: Inputs) -> DataFrame:
     )
 
 
+@query
+def cooccurrence(t: Inputs) -> DataFrame:
+    return em.cooccurrence(t.plain.select("doc_id", "six", "sent"))
+
+
+@query
+def word_vectors_sharded(t: Inputs) -> DataFrame:
+    """As word_vectors, with all parameters in Spark."""
+    d = staged(t.plain.select("doc_id", "six", "sent"), "sent")
+    out = em.average_vectors(d, em.train_vectors(em.cooccurrence(d)))
+    return out.select(
+        "doc_id", "six", F.size("vector").alias("size"),
+        F.forall("vector", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))).alias("finite"),
+    )
+
+
 @query
 def sentiment_classifier(t: Inputs) -> DataFrame:
     """Quality labels from text, language and source."""

@@ -752,4 +752,17 @@ ORACLE["list_files"] = """SELECT source AS name, CAST(sum(strlen(text) + 1) AS B
 FROM documents GROUP BY source"""
 ORACLE["sentiment_classifier"] = f"""SELECT split, count(*) AS cnt, true AS accurate FROM ({_split})
 WHERE split <> 'train' GROUP BY split"""
+o(
+    "cooccurrence",
+    """SELECT a.value AS word, b.value AS context, count(*) AS n FROM placed a JOIN placed b
+  ON b.doc_id = a.doc_id AND b.six = a.six AND b.pos <> a.pos AND abs(b.pos - a.pos) <= 5
+WHERE a.value IN (SELECT value FROM known) AND b.value IN (SELECT value FROM known)
+GROUP BY a.value, b.value""",
+    """,
+placed AS (
+  SELECT doc_id, six, generate_subscripts(ws, 1) AS pos, unnest(ws) AS value
+  FROM (SELECT doc_id, six, list_filter(string_split(sent, ' '), lambda w: w <> '') AS ws FROM sent)),
+known AS (SELECT value FROM placed GROUP BY value HAVING count(*) >= 5)""",
+)
+o("word_vectors_sharded", "SELECT doc_id, six, 50 AS size, true AS finite FROM sent")
 o("word_vectors", "SELECT doc_id, six, 50 AS size, true AS finite FROM sent")
