@@ -436,3 +436,22 @@ def test_hostile_words_are_not_linked(spark):
     rows = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")
     got = near_dedup.near_duplicates(rows).collect()
     assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 2}
+
+
+@pytest.mark.parametrize("digest", [exact_dedup.sha256, lambda text: F.lit("one digest")])
+def test_half_of_the_rows_are_one_text(spark, tmp_path, digest, monkeypatch):
+    """Frequent texts meet their state in parts, repeated largest ids keep one row,
+    also where all texts share a digest."""
+    monkeypatch.setattr(exact_dedup, "PART", 8)
+    rows = [(i, "Often Copied") for i in range(300)] + [(i, f"text {i % 90}") for i in range(300, 560)]
+    rows += [(299, "often copied"), (559, "TEXT 19"), (None, "often copied")]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(path)
+    groups = defaultdict(list)
+    for i, text in rows:
+        groups[text.lower()].append(i)
+    want = {t: (max(x for x in ids if x is not None), len(ids)) for t, ids in groups.items()}
+    got = exact_dedup.exact_copies(spark, path, digest).collect()
+    assert len(got) == len(rows)
+    assert Counter((r.doc_id, r.keep_id, r.group_size) for r in got) == Counter((i, *want[t.lower()]) for i, t in rows)
+    assert sum(r.kept for r in got) == len(want) and all(r.doc_id == r.keep_id for r in got if r.kept)

@@ -26,6 +26,9 @@ SETTINGS = {
 
 #: Rows of a group that are compared with one copy of its located text.
 PART = 256
+#: A text with more than this share of the rows (one in so many) meets its state in as
+#: many parts; there can't be more such texts.
+SHARE = 64
 
 
 def sha256(text: Column) -> Column:
@@ -111,9 +114,16 @@ def exact_copies(
         state = state.limit(0)
     rows = _keyed(spark.read.parquet(path), digest).withColumn("sha", sha256(F.col("norm")))
     several = F.col("n") > 1
+    total = state.agg(F.sum("n").alias("n")).first().n or 0
+    frequent = state.filter((F.col("n") > PART) & (F.col("n") * SHARE > total)).select("digest").collect()
+    often = F.col("digest").isin([r.digest for r in frequent]) if frequent else F.lit(False)
+    salt = F.when(often, F.pmod(F.xxhash64("doc_id", "at.row"), F.lit(SHARE)).cast("int")).otherwise(0)
+    salts = F.when(often, F.sequence(F.lit(0), F.lit(SHARE - 1))).otherwise(F.array(F.lit(0)))
+    state = state.withColumn("salt", F.explode(salts))
     grouped = staged(
-        rows.join(state, "digest").select(
+        rows.withColumn("salt", salt).join(state, ["digest", "salt"]).select(
             "digest",
+            "at",
             "doc_id",
             "sha",
             "n",
@@ -134,14 +144,14 @@ def exact_copies(
         .withColumn("part", F.pmod(F.xxhash64("doc_id"), parts).cast("int"))
         .join(located, ["digest", "part"])
         .select(
-            "digest", "doc_id", "sha", "n", "keep_id", "kept",
+            "digest", "at", "doc_id", "sha", "n", "keep_id", "kept",
             same.alias("same"), F.when(~same, F.col("norm")).alias("norm"),
         ),
         "hits",
     )
     apart = hits.filter("not same")
     fewer = apart.groupBy("digest").agg(F.count("*").alias("apart"))
-    other = apart.groupBy("digest", "norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n"))
+    other = apart.groupBy("digest", "norm").agg(F.max(F.struct("doc_id", "at")).alias("keep"), F.count("*").alias("n"))
     out = ["doc_id", "keep_id", F.col("n").alias("group_size"), "kept", F.col("sha").alias("text_sha256")]
     hit = (
         hits.filter("same")
@@ -150,9 +160,10 @@ def exact_copies(
         .select(out)
     )
     collided = (
-        apart.select("digest", "norm", "doc_id", "sha")
+        apart.select("digest", "norm", "doc_id", "sha", "at")
         .join(other, ["digest", "norm"])
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+        .withColumn("kept", F.col("at") == F.col("keep.at"))
+        .withColumn("keep_id", F.col("keep.doc_id"))
         .select(out)
     )
     return grouped.filter("n = 1").select(out).unionByName(hit).unionByName(collided)
