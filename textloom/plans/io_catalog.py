@@ -36,11 +36,13 @@ def new_db(t: Inputs) -> str:
 # --- readers ---------------------------------------------------------------
 
 
-def tok_xml_files(t: Inputs) -> str:
-    path = new_path(t.spark, "tokxml")
+def tok_xml_files(t: Inputs, below: str = "") -> str:
+    """A new folder with tokenised XML of all sentences, ``below`` it if given."""
+    root = new_path(t.spark, "tokxml")
+    path = f"{root}/{below}".rstrip("/")
     rows = t.tokens.select(F.concat_ws(":", "doc_id", "six").alias("_id"), F.col("tokens").alias("w"))
     rows.write.format("xml").option("rootTag", "text").option("rowTag", "s").save(path)
-    return path
+    return root
 
 
 @query
@@ -443,8 +445,9 @@ def write_metrics(t: Inputs) -> DataFrame:
 @query
 def build_corpus(t: Inputs) -> DataFrame:
     """Tokenised XML of the documents, built into a corpus."""
+    raw = tok_xml_files(t, "corpus/finetune/lang/17/Books/xml")
     store = jobs.build_corpus(
-        t.spark, {"tok_xml": tok_xml_files(t)}, new_path(t.spark, "corpus"), recreate=True, glob="part-*"
+        t.spark, {"tok_xml": raw}, new_path(t.spark, "corpus"), recreate=True, glob="part-*", base=raw
     )
     return store.table("sent").select("sid", "lang", "sent", fx.spans_to_text("spans").alias("spans"), "toklen")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import reduce
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom import schemas
+from textloom.functions.langprofile import LangProfile
 from textloom.operators import curate as cu
 from textloom.operators import dataset as ds
 from textloom.operators import reports as rp
@@ -47,7 +49,8 @@ def relative_path(file: F.Column, base: str | None) -> F.Column:
     plain = F.regexp_replace(file, "^[a-z0-9]+:/+", "/")
     if base is None:
         return plain
-    return F.regexp_replace(plain, rf"^.*?\Q{base.strip('/')}\E/", "")
+    base = re.sub("^[a-z0-9]+:/+", "/", base).strip("/")
+    return F.regexp_replace(plain, rf"^.*?\Q{base}\E/", "")
 
 
 def build_corpus(
@@ -62,12 +65,15 @@ def build_corpus(
     offset: int = 4,
     target: str = "en",
     glob: str | None = None,
+    profile: LangProfile | None = None,
 ) -> Store:
     """Reads, parses and loads files into doc, sent, corp_doc and corp_src.
 
     ``inputs`` maps reader names to folders. A corpus with sentences stays as
     it is unless ``force`` is given; with ``recreate`` it is replaced, else
-    appended to. New document ids go on from the largest one.
+    appended to. New document ids go on from the largest one. Without ``lang`` the
+    language is detected, by ``profile`` where one is given. A file whose path below
+    ``base`` has no source id fails the build.
     """
     store = Store(spark, path)
     if not (force or recreate) and not store.table("sent").isEmpty():
@@ -101,7 +107,7 @@ def build_corpus(
     )
     doc = ids.select("doc_id", "dir_id", relative_path(F.col("_file"), base).alias("file"))
     sent = parsed.withColumnRenamed("file", "_file").join(ids.select("_file", "doc_id"), "_file")
-    sent = with_lang(sentence_columns(sent), lang).select(*schemas.SENT_COLUMNS)
+    sent = with_lang(sentence_columns(sent), lang, profile).select(*schemas.SENT_COLUMNS)
     store.write("sent", sent, mode)
     store.write("doc", doc, mode)
     store.write("corp_doc", corp_doc_of(store.table("doc"), offset), "overwrite")
