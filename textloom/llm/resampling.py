@@ -199,6 +199,14 @@ def _places(keys: DataFrame, pivots: list) -> dict[int, int]:
     return {r.place: r["count"] for r in keys.groupBy(behind.alias("place")).count().collect()}
 
 
+def _pivots(keys: DataFrame, n: int, *salt) -> list:
+    """At most ``n`` random distinct keys, ascending: of each of ``n`` classes of a hash
+    that with the least hash. A task sends one key a class."""
+    draw = F.xxhash64(*[F.lit(x) for x in salt], "key.far", "key.id")
+    drawn = keys.groupBy(F.pmod(draw, F.lit(n)).alias("part")).agg(F.min_by("key", draw).alias("key"))
+    return sorted((r.key.far, r.key.id) for r in drawn.collect())
+
+
 def quickselect(keys: DataFrame, k: int, seed: int = 0, pivots: int = PIVOTS):
     """The k-th smallest ``key`` (from 1), counted with repetitions, and the rows
     before it. ``keys`` should be a written table, as each round reads it."""
@@ -210,10 +218,7 @@ def quickselect(keys: DataFrame, k: int, seed: int = 0, pivots: int = PIVOTS):
             inside = inside.filter(F.col("key") > _key(low))
         if high is not None:
             inside = inside.filter(F.col("key") < _key(high))
-        draw = F.xxhash64(F.lit(seed), F.lit(turn), "key.far", "key.id")
-        # Equal keys draw alike, so a repeated key is one pivot.
-        drawn = inside.groupBy("key").agg(F.min(draw).alias("draw")).orderBy("draw", "key").limit(pivots)
-        chosen = sorted((r.key.far, r.key.id) for r in drawn.collect())
+        chosen = _pivots(inside, pivots, seed, turn)
         counts = _places(inside, chosen)
         for place in range(2 * len(chosen) + 1):
             n = counts.get(place, 0)
@@ -231,10 +236,8 @@ def ranked(keys: DataFrame, total: int, seed: int = 0) -> DataFrame:
     """Rows with ``rank`` from 1 by ascending ``key``. Random keys cut the rows in
     slices whose exact counts give each slice its first rank; a slice is one task's
     sort."""
-    draw = F.xxhash64(F.lit(seed), F.lit("slice"), "key.far", "key.id")
     n = min(256, total // SLICE)
-    drawn = keys.groupBy("key").agg(F.min(draw).alias("draw")).orderBy("draw", "key").limit(n).collect() if n else []
-    cuts = sorted((r.key.far, r.key.id) for r in drawn)
+    cuts = _pivots(keys, n, seed, "slice") if n else []
     if not cuts:
         place, first = F.lit(0), {0: 0}
     else:
