@@ -366,6 +366,7 @@ ALONE = {
     "email": ["anna@example.org"],
     "secret": ["sk-" + "abcde" * 4, "AKIA" + "ABCD" * 4, "ghp_" + "abcdef" * 6, "abcdef" * 6, "sk-ab-cd_" + "e" * 20],
     "iban": ["DE89 3704 0044 0532 0130 00"],
+    "ip6": ["2001:db8:85a3::8a2e:370:7334", "2001:0DB8:85A3:0000:0000:8A2E:0370:7334", "fe80::1:2:3"],
     "ip": ["10.0.12.255", "١.٢.٣.٤"],
     "ssn": ["123-45-6789", "١٢٣-٤٥-٦٧٨٩"],
     "card": ["4539 1488 0343 6467", "٤٥٣٩ ١٤٨٨ ٠٣٤٣ ٦٤٦٧"],
@@ -389,6 +390,66 @@ def test_every_mention_alone_is_replaced(spark):
     assert card[0] == card[1]
 
 
+def surrogates_of(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.text for r in sorted(pii.pseudonymise(docs, b"k").collect(), key=lambda r: r.doc_id)]
+
+
+def test_one_phone_number_in_every_format(spark):
+    german = ["+49 30 1234567", "+49301234567", "+49-30-123-4567", "+49 (0)30 1234567", "+49 (30) 1234567"]
+    home = ["(212) 555-0134", "+1 212 555 0134", "212-555-0134", "+12125550134", "+1 (212) 555-0134"]
+    out = surrogates_of(spark, german + home)
+    digits = [re.sub(r"\D", "", t.replace("(0)", "")) for t in out]
+    assert len(set(digits[:5])) == 1 and digits[0].startswith("49") and digits[0] != "49301234567"
+    full = [d if d.startswith("1") and len(d) == 11 else "1" + d for d in digits[5:]]
+    assert len(set(full)) == 1 and full[0] != "12125550134"
+    shapes = [re.sub(r"\d", "0", t) for t in out]
+    assert shapes == [re.sub(r"\d", "0", t) for t in german + home]
+
+
+def test_scripts_and_check_digits_stay(spark):
+    texts = ["иван.петров@пример.рф", "Dr 王小明", "Dr Արամ", "Dr Παπαδόπουλος", "IBAN DE89 3704 0044 0532 0130 00"]
+    out = surrogates_of(spark, texts)
+    for old, new in zip(texts, out, strict=True):
+        scripts = [[pii._script(c) for c in t if c.isalpha()] for t in (old, new)]
+        assert set(scripts[0]) == set(scripts[1]) and old != new, (old, new)
+    assert re.fullmatch(r"[а-я]{4}\.[а-я]{6}@[а-я]{6}\.рф", out[0]) and re.fullmatch(r"Dr \w{3}", out[1])
+    iban = out[4][5:].replace(" ", "")
+    assert iban.startswith("DE") and pii._mod97(iban) == 1 and "3704 0044" not in out[4]
+
+
+def test_clean_texts_stay(spark):
+    clean = [
+        "ISBN 9781234567897", "at 20240101123045", "parts DE12 ABCD EFGH in stock", "Mr The President spoke",
+        "std::vector<int> a::b::c 12:34:56", "a ratio of 1:2:3:4", "version 1.2.3.4.5",
+    ]
+    assert surrogates_of(spark, clean) == clean
+
+
+def test_written_surrogates_against_brute_force(spark):
+    """What is written maps entities to surrogates one to one, and no real one returns."""
+    draw = random.Random(5)
+    kinds = {
+        "phone": lambda: draw.choice(["+1 (%03d) 555-%04d", "(%03d) 555-%04d", "+44 20 %03d %04d"])
+        % (draw.randrange(200, 215), draw.randrange(60)),
+        "email": lambda: draw.choice("abcdefgh") + str(draw.randrange(10)) + "@x.org",
+        "ip": lambda: "10.%d.0.%d" % (draw.randrange(10), draw.randrange(10)),
+        "ssn": lambda: "%03d-12-%04d" % (draw.randrange(9), draw.randrange(60)),
+    }
+    texts = [kinds[k]() for k in kinds for _ in range(400)]
+
+    def key(text):
+        digits = re.sub(r"\D", "", text)
+        if re.fullmatch(r"(\+1 )?\(\d{3}\) .*", text):
+            return "phone 1" + digits[-10:]
+        return "phone " + digits if text.startswith("+") else text
+
+    new = surrogates_of(spark, texts)
+    pairs = {(key(a), key(b)) for a, b in zip(texts, new, strict=True)}
+    assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+    assert not {a for a, _ in pairs} & {b for _, b in pairs}
+
+
 def test_hint_knows_every_digit():
     digits = pa.array([chr(c) for c in range(0x110000) if chr(c).isdecimal()])
     assert pc.all(pc.match_substring_regex(digits, pii._HINT)).as_py()
