@@ -7,6 +7,7 @@ of the operator, and reads them back through it.
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -20,10 +21,11 @@ from textloom.operators import ml
 from textloom.operators import reports as rp
 from textloom.operators import vocab as vo
 from textloom.plans import jobs
-from textloom.plans.catalog import SEED, curated, flat_sent, joined, query
+from textloom.plans.catalog import PARAMS, SEED, curated, flat_sent, joined, query
 from textloom.plans.tables import TARGET, Inputs
 from textloom.session import new_path, spread, staged
 from textloom.sources import named, plugin, readers, writers
+from textloom.streaming.curation import Curation
 from textloom.streaming.ingest import ingest_stream as start_ingest
 
 
@@ -492,6 +494,21 @@ def ingest_stream(t: Inputs) -> DataFrame:
     return t.spark.read.parquet(f"{out}/sent").select("doc_id", "six", "sid", "lang", "sent", "toklen")
 
 
+@query
+def curate_increments(t: Inputs) -> DataFrame:
+    """The documents in three deliveries, each curated as it comes."""
+    src, out = new_path(t.spark, "deliveries"), new_path(t.spark, "curated")
+    curation = Curation(
+        t.spark, src, "documents", out, TARGET, replace(PARAMS, drop_first=0),
+        names=lambda doc: t.corp_doc.join(doc.select("doc_id"), "doc_id", "left_semi"),
+    )
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(3))
+    for k in range(3):
+        t.documents.filter(part == k).select("doc_id", "text").write.mode("append").parquet(src)
+        curation.update()
+    return flat_sent(curation.sentences())
+
+
 # --- models ----------------------------------------------------------------
 
 

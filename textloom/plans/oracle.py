@@ -746,6 +746,12 @@ JOIN span p ON p.doc_id = s.doc_id AND p.six = s.six""",
 o("print_stats", _stats.format("sent"))
 o("write_stats", _sources)
 o("dump_corpus", "SELECT doc_id AS did, doc_id || '-' || six AS sid, sent AS text FROM curated", CURATED)
+o(
+    "curate_increments",
+    """SELECT s.doc_id, s.six, s.sid, s.sent, p.spans, s.toklen FROM curated s
+JOIN span p ON p.doc_id = s.doc_id AND p.six = s.six""",
+    CURATED.replace("LIMIT 20", "LIMIT 0"),
+)
 o("ingest_stream", "SELECT doc_id, six, sid, lang, sent, toklen FROM sent")
 
 ORACLE["list_files"] = """SELECT source AS name, CAST(sum(strlen(text) + 1) AS BIGINT) AS size

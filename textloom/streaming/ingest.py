@@ -75,7 +75,8 @@ FORMATS: dict[str, tuple[Callable, Callable]] = {
 
 def ingest_stream(
     spark: SparkSession, path: str, fmt: str, checkpoint: str, out: str,
-    lang: str | None = None, target: str = "en", **options: str,
+    lang: str | None = None, target: str = "en",
+    then: Callable[[DataFrame, DataFrame, int], None] | None = None, **options: str,
 ) -> StreamingQuery:
     """Parses files that are new since the last run into ``out/doc`` and
     ``out/sent``.
@@ -83,7 +84,9 @@ def ingest_stream(
     A file is always whole within one batch, so sentences number as in a
     batch read. Document ids go on from those of earlier batches. A batch
     writes its own folders and overwrites them when it is repeated: results
-    stay exactly-once. ``options`` such as ``maxFilesPerTrigger`` or
+    stay exactly-once. ``then`` is called with the sentences and documents that a
+    batch has written and its number, again where the batch is repeated.
+    ``options`` such as ``maxFilesPerTrigger`` or
     ``maxBytesPerTrigger`` bound a batch.
     """
     source, parse = FORMATS[fmt]
@@ -101,6 +104,12 @@ def ingest_stream(
         sents = with_lang(sentence_columns(rows), lang).select(*schemas.SENT_COLUMNS)
         sents.write.mode("overwrite").parquet(f"{out}/sent/batch={batch_id}")
         docs.write.mode("overwrite").parquet(f"{out}/doc/batch={batch_id}")
+        if then is not None:
+            written = (
+                spark.read.schema(df.schema).parquet(f"{out}/{name}/batch={batch_id}")
+                for name, df in (("sent", sents), ("doc", docs))
+            )
+            then(*written, batch_id)
 
     return (
         source(spark, path, **options)
