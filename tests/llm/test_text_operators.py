@@ -270,11 +270,6 @@ def test_scoring_without_training_rows(spark, odd, empty):
     assert scoring.score(empty.withColumn("train", F.lit(True))).count() == 0
 
 
-def test_scoring_with_fewer_entries_stays_nested(spark, odd):
-    rows = scoring.score(odd.withColumn("train", F.lit(True)), entries=40).collect()
-    assert len(rows) == len(ODD) and all(math.isfinite(r.score) and r.score < 0 for r in rows)
-
-
 def test_scores_are_partial_matching_of_all_grams(spark):
     draw = random.Random(8)
     texts = ["".join(draw.choice("abcab é") for _ in range(draw.randint(0, 40))) for _ in range(60)] + ["abz", "zq", ""]

@@ -211,22 +211,7 @@ def _rows(kind: str, block: int, size: int, **columns: pa.Array) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([*base, *rest], names=["kind", "block", *types])
 
 
-def _least(orders: list[DataFrame], entries: int) -> int:
-    """The smallest common count that leaves at most ``entries`` of each order."""
-    least = 1
-    for table in orders:
-        # Counts in classes of a sixteenth of a power of two, a few hundred rows.
-        steps = table.filter("n > 0").groupBy(F.floor(F.log2("n") * 16).alias("step")).agg(F.count("*").alias("k"))
-        above = 0
-        for step, k in sorted(((r["step"], r["k"]) for r in steps.collect()), reverse=True):
-            above += k
-            if above > entries:
-                least = max(least, int(2 ** ((step + 1) / 16)) + 1)
-                break
-    return least
-
-
-def probabilities(counts: DataFrame, entries: int | None = None) -> DataFrame:
+def probabilities(counts: DataFrame) -> DataFrame:
     """(key, p): the log10 probability of each gram of ``counts`` (key, n), whose
     ``n`` is its number in training, 0 for a gram that is only scored.
 
@@ -239,9 +224,6 @@ def probabilities(counts: DataFrame, entries: int | None = None) -> DataFrame:
     for order in range(ORDER - 1, -1, -1):
         key = F.col("key").bitwiseAND(F.lit((1 << 8 * (order + 1)) - 1))
         orders.append(staged(orders[-1].groupBy(key.alias("key")).agg(F.sum("n").alias("n")), f"grams{order}"))
-    if entries is not None:
-        kept = F.col("n") >= _least(orders, entries)
-        orders = [t.select("key", F.when(kept, F.col("n")).otherwise(0).alias("n")) for t in orders]
 
     n, total, kinds = (F.col(c) for c in ("n", "total", "kinds"))
     weight = 2 * n - 1
@@ -274,7 +256,7 @@ def probabilities(counts: DataFrame, entries: int | None = None) -> DataFrame:
     return below.select("key", F.col("free").alias("p"))
 
 
-def score(docs: DataFrame, entries: int | None = None) -> DataFrame:
+def score(docs: DataFrame) -> DataFrame:
     """Scores every row of ``docs`` (doc_id, text, train boolean), learning from
     the rows where ``train`` is true.
 
@@ -287,28 +269,22 @@ def score(docs: DataFrame, entries: int | None = None) -> DataFrame:
     likely. Other columns are ignored.
 
     Word counts and gram probabilities come back to the texts by block: each
-    distinct word or gram of a block is one row, is counted over all blocks in
-    one shuffle, and returns to its block in another, so a frequent one is one
-    row per block. All counts are used, whatever their number, unless the caller
-    sets ``entries``: then those below the least common count that leaves at
-    most so many grams of each order are taken as unseen.
+    distinct word or gram of a block is one row, is counted over all blocks with
+    combined sums, and returns to its block by a join, so a frequent one is one
+    row per block that a skewed join may deal out. All counts are used, whatever
+    their number.
     """
     flags = F.coalesce("train", F.lit(False)).alias("train")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", flags)
     blocks = staged(_blocked(rows), "blocks")
     texts = blocks.filter("kind = 0").select("block", "texts")
-    same, within = W.partitionBy("key"), W.partitionBy("key").orderBy("block")
-    words = staged(
-        blocks.filter("kind = 1").select(
-            "block", "key", F.sum("n").over(same).alias("c"), (F.row_number().over(within) == 1).alias("once")
-        ),
-        "words",
-    )
+    counts = staged(blocks.filter("kind = 1").groupBy("key").agg(F.sum("n").alias("c")), "words")
+    words = blocks.filter("kind = 1").select("block", "key").join(counts, "key")
     ends = rows.filter("train").count()
-    sums = words.filter("once").agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
+    sums = counts.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     n, v = (sums["n"] or 0) + ends, sums["v"] + (ends > 0)
     grams_ = staged(blocks.filter("kind = 2").groupBy("key").agg(F.sum("n").alias("n")), "grams")
-    chances = blocks.filter("kind = 2").select("block", "key").join(probabilities(grams_, entries), "key")
+    chances = blocks.filter("kind = 2").select("block", "key").join(probabilities(grams_), "key")
     whole = n + 0.5 * (v + 1)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
