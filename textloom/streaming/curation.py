@@ -74,7 +74,8 @@ class Curation:
     update made a sentence's survivor), ``state``. A batch overwrites its own
     folders and minima do not depend on order, so a repeated batch, a lost
     executor and any order of the files give the same rows as ``curate`` over
-    the whole corpus.
+    ``sent`` and ``doc``. Formats without document ids number files as they
+    come, so there the order decides which copy of a sentence stays.
 
     ``names`` gives (doc_id, name) for the documents of a batch, by default from
     their paths. A document that two batches bring would have a profile from parts;
