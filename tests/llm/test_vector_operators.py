@@ -93,6 +93,17 @@ def test_error_bound_and_recall():
     assert np.allclose(s, np.einsum("ij,ij->i", queries[q], data[v]))
 
 
+def test_bound_keeps_every_neighbour():
+    """Vectors without structure, whose estimates are wide off: none of the nearest
+    may be lost by the bound, and scores are sums in order of components."""
+    data = np.random.default_rng(3).normal(size=(3000, 64))
+    queries, centre, c = data[:300], data.mean(0), ann.Codes()
+    q, v, s = ann.nearest(data, *ann.encode(data, centre, c.seed), np.arange(3000), queries, centre, 20, c)
+    near = np.argsort(-(queries @ data.T), axis=1, kind="stable")[:, :20]
+    assert set(zip(q.tolist(), v.tolist(), strict=True)) == {(i, j) for i in range(300) for j in near[i].tolist()}
+    assert (s == ann.products(data, queries, v, q)).all()
+
+
 # --- importance resampling --------------------------------------------------------
 
 

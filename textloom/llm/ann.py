@@ -3,9 +3,11 @@
 A vector's offset from the centre is turned by a random rotation and kept as its
 signs, packed, with two scalars: its length and how well the signs point along it.
 The inner product of a query with these signs estimates the true one, with an error
-bound that shrinks with the root of the dimension. A query reranks the vectors with
+bound that shrinks with the root of the dimension. A query takes the vectors with
 the best estimates first; the k-th score then found is the mark that the upper bound
-of every other vector must reach to be reranked too, on the original vectors.
+of every other vector must reach to be looked at too, on the original vectors. Scores
+of these are matrix products at first; those that reach the mark are added anew in
+order of components.
 
 Equal vectors are one candidate with their smallest ids, so that a vector with a
 third of all rows is scanned once. Vectors and queries meet in a grid of blocks of
@@ -40,7 +42,7 @@ class Codes:
     """``epsilon`` is the error bound in standard deviations of an estimate. Blocks
     have at most about ``block`` bytes of vectors."""
 
-    epsilon: float = 2.5
+    epsilon: float = 4.0
     seed: int = 11
     block: int = 1 << 25
     least_rows: int = 1024
@@ -109,27 +111,24 @@ def nearest(vectors, codes, length, along, ids, queries, centre, k: int, c: Code
     """The k best vectors of each query in one block: query, vector, score."""
     n, found = len(vectors), []
     step, head = max(1, _CELLS // max(n, 1)), min(n, k * _HEAD)
+    # How far a matrix product can lie from the sum in order of components.
+    error = 4 * np.finfo(float).eps * vectors.shape[1] * np.sqrt(np.square(vectors).sum(1)).max(initial=0)
     for i in range(0, len(queries), step):
         part = queries[i : i + step]
         about, spread = estimate(codes, length, along, part, centre, c)
-        rows = np.repeat(np.arange(len(part)), head)
         if head == n:
-            first = np.tile(np.arange(n), len(part))
+            reach = np.ones(about.shape, bool)
         else:
-            first = np.argpartition(-about, head - 1, axis=1)[:, :head].ravel()
-        score = products(vectors, part, first, rows)
-        if head < n:
-            mark = -np.partition(-score.reshape(-1, head), k - 1, axis=1)[:, k - 1]
-            mark -= 1e-12 * np.abs(mark)
             size = np.sqrt(np.square(part).sum(1))
-            maybe = about + spread >= (mark / size).astype(np.float32)[:, None]
-            maybe[rows, first] = False
-            more_q, more_v = np.nonzero(maybe)
-            more = products(vectors, part, more_v, more_q)
-            reach = more >= mark[more_q]
-            first = np.concatenate([first, more_v[reach]])
-            score = np.concatenate([score, more[reach]])
-            rows = np.concatenate([rows, more_q[reach]])
+            first = np.argpartition(-about, head - 1, axis=1)[:, :head]
+            close = part @ vectors.T
+            best = -np.partition(-np.take_along_axis(close, first, 1), k - 1, axis=1)[:, k - 1]
+            mark = best - 1e-12 * np.abs(best) - 2 * error * size
+            reach = about + spread >= (mark / size).astype(np.float32)[:, None]
+            np.put_along_axis(reach, first, True, 1)
+            reach &= close >= mark[:, None]
+        rows, first = np.nonzero(reach)
+        score = products(vectors, part, first, rows)
         q, v, s = _best(rows, first, score, ids, k)
         found.append((q + i, v, s))
     if not found:
