@@ -4,6 +4,7 @@ import json
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,3 +128,22 @@ def test_profile_of_odd_texts(spark):
     points = langprofile._trigrams([" ab ", "", "é", " c "])
     slot = [(ord(a) * 8191 + ord(b) * 127 + ord(c)) % langprofile.SLOTS for a, b, c in (" ab", "ab ", " c ")]
     assert points[0].tolist() == slot and points[1].tolist() == [0, 0, 3]
+
+
+def test_trigrams_come_in_bounded_pieces(monkeypatch):
+    """A batch is counted piece by piece; a long text shares two characters between its
+    parts, so that no trigram is lost or counted twice."""
+    texts = ["", " ab ", " " + "abcdefg" * 40 + " ", "", " é ", " c ", "x"]
+    slot, of = langprofile._trigrams(texts)
+    whole = sorted(zip(of.tolist(), slot.tolist(), strict=True))
+    weights = np.random.default_rng(1).integers(-9000, -1, (3, langprofile.SLOTS)).astype(float)
+    profile = langprofile.LangProfile(("a", "b", "c"), weights, -9000)
+    want = profile.predict(texts)
+    monkeypatch.setattr(langprofile, "PIECE", 16)
+    got, most = [], 0
+    for first, part in langprofile._pieces(texts):
+        most = max(most, sum(map(len, part)))
+        s, o = langprofile._trigrams(part)
+        got += zip((o + first).tolist(), s.tolist(), strict=True)
+    assert sorted(got) == whole and most <= 16
+    assert profile.predict(texts) == want
