@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import markup
 from textloom.functions import text as fx
+from textloom.operators import filters as fl
 from textloom.plans import tables
 
 PUNCT = set("\\(){}[]=&|^+<>/*%;.'\"?!~-")
@@ -237,3 +238,14 @@ def test_markup_is_linear(unit, tail):
 
     seconds(1000)
     assert seconds(160_000) < 60 * max(seconds(10_000), 0.002)
+
+
+def test_roundtrip_joins_each_text_once(spark):
+    """Neither the text nor the spans are worked out anew for each span; the check still
+    finds what spans do not give back."""
+    rows = [(1, 0, ["a", "b c", "d"]), (1, 1, ["x"]), (None, 2, []), (2, 3, None), (2, 4, ["a", None, "b"])]
+    df = spark.createDataFrame(rows, "doc_id long, six int, tokens array<string>")
+    out = fl.check_roundtrip(df)
+    assert out.columns == df.columns
+    assert {r.six for r in out.collect()} == {2, 3, 4}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("array_join(") == 1
