@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as fx
 from textloom.operators.ordering import indexed_table, seeded_hash
-from textloom.operators.vocab import split_words
+from textloom.operators.vocab import gathered, split_words
 from textloom.session import staged
 
 # Special token ids, and the label that training ignores.
@@ -23,7 +23,7 @@ IGNORED = -100
 #: Words of a vocabulary that every task holds, at most: some 20 MB.
 HEAD_WORDS = 1 << 19
 #: Bytes of sentences that one look-up covers.
-LOOK_UP = 16 << 20
+LOOK_UP = 4 << 20
 
 # Categories of the labelled reviews.
 TOPICS = (
@@ -201,22 +201,11 @@ def encode_tokens(
     missing = unk_id if whole else -1
     first, last = special or (None, None)
 
-    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            held.append(batch)
-            size += batch.nbytes
-            if size >= LOOK_UP:
-                yield pa.concat_batches(held)
-                held, size = [], 0
-        if held:
-            yield pa.concat_batches(held)
-
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, ids = shared.value
         ids = np.append(ids, missing).astype(np.int32)
         # A look-up builds the index of the words anew, so it covers many rows.
-        for batch in gathered(batches):
+        for batch in gathered(batches, LOOK_UP):
             pieces = pc.split_pattern(batch.column("sent"), " ")
             at = pc.fill_null(pc.index_in(pieces.flatten(), value_set=tokens), len(ids) - 1)
             start = pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
