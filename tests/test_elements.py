@@ -1,5 +1,6 @@
 """XML files that are cut into byte ranges, against reading them whole."""
 
+import re
 from contextlib import contextmanager
 
 import pytest
@@ -114,3 +115,18 @@ def test_wiki_pages_are_cut(spark, tmp_path, size):
         texts = [f"Text of {i} here .", "more !"] * (1 + i % 5)
         want += [(i, six, t) for six, t in enumerate(texts)]
     assert got == want
+
+
+def test_rows_do_not_gather_by_file(spark, tmp_path):
+    """Only sums by byte range meet at their file: the tokens of one large file do not
+    go to one task, neither for its id nor for its quarantine."""
+    for k in range(3):
+        (tmp_path / f"f{k}.xml").write_text("<text>" + "".join(map(sentence, range(40))) + "</text>")
+    (tmp_path / "bad.xml").write_text(MALFORMED["open.xml"])
+    rows = readers.read_tok_xml(spark, str(tmp_path))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    lone = [m for m in re.finditer(r"hashpartitioning\(file#\d+, \d+\)", plan)]
+    assert len(lone) == 1
+    got = [(r.file[-6:], r.six) for r in rows.collect()]
+    assert sorted(got) == [(f"f{k}.xml", i) for k in range(3) for i in range(30)]
+    assert len({r.doc_id for r in rows.collect()}) == 3

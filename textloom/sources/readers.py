@@ -58,17 +58,22 @@ def corrupt_reason(other: str) -> Column:
 def good_files(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of the well-formed files, and the files with a malformed row.
 
-    As one bad element makes a file unreadable, all of its rows go.
+    As one bad element makes a file unreadable, all of its rows go. The bad files are
+    a written table, whose size decides how it is joined: rows needn't gather by file.
     """
     reason = corrupt_reason(rows.columns[0])
-    bad = rows.groupBy("file").agg(F.max(reason).alias("reason")).filter("reason IS NOT NULL")
+    bad = rows.select("file", reason.alias("reason")).filter("reason IS NOT NULL")
+    bad = staged(bad.groupBy("file").agg(F.max("reason").alias("reason")), "bad_files")
     good = rows.join(bad, "file", "left_anti").drop("_corrupt")
     return good, bad
 
 
-def number_docs(rows: DataFrame, six: str = "six") -> DataFrame:
-    """Adds ``doc_id``, one per file."""
-    return rows.join(dense_ids(rows, "file", "doc_id"), "file").select(
+def number_docs(rows: DataFrame, six: str = "six", files: DataFrame | None = None) -> DataFrame:
+    """Adds ``doc_id``, one per file; ``files`` are rows that name the same files, where
+    these are cheaper to read. The ids are a written table, whose size decides how it is
+    joined."""
+    ids = staged(dense_ids(rows if files is None else files, "file", "doc_id"), "ids")
+    return rows.join(ids, "file").select(
         "file", "doc_id", six, "sid", "tokens"
     )
 
@@ -91,7 +96,8 @@ def _xml_sentences(
 def xml_sentences(rows: DataFrame, tokens: Column) -> DataFrame:
     """Non-empty sentence elements, numbered within their files."""
     d = rows.select("file", "_block", "_row", F.col("_id").alias("sid"), tokens.alias("tokens"))
-    return number_docs(_number_sentences(d.filter(F.size("tokens") > 0)))
+    d = d.filter(F.size("tokens") > 0)
+    return number_docs(_number_sentences(d), files=d)
 
 
 def read_tok_xml(
@@ -241,7 +247,7 @@ def crawl_sentences(crawl: DataFrame, target: str, min_prob: float = 0.9) -> Dat
     kept = filter_lang_prob(filter_quality_warnings(crawl), target, min_prob)
     rows = kept.select("file", "_block", "_row", "line_no", fx.tokenize("text").alias("tokens"))
     numbered = _number_sentences(rows, ("_row", "line_no"))
-    return number_docs(numbered.withColumn("sid", F.col("six").cast("string")))
+    return number_docs(numbered.withColumn("sid", F.col("six").cast("string")), files=rows)
 
 
 def read_sources(spark: SparkSession, path: str) -> DataFrame:
