@@ -6,6 +6,8 @@ from contextlib import contextmanager
 import pytest
 
 from textloom import schemas
+from textloom.plans import io_catalog
+from textloom.plans.catalog import QUERIES
 from textloom.sources import elements, readers
 
 
@@ -130,3 +132,19 @@ def test_rows_do_not_gather_by_file(spark, tmp_path):
     got = [(r.file[-6:], r.six) for r in rows.collect()]
     assert sorted(got) == [(f"f{k}.xml", i) for k in range(3) for i in range(30)]
     assert len({r.doc_id for r in rows.collect()}) == 3
+
+
+def test_splits_write_parsed_rows_only(spark, sf_dir, monkeypatch):
+    """A file that is read in three sizes is parsed and written thrice, but the numbered
+    rows are not written again."""
+    names, write = [], io_catalog.staged
+
+    def named(df, name="staged"):
+        names.append(name)
+        return write(df, name)
+
+    for module in (io_catalog, elements, readers):
+        monkeypatch.setattr(module, "staged", named)
+    rows = QUERIES["read_tok_xml_splits"](spark, sf_dir)
+    assert rows.groupBy("n_splits").count().select("count").distinct().count() == 1
+    assert names.count("parsed") == 3 and "read" not in names
