@@ -516,3 +516,13 @@ def test_half_of_the_rows_are_one_text(spark, tmp_path, digest, monkeypatch):
     assert len(got) == len(rows)
     assert Counter((r.doc_id, r.keep_id, r.group_size) for r in got) == Counter((i, *want[t.lower()]) for i, t in rows)
     assert sum(r.kept for r in got) == len(want) and all(r.doc_id == r.keep_id for r in got if r.kept)
+
+
+def test_no_text_moves_while_windows_are_sought(spark):
+    """The names of contaminated documents are written before they meet the documents."""
+    passage = " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, f"a {passage} b"), (2, "clean words"), (None, passage), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, passage)], "item_id long, text string")
+    left = decontaminate.drop_contaminated(docs, items)
+    assert "MapInArrow" not in left._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.doc_id for r in left.collect()) == [2, 3]

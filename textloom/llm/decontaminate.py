@@ -24,6 +24,8 @@ WORDS = 3
 #: Windows that are sent to the tasks at once: this bounds what is broadcast. A
 #: larger benchmark is joined block by block.
 BLOCK = 100_000
+#: Bytes of texts whose words a task hashes at once.
+PIECE = 1 << 19
 
 #: Words are digits, letters a-z and everything beyond ASCII.
 _TABLE = ar.byte_table(bytes(b for b in range(128) if not chr(b).isalnum()))
@@ -40,7 +42,7 @@ def windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             items, joined, sizes = [], [], []
-            for i, _, data, offsets in ar.pieces(ar.texts(batch)):
+            for i, _, data, offsets in ar.pieces(ar.texts(batch), PIECE):
                 starts, ends, _, bounds = ar.words(data, offsets, _TABLE)
                 low = data.tobytes().translate(_LOWER)
                 own = [low[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
@@ -115,7 +117,7 @@ def _frequencies(docs: DataFrame, shared) -> dict[int, int]:
         index = block.finder()
         total = np.zeros(len(block.shingles), np.int64)
         for batch in batches:
-            for _, _, data, offsets in ar.pieces(ar.texts(batch)):
+            for _, _, data, offsets in ar.pieces(ar.texts(batch), PIECE):
                 _, _, hashes, bounds = ar.words(data, offsets, _TABLE)
                 at, size, key = block.hits(index, hashes)
                 inside = at + size <= bounds[np.searchsorted(bounds, at, "right")] if len(at) else at > 0
@@ -141,7 +143,7 @@ def _matches(docs: DataFrame, shared, every: bool) -> DataFrame:
         index = block.finder()
         for batch in batches:
             counts, spans, items = [], [], []
-            for _, _, data, offsets in ar.pieces(ar.texts(batch)):
+            for _, _, data, offsets in ar.pieces(ar.texts(batch), PIECE):
                 starts, ends, hashes, bounds = ar.words(data, offsets, _TABLE)
                 counts.extend(np.diff(bounds).tolist())
                 own: dict[int, tuple[set, set]] = {}
@@ -232,13 +234,18 @@ def n_hit(spans: Column) -> Column:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents without a word of a window; all columns stay."""
+    """The documents without a word of a window; all columns stay.
+
+    Names of the others are written, so that no text moves while windows are sought,
+    nor later where these names are few enough to be broadcast.
+    """
     bad = (
         contamination(docs, benchmark, window)
         .filter(F.size("spans") > 0)
         .select(F.col("doc_id").alias("_id"), F.col("_row").alias("_same"))
         .distinct()
     )
+    bad = staged(bad, "contaminated")
     keyed = ar.nested(docs)
     return keyed.join(bad, ar.same_row(keyed), "left_anti").select("doc.*")
 
