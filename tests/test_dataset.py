@@ -2,6 +2,7 @@
 
 import math
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,6 +133,20 @@ def test_encode_does_not_depend_on_the_head(spark, head):
         assert "Exchange" not in ds.encode_tokens(sent.coalesce(1), vocab)._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
 
 
+def test_tokens_of_no_vocabulary_are_not_joined(spark):
+    """Beyond the head only words of the vocabulary are looked up by a join, and rows
+    stay whole where their keys repeat or are null."""
+    rows = [(1, 0, "the rare ."), (1, 0, "the odd . rare odd"), (None, None, "rare . x"), (2, 0, "the . . y")] * 5
+    sent = spark.createDataFrame(rows, "doc_id bigint, six int, sent string")
+    vocab = spark.createDataFrame([("the", 5, 15), ("rare", 6, 3), ("odd", 7, 1)], "token string, id int, n bigint")
+    out = ds.encode_tokens(sent, vocab, head=1)
+    want = [(0, 5, 6, 3, 2), (0, 5, 7, 3, 6, 7, 2), (0, 6, 3, 3, 2), (0, 5, 3, 3, 3, 2)] * 5
+    assert sorted(tuple(r.input_ids) for r in out.collect()) == sorted(want)
+    bits = ds._bits(vocab.filter("n < 4"), ds.LEAST_BITS)
+    maybe = ds._maybe(pa.array(["rare", "odd", ".", "x", "y", "the"]), bits)
+    assert maybe.tolist() == [True, True, False, False, False, False]
+
+
 def test_categories(spark):
     df = spark.createDataFrame(
         [("+", "general", "joy"), ("n", None, "fear"), ("?", "other", None)],

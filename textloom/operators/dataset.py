@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
@@ -24,6 +25,9 @@ IGNORED = -100
 HEAD_WORDS = 1 << 19
 #: Bytes of sentences that one look-up covers.
 LOOK_UP = 4 << 20
+#: Bits for the words of the tail, at least and at most: 32 MB, which tell most tokens
+#: apart up to some hundred million words.
+LEAST_BITS, MOST_BITS = 1 << 18, 1 << 28
 
 # Categories of the labelled reviews.
 TOPICS = (
@@ -161,6 +165,30 @@ def pair_freq(word_freq: DataFrame) -> DataFrame:
     )
 
 
+def _bits(words: DataFrame, size: int) -> np.ndarray:
+    """``size`` bits with two set for each word, at places that its checksum gives."""
+    slot = F.explode(F.transform(F.array(*_places(F.crc32("token"), size)), lambda x: x + 1))  # bitmaps count from 1
+    parts = words.select(slot.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")
+    )
+    out = np.zeros(size // 8, np.uint8)
+    for part, bits in parts.collect():
+        out[(part - 1) * len(bits) : part * len(bits)] = np.frombuffer(bits, np.uint8)
+    return out
+
+
+def _places(checksum, size: int) -> list:
+    """Two places below ``size``, a power of two, for columns or arrays of checksums."""
+    return [checksum % size, checksum * 1640531527 % 4294967291 % size]
+
+
+def _maybe(words: pa.Array, bits: np.ndarray) -> np.ndarray:
+    """Whether the words may be among those of the bits; surely not where False."""
+    sums = np.array([zlib.crc32(w) for w in words.cast(pa.binary()).to_pylist()], np.int64)
+    first, second = (bits[at >> 3] >> (at & 7) & 1 for at in _places(sums, 8 * len(bits)))
+    return (first & second).astype(bool)
+
+
 def encode_tokens(
     sent: DataFrame, vocab: DataFrame, unk_id: int = SPECIAL_IDS["unk"],
     special: tuple[int, int] | None = (SPECIAL_IDS["cls"], SPECIAL_IDS["sep"]),
@@ -172,7 +200,8 @@ def encode_tokens(
     known. Tasks hold at most ``head`` of the most frequent words and
     look tokens up in place, so these never move. In a larger vocabulary the
     tokens beyond the head, none of them frequent, are joined and put back by
-    position. The result is the same for any head. Special ids at both ends
+    position; bits for the words of the tail tell them from tokens of no
+    vocabulary, which may be frequent. The result is the same for any head. Special ids at both ends
     have no word index.
     """
     words = vocab.select("token", "id")
@@ -185,32 +214,35 @@ def encode_tokens(
         # Classes of numbers, a sixteenth of a doubling wide, from the top while there
         # is room: some hundred of them, whatever the vocabulary.
         width = F.floor(F.log2(F.col("n") + 1) * 16).cast("int")
-        room, cut = head, None
+        room, cut, tail = head, None, 0
         for row in vocab.groupBy(width.alias("c")).count().orderBy(F.desc("c")).collect():
             room -= row["count"]
             if room < 0:
-                break
-            cut = row.c
+                tail += row["count"]
+            else:
+                cut = row.c
         often = width >= cut if cut is not None else F.lit(False)
         frequent = vocab.filter(often).select("token", "id")
         words = vocab.filter(~often).select("token", "id")
     table = (words if whole else frequent).toArrow()
+    bits = None if whole else _bits(words, min(max(1 << (8 * tail).bit_length(), LEAST_BITS), MOST_BITS))
     shared = sent.sparkSession.sparkContext.broadcast(
-        (table.column("token").combine_chunks(), table.column("id").to_numpy())
+        (table.column("token").combine_chunks(), table.column("id").to_numpy(), bits)
     )
-    missing = unk_id if whole else -1
     first, last = special or (None, None)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, ids = shared.value
-        ids = np.append(ids, missing).astype(np.int32)
+        tokens, ids, bits = shared.value
+        ids = np.append(ids, unk_id).astype(np.int32)
         # A look-up builds the index of the words anew, so it covers many rows.
         for batch in gathered(batches, LOOK_UP):
             pieces = pc.split_pattern(batch.column("sent"), " ")
-            at = pc.fill_null(pc.index_in(pieces.flatten(), value_set=tokens), len(ids) - 1)
+            coded = pieces.flatten().dictionary_encode()
+            of, seen = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+            at = pc.fill_null(pc.index_in(seen, value_set=tokens), len(ids) - 1).to_numpy(zero_copy_only=False)
             start = pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
             size = np.diff(start)
-            found = ids[at.to_numpy(zero_copy_only=False)]
+            found = ids[at][of]
             within = np.arange(len(found)) - np.repeat(start[:-1], size)
             ends = np.zeros(0, np.int64)
             if special is not None:
@@ -228,31 +260,39 @@ def encode_tokens(
                 pa.ListArray.from_arrays(pa.array(start, pa.int32()), values)
                 for values in (pa.array(flat), pa.array(index, mask=~inner))
             ]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in batch.schema.names), *lists],
-                names=[*batch.schema.names, "input_ids", "word_ids"],
-            )
-
-    base = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-    encoded = rows.mapInArrow(look_up, f"{base}, input_ids array<int>, word_ids array<int>")
+            if bits is not None:
+                # Tokens that the tail may know, and their positions in the ids.
+                far = np.flatnonzero(at == len(ids) - 1)
+                far = np.isin(of, far[_maybe(seen.take(pa.array(far)), bits)])
+                far_start = np.concatenate([[0], np.cumsum(far)])[pieces.offsets.to_numpy() - pieces.offsets[0].as_py()]
+                place = within[far] + (special is not None)
+                holes = pa.StructArray.from_arrays(
+                    [pa.array(place, pa.int32()), seen.take(pa.array(of[far])).cast(pa.string())], ["at", "token"]
+                )
+                lists.append(pa.ListArray.from_arrays(pa.array(far_start, pa.int32()), holes))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), *lists], names=[*keys, *added])
+
+    keys, added = ["doc_id", "six"], ["input_ids", "word_ids"] + ([] if whole else ["holes"])
+    types = [*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keys), "input_ids array<int>", "word_ids array<int>"]
+    if not whole:
+        types.append("holes array<struct<at:int,token:string>>")
+    encoded = rows.mapInArrow(look_up, ", ".join(types))
     out = ["doc_id", "six", "input_ids", "word_ids"]
     if whole:
         return encoded.select(*out)
     encoded = staged(encoded, "encoded")
-    open_ = F.array_contains("input_ids", -1)
-    holes = (
-        encoded.filter(open_)
-        .select("doc_id", "six", F.posexplode("input_ids").alias("_at", "_id"), "sent", "word_ids")
-        .filter("_id = -1")
-        .select("doc_id", "six", "_at", F.get(F.split("sent", " "), F.get("word_ids", "_at")).alias("token"))
-    )
+    open_ = F.size("holes") > 0
+    # A row is named by its place in the written files, as keys may repeat.
+    name = [F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+    rest = encoded.filter(open_).select(*out, "holes", *name)
+    holes = rest.select("_file", "_row", F.inline("holes"))
     filled = (
-        holes.join(words, "token", "left")
-        .groupBy("doc_id", "six")
-        .agg(F.map_from_entries(F.collect_list(F.struct("_at", F.coalesce("id", F.lit(unk_id))))).alias("_new"))
+        holes.join(words, "token")
+        .groupBy("_file", "_row")
+        .agg(F.map_from_entries(F.collect_list(F.struct("at", "id"))).alias("_new"))
     )
-    patched = encoded.filter(open_).join(filled, ["doc_id", "six"]).withColumn(
-        "input_ids", F.transform("input_ids", lambda x, i: F.when(x == -1, F.col("_new")[i]).otherwise(x).cast("int"))
+    patched = rest.join(filled, ["_file", "_row"], "left").withColumn(
+        "input_ids", F.transform("input_ids", lambda x, i: F.coalesce(F.try_element_at("_new", i), x).cast("int"))
     )
     return encoded.filter(~open_).select(*out).unionByName(patched.select(*out))
 
