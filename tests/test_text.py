@@ -249,3 +249,17 @@ def test_roundtrip_joins_each_text_once(spark):
     assert out.columns == df.columns
     assert {r.six for r in out.collect()} == {2, 3, 4}
     assert out._jdf.queryExecution().optimizedPlan().toString().count("array_join(") == 1
+
+
+def test_patterns_find_the_same(spark):
+    """Sentences and tokens as the plain patterns give them; the quicker ones try no
+    character of a sentence twice."""
+    rows = ["", None, "a", "a.", "a..b!\n\n?c", "\n", ".\n.", "a\r\n b.\r\n", "\U0001f600x. y?\x00z", "a.\n\nb", "x\ny_9.é٣z²-~\\"]
+    df = spark.createDataFrame([(r,) for r in rows], "t string")
+    plain = F.filter(F.split("t", "(?<=[.!?])\n?|\n"), lambda s: F.substring(s, -1, 1).isin(".", "!", "?"))
+    for r in df.select(
+        fx.text_sentences("t").alias("a"), plain.alias("b"), fx.tokenize("t").alias("c"),
+        F.regexp_extract_all("t", F.lit(fx.TOKEN_PATTERN), F.lit(0)).alias("d"),
+    ).collect():
+        assert r.a == r.b and r.c == r.d
+    assert "(?<=" not in df.select(fx.text_sentences("t"))._jdf.queryExecution().analyzed().toString()
