@@ -133,3 +133,18 @@ def test_fitted_language(spark):
     assert lists["sq"][:2] == ["dhe", "une"] and len(lists["en"]) == 3
     got = spark.createDataFrame([("ti dhe une",), ("you am",), ("?",)], "sent string").select(fx.vote_lang("sent", lists))
     assert [r[0] for r in got.collect()] == ["sq", "en", None]
+
+
+def test_sentences_stay_where_few_documents_are_kept(spark):
+    """The kept documents' ids have a known size, so no sentence moves to meet them."""
+    rows = [(d, i, f"the {d} word {i} goes on and on here", "sq") for d in range(4) for i in range(60)]
+    sent = spark.createDataFrame(
+        [(d, i, str(i), s, None, 9, lang) for d, i, s, lang in rows], "doc_id bigint, six int, sid string, sent string, "
+        "spans array<struct<start:int,end:int>>, toklen int, lang string",
+    )
+    doc = spark.createDataFrame([(d, f"{d}.xml") for d in range(4)], "doc_id bigint, file string")
+    names = spark.createDataFrame([(d, "books") for d in range(4)], "doc_id bigint, name string")
+    out = cu.curate(doc, names, sent, "sq", cu.CurateParams(min_avg=5))
+    assert out.count() == 240
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

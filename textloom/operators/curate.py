@@ -113,8 +113,9 @@ def curate(
     doc: DataFrame, corp_doc: DataFrame, sent: DataFrame, target: str,
     params: CurateParams = CurateParams(),
 ) -> DataFrame:
-    """The whole chain as one plan: one doc-level shuffle, one for the kept
-    sentences and one for the deduplication."""
-    keep = doc_keep(doc, corp_doc, sent, target, params)
+    """The whole chain: one doc-level shuffle, one for the deduplication. The ids of
+    the kept documents are written, so that their size decides how the sentences meet
+    them; few enough go to the sentences, which then stay where they are."""
+    keep = staged(doc_keep(doc, corp_doc, sent, target, params).select("doc_id"), "keep")
     kept = join_sent_keep(sent, keep, target)
     return final_sent(dedup_exact(clean_sents(kept, params)))
