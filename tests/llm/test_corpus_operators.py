@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -526,3 +527,24 @@ def test_no_text_moves_while_windows_are_sought(spark):
     left = decontaminate.drop_contaminated(docs, items)
     assert "MapInArrow" not in left._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(r.doc_id for r in left.collect()) == [2, 3]
+
+
+def test_sketches_hold_few_texts_at_once(spark):
+    """A task's arrays for 8 MB of texts stay below a tenth of the memory that an executor's worker has."""
+
+    class Rows:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    draw = random.Random(4)
+    texts = [" ".join(f"w{draw.randrange(5000)}" for _ in range(3500)) for _ in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    run = near_dedup.sketches(Rows(), near_dedup.Sketch())
+    tracemalloc.start()
+    n = sum(out.num_rows for out in run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == len(texts) and peak < 50 << 20

@@ -24,6 +24,8 @@ from textloom.session import staged
 
 #: Elements of a set that meet all registers at once.
 _BLOCK = 4096
+#: Bytes of texts whose words a task hashes at once, and pairs whose sets it holds.
+PIECE, PAIRS = 1 << 18, 100
 
 
 @dataclass(frozen=True)
@@ -110,7 +112,7 @@ def sketches(docs: DataFrame, sketch: Sketch) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = ar.texts(batch)
-            for i, j, data, offsets in ar.pieces(values):
+            for i, j, data, offsets in ar.pieces(values, PIECE):
                 _, _, hashes, bounds = ar.words(data, offsets)
                 n, d1, d2, registers, bands = [], [], [], [], []
                 for items in ar.shingle_sets(hashes, bounds):
@@ -164,20 +166,21 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
     def sets(batch: pa.RecordBatch, name: str) -> list[np.ndarray]:
         found: list[np.ndarray] = []
-        for _, _, data, offsets in ar.pieces(ar.texts(batch, name)):
+        for _, _, data, offsets in ar.pieces(ar.texts(batch, name), PIECE):
             _, _, hashes, bounds = ar.words(data, offsets)
             found.extend(ar.shingle_sets(hashes, bounds))
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
+            for at in range(0, whole.num_rows, PAIRS):
+                batch = whole.slice(at, PAIRS)
                 keep = []
                 for a, b in zip(sets(batch, "ta"), sets(batch, "tb"), strict=True):
                     both = len(np.intersect1d(a, b, assume_unique=True))
                     keep.append(both > 0 and 100 * both >= percent * (len(a) + len(b) - both))
                 yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            pa.default_memory_pool().release_unused()
 
     a = docs.select(F.col("doc_id").alias("u"), F.col("text").alias("ta"))
     b = docs.select(F.col("doc_id").alias("v"), F.col("text").alias("tb"))
@@ -256,7 +259,7 @@ def _prefix_pairs(texts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes = batch.column("doc_id")
-            for i, j, data, offsets in ar.pieces(ar.texts(batch)):
+            for i, j, data, offsets in ar.pieces(ar.texts(batch), PIECE):
                 _, _, hashes, bounds = ar.words(data, offsets)
                 for at, items in zip(range(i, j), ar.shingle_sets(hashes, bounds), strict=True):
                     digest = int(ar.mix(items + np.uint64(1)).sum().astype(np.uint64).view(np.int64))
