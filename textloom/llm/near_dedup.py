@@ -236,11 +236,10 @@ def _links(likely: DataFrame, texts: DataFrame, percent: int, before: DataFrame
     return found.union(staged(_confirmed(left, texts, percent), "links"))
 
 
-def _open(banded: DataFrame, pivots: DataFrame, label: DataFrame) -> DataFrame:
+def _open(shared: DataFrame, label: DataFrame) -> DataFrame:
     """(node, class) of the members that a bucket has tested against its pivots
     only, where they are in several classes."""
-    large = pivots.filter("n - size(pivots) > 1")
-    member = banded.join(large, ["band", "key"]).filter("not array_contains(pivots, node)")
+    member = shared.filter("n - size(pivots) > 1 and not array_contains(pivots, node)")
     member = member.select("band", "key", "node").join(_class_of(label, "node", "class"), "node", "left")
     member = member.select("band", "key", "node", F.coalesce("class", "node").alias("class"))
     mixed = member.groupBy("band", "key").agg(F.min("class").alias("low"), F.max("class").alias("high"))
@@ -340,13 +339,15 @@ def near_duplicates(docs: DataFrame, sketch: Sketch | None = None) -> DataFrame:
     pivots = pivots.select(
         "band",
         "key",
+        "n",
         F.array_distinct(
             F.array(*[F.col(f"t{i}").bitwiseXOR(F.lit(t)) for i, t in enumerate(_TURNS)])
         ).alias("pivots"),
     )
+    # Written, as few registers share a bucket: later steps don't meet the others again.
+    shared = staged(banded.join(pivots, ["band", "key"]), "buckets")
     pairs = (
-        banded.join(pivots, ["band", "key"])
-        .select("node", F.explode("pivots").alias("pivot"))
+        shared.select("node", F.explode("pivots").alias("pivot"))
         .filter("node != pivot")
         .select(F.greatest("node", "pivot").alias("node"), F.least("node", "pivot").alias("pivot"))
         .distinct()
@@ -365,7 +366,7 @@ def near_duplicates(docs: DataFrame, sketch: Sketch | None = None) -> DataFrame:
     )
     links = staged(found.union(several), "links")
     label = staged(components(links), "classes")
-    rest = staged(_open(banded, pivots, label), "open")
+    rest = staged(_open(shared, label), "open")
     if not rest.isEmpty():
         texts = staged(_texts_of(docs, rest.select(F.col("node").alias("doc_id")).distinct()), "texts")
         close = _prefix_pairs(texts, rest, sketch.percent)
