@@ -1,5 +1,6 @@
 """Splits, packing and masking against brute force."""
 
+import hashlib
 import math
 
 import pyarrow as pa
@@ -54,6 +55,15 @@ def test_pack(enc, size, batch):
     assert got == py_pack(rows, size, batch)
 
 
+def test_pack_without_word_ids(enc):
+    """Chunks of an input without word ids are the same, and no word ids move."""
+    rows, df = enc
+    out = ds.pack_sequences(df.drop("word_ids"), 16, 10)
+    assert out.columns == ["batch_id", "chunk_no", "input_ids"]
+    want = {k: ids for k, (ids, _) in py_pack(rows, 16, 10).items()}
+    assert {(r.batch_id, r.chunk_no): r.input_ids for r in out.collect()} == want
+
+
 def test_whole_word_mask(enc):
     _, df = enc
     packed = ds.pack_sequences(df, 16, 20)
@@ -103,6 +113,23 @@ def test_token_mask(spark):
     assert 0.08 < kinds["random"] / drawn < 0.12
 
 
+def test_token_draws_are_digests(spark):
+    """Tokens are drawn by the digest of their place, in one pass and not by an expression
+    per element, whatever is null."""
+    rows = [(b, c, list(range(3, 20))) for b in (0, 7, None) for c in (None, 0, 12)] + [(1, 1, None), (1, 2, []), (1, 3, [9, None, 8])]
+    packed = spark.createDataFrame(rows, "batch_id bigint, chunk_no int, input_ids array<int>")
+    out = ds.mask_tokens(packed, 1000, p=0.5, seed=3, epoch=2)
+    got = {(r.batch_id, r.chunk_no): r.labels for r in out.collect()}
+
+    def label(b, c, i, x):
+        key = ":".join(str(k) for k in ("3:2:token", b, c, i) if k is not None)
+        low = int(hashlib.md5(key.encode()).hexdigest()[:10], 16) / 2**40 < 0.5
+        return x if low and x is not None and x not in ds.SPECIAL_IDS.values() else ds.IGNORED
+
+    assert got == {(b, c): None if xs is None else [label(b, c, i, x) for i, x in enumerate(xs)] for b, c, xs in rows}
+    assert "ArrowEvalPython" in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_splits(spark):
     df = spark.range(1001).select("id", F.when(F.col("id") < 700, "+").when(F.col("id") < 990, "-").alias("label"))
     a = {r.id: r.split for r in ds.train_test_split(df, ["id"], 0.25, 3).collect()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
@@ -312,21 +313,21 @@ def pack_sequences(enc: DataFrame, chunk_size: int = 16, batch: int = 1000) -> D
     """Token lists of each batch of rows concatenated and cut into chunks of
     equal length; a batch's remainder is dropped.
 
-    Batches follow corpus order, so a group never exceeds ``batch`` rows.
+    Batches follow corpus order, so a group never exceeds ``batch`` rows. Where ``enc``
+    comes without ``word_ids``, as for masks of single tokens, none move and the
+    chunks have none.
     """
-    rows = indexed_table(enc.select("doc_id", "six", "input_ids", "word_ids"), ["doc_id", "six"])
+    lists = [c for c in ("input_ids", "word_ids") if c in enc.columns]
+    rows = indexed_table(enc.select("doc_id", "six", *lists), ["doc_id", "six"])
     batches = rows.groupBy(F.floor(F.col("idx") / batch).alias("batch_id")).agg(
-        F.array_sort(F.collect_list(F.struct("idx", "input_ids", "word_ids"))).alias("_r")
+        F.array_sort(F.collect_list(F.struct("idx", *lists))).alias("_r")
     )
     cut = batches.select(
         "batch_id",
-        F.arrays_zip(
-            _chunks(F.flatten("_r.input_ids"), chunk_size).alias("input_ids"),
-            _chunks(F.flatten("_r.word_ids"), chunk_size).alias("word_ids"),
-        ).alias("_z"),
+        F.arrays_zip(*[_chunks(F.flatten(f"_r.{c}"), chunk_size).alias(c) for c in lists]).alias("_z"),
     )
     return cut.select("batch_id", F.posexplode("_z").alias("chunk_no", "_c")).select(
-        "batch_id", "chunk_no", "_c.input_ids", "_c.word_ids"
+        "batch_id", "chunk_no", *[f"_c.{c}" for c in lists]
     )
 
 
@@ -363,6 +364,28 @@ def _draw(seed: int, epoch: int, tag: str, i: Column) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 10), 16, 10).cast("bigint") / F.lit(float(1 << 40))
 
 
+def _below(p: float, seed: int, epoch: int, tag: str, size: Column) -> Column:
+    """Whether ``_draw`` is below ``p`` at each of ``size`` positions, as an array: a
+    digest for every token, which an expression per element takes long for."""
+    first, least = f"{seed}:{epoch}:{tag}".encode(), p * (1 << 40)
+
+    @F.arrow_udf("array<boolean>")
+    def run(rest: pa.Array, size: pa.Array) -> pa.Array:
+        n = pc.fill_null(size, 0).to_numpy(zero_copy_only=False)
+        ends = [b":%d" % i for i in range(int(n.max(initial=0)))]
+        drawn = bytearray()
+        for key, k in zip(rest.cast(pa.binary()).to_pylist(), n.tolist(), strict=True):
+            key = first + key
+            for end in ends[:k]:
+                drawn += hashlib.md5(key + end).digest()[:5]
+        high = np.frombuffer(drawn, np.uint8).reshape(-1, 5) @ 256.0 ** np.arange(4, -1, -1)
+        start = np.concatenate([[0], np.cumsum(n)])
+        return pa.ListArray.from_arrays(pa.array(start, pa.int32()), pa.array(high < least))
+
+    rest = F.concat_ws(":", F.lit(""), F.col("batch_id").cast("string"), F.col("chunk_no").cast("string"))
+    return run(rest, size)
+
+
 def mask_whole_word(
     packed: DataFrame, p: float = 0.15, mask_id: int = SPECIAL_IDS["mask"], seed: int = 0,
     epoch: int = 0,
@@ -393,11 +416,8 @@ def mask_tokens(
     """Single tokens drawn with probability ``p``: 80 % become the mask id,
     10 % a random id, 10 % stay; special ids are never drawn."""
     d = copy_labels(packed) if "labels" not in packed.columns else packed
-    hit = F.transform(
-        "input_ids",
-        lambda x, i: (_draw(seed, epoch, "token", i) < p) & ~x.isin(*special_ids),
-    )
-    d = d.withColumn("_hit", hit)
+    d = d.withColumn("_low", _below(p, seed, epoch, "token", F.size("input_ids")))
+    d = d.withColumn("_hit", F.zip_with("input_ids", "_low", lambda x, low: low & ~x.isin(*special_ids)))
 
     def replaced(x: Column, i: Column) -> Column:
         kind = _draw(seed, epoch, "kind", i)
