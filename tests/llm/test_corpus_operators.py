@@ -548,3 +548,20 @@ def test_sketches_hold_few_texts_at_once(spark):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert n == len(texts) and peak < 50 << 20
+
+
+def test_bands_meet_their_buckets_once(spark, monkeypatch):
+    """After the members of shared buckets are written, no step reads the bands of all documents."""
+    plans, write = {}, near_dedup.staged
+
+    def noted(df, name):
+        plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(near_dedup, "staged", noted)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(words[: 60 - i])) for i in range(5)] + [(9, "another text of some other words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 9: 9}
+    assert all("posexplode" not in plans[name] for name in ("pairs", "open"))
