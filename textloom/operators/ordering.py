@@ -110,7 +110,7 @@ def read_indexed(spark: SparkSession, path: str, name: str = "idx") -> DataFrame
     cols = rows.columns
     file = F.col("_metadata.file_name").alias("_file")
     part = F.regexp_extract("_file", r"^part-(\d+)", 1).cast("int")
-    split = F.regexp_extract("_file", r"-c(\d+)", 1).cast("int")
+    split = F.regexp_extract("_file", r"-c(\d+)\.", 1).cast("int")  # not a part of the name's UUID
     files = rows.select(file).groupBy("_file").agg(F.count("*").alias("_n"))
     files = files.select("_file", "_n", part.alias("_part"), split.alias("_split"), F.lit(0).alias("_all"))
     starts = running_sum(files, ["_all"], F.shiftright("_part", 10), ["_part", "_split"], "_first", F.col("_n"))
