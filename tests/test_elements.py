@@ -6,7 +6,7 @@ from contextlib import contextmanager
 import pytest
 
 from textloom import schemas
-from textloom.plans import io_catalog
+from textloom.plans import io_catalog, jobs
 from textloom.plans.catalog import QUERIES
 from textloom.sources import elements, readers
 
@@ -134,6 +134,39 @@ def test_rows_do_not_gather_by_file(spark, tmp_path):
     assert len({r.doc_id for r in rows.collect()}) == 3
 
 
+@pytest.mark.parametrize("size", [97, 1 << 20])
+def test_sentences_are_ranked_where_they_are_parsed(spark, tmp_path, size):
+    """Elements count on through Arrow batches, byte ranges and files of one task, empty
+    ones don't count, and tokens are not shuffled for their numbers."""
+    write(tmp_path, ORDINARY | MALFORMED | {"cdata.xml": ODD["cdata.xml"]})
+    for k in range(3):
+        body = "".join(f"<s id='{i}'>" + "".join(f"<w>{k}.{i}.{j}</w>" for j in range(i % 3)) + "</s>" for i in range(50))
+        (tmp_path / f"more{k}.xml").write_text(f"<text>{body}</text>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        with split_bytes(spark, size):
+            df = readers.read_tok_xml(spark, str(tmp_path))
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert not re.search(r"hashpartitioning\([^)]*(_block|_blk)", plan) and "Window" in plan
+            found = df.orderBy("file", "six").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {}
+    for r in found:
+        got.setdefault(r.file.rsplit("/", 1)[1], []).append((r.six, r.sid))
+    ids = lambda n, k: [str(i) for i in range(n) if i % k]
+    assert got.pop("plain.xml") == list(enumerate(ids(24, 4)))
+    for k in range(3):
+        assert got.pop(f"more{k}.xml") == list(enumerate(ids(50, 3)))
+    assert got.pop("cdata.xml") == [(0, "1"), (1, "2")] and not set(got) & set(MALFORMED)
+
+
+def test_written_xml_is_not_indented(spark, sf_dir):
+    path = io_catalog.tok_xml_files(io_catalog.Inputs(spark, sf_dir))
+    lines = spark.read.option("pathGlobFilter", "part-*").text(path)
+    assert lines.count() > 1000 and lines.filter("value LIKE ' %'").isEmpty()
+
+
 def test_splits_write_parsed_rows_only(spark, sf_dir, monkeypatch):
     """A file that is read in three sizes is parsed and written thrice, but the numbered
     rows are not written again."""

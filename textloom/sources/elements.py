@@ -14,7 +14,10 @@ read whole, one task a file.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,6 +100,30 @@ def _parsed(pieces: DataFrame, tag: str, ddl: str) -> DataFrame:
     )
 
 
+def _running_rank(there: Column) -> Column:
+    """The number of earlier rows of a byte range for which ``there`` is true, null for
+    other rows. A task reads each of its ranges from start to end, so it counts alone."""
+
+    @F.arrow_udf("long")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        last, n = None, 0
+        for place, found in batches:
+            place, found = place.to_numpy(), found.to_numpy(zero_copy_only=False)
+            if not len(place):
+                yield pa.array([], pa.int64())
+                continue
+            before = np.cumsum(found) - found
+            first = np.append(True, place[1:] != place[:-1])
+            base = before[first]
+            if place[0] == last:
+                base[0] -= n
+            rank = before - base[np.cumsum(first) - 1]
+            last, n = place[-1], int(rank[-1] + found[-1])
+            yield pa.array(rank, pa.int64(), mask=~found)
+
+    return run.asNondeterministic()(F.xxhash64("file", "_block"), F.coalesce(there, F.lit(False)))
+
+
 def _odd_files(rows: DataFrame) -> DataFrame:
     """Files whose elements the closing tags don't tell apart.
 
@@ -122,19 +149,28 @@ def _odd_files(rows: DataFrame) -> DataFrame:
 
 
 def read_elements(
-    spark: SparkSession, path: str, tag: str, ddl: str, glob: str = "*.xml", size_limit: int | None = None
+    spark: SparkSession, path: str, tag: str, ddl: str, glob: str = "*.xml", size_limit: int | None = None,
+    wanted: Column | None = None,
 ) -> DataFrame:
     """The elements ``tag`` of all files: the columns of ``ddl``, file, ``_block`` and
     ``_row`` in the order of the file, as ``whole_files`` gives them.
 
     The files are read once, and parsed rows are written; a second read covers odd
-    files only.
+    files only. With ``wanted``, a condition on the columns of ``ddl``, wanted elements
+    have their ``_rank`` in their byte range.
     """
     if not re.fullmatch(r"[A-Za-z_][\w.-]*", tag):
         raise ValueError(f"not an element name: {tag}")
-    rows = staged(_parsed(_pieces(spark, path, tag, glob, size_limit), tag, ddl), "parsed")
+    rank = [] if wanted is None else ["_rank"]
+
+    def ranked(rows: DataFrame, there: Column) -> DataFrame:
+        return rows.withColumn("_rank", _running_rank(there)) if rank else rows
+
+    rows = _parsed(_pieces(spark, path, tag, glob, size_limit), tag, ddl)
+    rows = ranked(rows.select("*", "_element.*"), wanted).select(*rows.columns, *rank)
+    rows = staged(rows, "parsed")
     odd = staged(_odd_files(rows), "odd_files")
-    cut = rows.filter("_kind = 1").select("_element.*", "file", "_block", "_row")
+    cut = rows.filter("_kind = 1").select("_element.*", "file", "_block", "_row", *rank)
     names = [r.file for r in odd.limit(NAMED_FILES + 1).collect()]
     if not names:
         return cut
@@ -144,4 +180,4 @@ def read_elements(
         whole = whole.filter(F.col("file").isin(names))
     else:
         whole = whole.join(odd, "file", "left_semi")
-    return cut.unionByName(staged(whole, "parsed").select(cut.columns))
+    return cut.unionByName(staged(ranked(whole, wanted), "parsed").select(cut.columns))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom import schemas
@@ -87,10 +88,24 @@ def _xml_sentences(
     spark: SparkSession, path: str, ddl: str, tokens: Column, glob: str, size_limit: int | None
 ) -> tuple[DataFrame, DataFrame]:
     # Parsed once: numbering and the quarantine read the written rows.
-    good, bad = good_files(read_elements(spark, path, "s", ddl, glob, size_limit))
+    good, bad = good_files(read_elements(spark, path, "s", ddl, glob, size_limit, F.size(tokens) > 0))
     if size_limit is not None:
         bad = bad.unionByName(too_large(spark, path, glob, size_limit))
-    return xml_sentences(good, tokens), bad
+    return _ranked_sentences(good, tokens), bad
+
+
+def _ranked_sentences(rows: DataFrame, tokens: Column) -> DataFrame:
+    """As ``xml_sentences``, where the ranks within byte ranges are known: only the
+    ranges' sizes and the files' ids are shuffled, and join by size."""
+    d = rows.filter("_rank IS NOT NULL")
+    sizes = staged(d.groupBy("file", "_block").agg((F.max("_rank") + 1).alias("_n")), "sizes")
+    ranges = staged(sizes.join(dense_ids(sizes, "file", "doc_id"), "file"), "ids")
+    before = W.partitionBy("file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    starts = ranges.select("file", "_block", "doc_id", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return d.join(starts, ["file", "_block"]).select(
+        "file", "doc_id", (F.col("_start") + F.col("_rank")).cast("int").alias("six"), F.col("_id").alias("sid"),
+        tokens.alias("tokens"),
+    )
 
 
 def xml_sentences(rows: DataFrame, tokens: Column) -> DataFrame:
@@ -303,6 +318,9 @@ def read_dataset(spark: SparkSession, path: str, read_limit: int | None = None)
     return placed.filter(F.col("_idx") < read_limit).orderBy("_idx").select("text")
 
 
+#: Readers whose rows are read from a written table and follow in one stage.
+WRITTEN = frozenset({"tok_xml", "sent_xml"})
+
 # Parser plug-ins: format name to reader of (spark, path).
 READERS: dict[str, Callable[..., DataFrame]] = {
     "tok_xml": read_tok_xml,
