@@ -167,6 +167,19 @@ def test_written_xml_is_not_indented(spark, sf_dir):
     assert lines.count() > 1000 and lines.filter("value LIKE ' %'").isEmpty()
 
 
+def test_a_corpus_is_built_from_the_parsed_rows(spark, sf_dir, monkeypatch):
+    """The reader has written them; they are not written again to be numbered."""
+    names, write = [], elements.staged
+
+    def named(df, name="staged"):
+        names.append(name)
+        return write(df, name)
+
+    for module in (jobs, elements, readers):
+        monkeypatch.setattr(module, "staged", named)
+    assert QUERIES["build_corpus"](spark, sf_dir).count() > 1000 and names.count("parsed") == 1
+
+
 def test_splits_write_parsed_rows_only(spark, sf_dir, monkeypatch):
     """A file that is read in three sizes is parsed and written thrice, but the numbered
     rows are not written again."""

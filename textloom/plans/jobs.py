@@ -41,7 +41,7 @@ class Store:
         return self.spark.read.schema(ddl).parquet(f"{self.path}/{name}")
 
     def write(self, name: str, df: DataFrame, mode: str) -> None:
-        df.write.mode(mode).parquet(f"{self.path}/{name}")
+        df.write.mode(mode).option("compression", "zstd").parquet(f"{self.path}/{name}")
 
 
 def relative_path(file: F.Column, base: str | None) -> F.Column:
@@ -88,9 +88,9 @@ def build_corpus(
         doc = F.concat_ws("#", "file", F.col("doc_id").cast("string")) if fmt == "wiki" else F.col("file")
         return rows.select(doc.alias("file"), "six", "sid", "tokens")
 
-    parsed = staged(
-        reduce(DataFrame.unionAll, [read(f, s) for f, s in inputs.items()]), "parsed"
-    )
+    parsed = reduce(DataFrame.unionAll, [read(f, s) for f, s in inputs.items()])
+    if not set(inputs) <= readers.WRITTEN:
+        parsed = staged(parsed, "parsed")
     mode = "overwrite" if recreate else "append"
     old = spark.createDataFrame([], schemas.DOC) if recreate else store.table("doc")
     top = old.agg(F.coalesce(F.max("doc_id") + 1, F.lit(0)).alias("n")).scalar()
